@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts are normalised to lower-case letters, digits and single blanks (bytes over 127 unchanged). A
+Texts are normalised to letters, digits and single blanks, with A-Z and Latin-1 capitals in lower case. A
 benchmark item of m bytes may differ in k = floor(m * RATE) edits. By the q-gram lemma an occurrence
 within k edits shares at least m - q + 1 - k * q of the item's q-grams, on diagonals no more than k
 apart; so q-grams shared are counted in overlapping bands of diagonals, bands under that bound are
@@ -33,7 +33,10 @@ PLAIN = np.where(_keep[LOWER], LOWER, 32).astype(np.uint8)
 
 def normalise(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Normalised bytes and their offsets in the text."""
-    b = PLAIN[to_bytes(raw)]
+    b = to_bytes(raw)
+    upper = np.flatnonzero((b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97) & (b[:-1] == 0xC3)) + 1  # Latin-1 capitals
+    b = PLAIN[b]
+    b[upper] += 32
     blank = b == 32
     keep = ~blank
     keep[1:] |= blank[1:] & ~blank[:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, langid, sharding, toxicity
+from tessera.llm import bpe, ctw, decontaminate, fingerprint, langid, minhash, sharding, substring, suffixarray, toxicity
 from tessera.llm._text import fold
 
 
@@ -21,10 +21,36 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), spark)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixarray.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("_next", F.lit(1), k))
+    pairs = fingerprint.with_next(docs).withColumns({"n_chars": n.cast("long"), "_edited": edited})
+    sets = pairs.withColumns({"_a": fingerprint.digests(F.col("text")), "_b": fingerprint.digests(F.col("_edited")), "_c": fingerprint.digests(F.col("_next"))})
+    return fingerprint.fingerprints(sets, "text", "_edited").select(
+        "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        fingerprint.likeness(F.col("_a"), F.col("_b")).alias("near_edited"), fingerprint.likeness(F.col("_a"), F.col("_c")).alias("near_next"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -33,6 +59,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = ctw.score(docs, ~held_out, spark)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -54,8 +87,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+OPERATORS = (op1_near_duplicates, op2_decontaminate, op3_substrings, op4_suffix_array, op5_fingerprint, op6_toxicity, op7_language_model, op8_language, op9_shards, op10_bpe)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate, "op6_toxicity": op6_toxicity, "op8_language": op8_language, "op9_shards": op9_shards, "op10_bpe": op10_bpe}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

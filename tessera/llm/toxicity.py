@@ -220,3 +220,14 @@ def score(docs: DataFrame, model: Model, spark: SparkSession, text: str = "text"
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest]
     return docs.select(*rest, "_t").mapInArrow(run, ", ".join([*fields, "score double, predicted int, evidence array<struct<cosine:double,label_0:bigint,label_1:bigint>>"]))
+
+
+def clean(docs: DataFrame, model: Model, spark: SparkSession, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs without the rows that score at least ``threshold``; all columns unchanged."""
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([held.value.score(x.as_py())[0] < threshold for x in b[text].cast(pa.binary())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
