@@ -6,11 +6,15 @@ shifted circularly by one for each coordinate. Coordinates are banded; documents
 are one node. In each band bucket
 
 1. every node is compared with the bucket's pivot, the node that shares most buckets with others;
-2. once the links found are joined into components, nodes of different components that still share a
-   bucket are compared pair by pair, in blocks, first by their signatures and then by their full sets.
-
-So no pair that shares a bucket stays open, while a group of thousands of copies costs one comparison
-each. Every link is confirmed on full sets. At similarity 0.8 a pair shares no bucket with a
+2. once the links found are joined into components, buckets that still hold several are looked at again.
+   A node x has ``inter`` shingles of its pivot; of the others, ``s`` stand in another node of that pivot
+   too. So it shares at most inter + s with any other node, which bounds the size of those that it can
+   link with. Nodes whose bound is under the smallest size in the bucket are done;
+3. the rest are compared pair by pair, in blocks, first by size bounds and signatures and then by their
+   full sets.
+
+So no pair that shares a bucket stays open, while a group of thousands of copies, near ones included,
+costs a comparison or two each. Every link is confirmed on full sets. At similarity 0.8 a pair shares no bucket with a
 probability of 4e-7, and a true pair fails the comparison of signatures with less than 1e-9.
 
 Null and empty texts have no shingles and no links. Rows that share a document id are one document.
@@ -123,21 +127,52 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _split(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    return rows.join(rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket"), "bucket")
+
+
+def _reach(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(pivot, id, n, reach): the largest size of a node that id can link with among those of one pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, inter, more = [], [], []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                s, t = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
+                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+                there = t[at] == s
+                n.append(len(s))
+                inter.append(int(there.sum()))
+                more.append(s[~there].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch["pivot"], batch["id"], pa.array(n, pa.int64()), pa.array(inter, pa.int64()), pa.array(more, pa.list_(pa.int64()))], names=["pivot", "id", "n", "inter", "more"])
+
+    pairs = open_.select("pivot", "id").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")), "pivot").join(sets.select("id", F.col("set").alias("x")), "id")
+    met = cut(both.select("pivot", "id", "x", "y").mapInArrow(run, "pivot long, id long, n long, inter long, more array<long>"))
+    others = met.select("pivot", "id", F.explode("more").alias("shingle"))
+    twice = others.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    shared = others.join(twice, ["pivot", "shingle"]).groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("s"))
+    # 100 * o >= percent * (n + m - o) for a partner of size m and an overlap o of at most inter + s
+    most = F.floor((F.col("inter") + F.coalesce("s", F.lit(0))) * F.lit((100 + percent) / percent) + 1e-9) - F.col("n")
+    return met.join(shared, ["pivot", "id"], "left").select("pivot", "id", "n", most.alias("reach"))
+
+
 def _across(open_: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one bucket but different components whose signatures agree often enough.
 
-    open_: bucket, id, component, number of shingles, signature, bucket size. Buckets are cut into chunks of
+    open_: bucket, id, component, number of shingles, reach, signature, bucket size. Buckets are cut into chunks of
     about CHUNK nodes and every two chunks meet in a block, so no task holds a whole bucket.
     """
     chunks = F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK)).cast("int")
     dealt = open_.withColumn("m", chunks).withColumn("i", F.pmod(F.xxhash64("id", F.lit(5)), F.col("m")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
-    dealt = dealt.withColumn("g", F.xxhash64("bucket", "p", "q")).select("g", "i", "p", "q", "id", "comp", "n", "sig")
+    dealt = dealt.withColumn("g", F.xxhash64("bucket", "p", "q")).select("g", "i", "id", "comp", "n", "reach", "sig")
     dealt = dealt.repartition("g").sortWithinPartitions("g", "i", "id")
 
     def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
-        g, i, ids, comp, n = (t[c].to_numpy() for c in ("g", "i", "id", "comp", "n"))
+        g, i, ids, comp, n, reach = (t[c].to_numpy() for c in ("g", "i", "id", "comp", "n", "reach"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(-1, K)
         at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         for a, z in zip(at.tolist(), [*at[1:].tolist(), len(g)], strict=True):
@@ -145,7 +180,7 @@ def _across(open_: DataFrame, percent: int) -> DataFrame:
             one = split == z  # a chunk with itself, else with another
             for x in range(a, z if one else split):
                 lo, hi = (x + 1, z) if one else (split, z)
-                near = (comp[lo:hi] != comp[x]) & (100 * np.minimum(n[lo:hi], n[x]) >= percent * np.maximum(n[lo:hi], n[x]))
+                near = (comp[lo:hi] != comp[x]) & (n[lo:hi] <= reach[x]) & (n[x] <= reach[lo:hi]) & (100 * np.minimum(n[lo:hi], n[x]) >= percent * np.maximum(n[lo:hi], n[x]))
                 y = lo + np.flatnonzero(near)
                 if len(y):
                     y = y[(sig[y] == sig[x]).sum(axis=1) >= LEAST_SHARED]
@@ -189,9 +224,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     found = components(links)
 
     placed = live.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    open_ = placed.join(split, "bucket").join(nodes.select("id", F.col("n_shingles").alias("n"), "sig"), "id").select("bucket", "id", "comp", "n", "sig", "c")
-    more = cut(_confirmed(_across(open_, percent), sets, percent))
+    open_ = cut(_split(placed).join(pivots, "bucket").select("bucket", "id", "comp", F.col("b").alias("pivot")))
+    bounds = _reach(open_, sets, percent)
+    active = open_.join(bounds, ["pivot", "id"])
+    least = active.groupBy("bucket").agg(F.min("n").alias("least"))
+    active = _split(active.join(least, "bucket").where("reach >= least"))
+    sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    ready = active.join(sizes, "bucket").join(nodes.select("id", "sig"), "id").select("bucket", "id", "comp", "n", "reach", "sig", "c")
+    more = cut(_confirmed(_across(ready, percent), sets, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
