@@ -46,11 +46,17 @@ def _folded(entries: Column, j: Column, first: Column, sign: int = 1) -> Column:
     return F.aggregate(mine, first, lambda a, e: F.struct((a["n"] + sign * e["n"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["h"].bitwiseXOR(e["h"]).alias("h")))
 
 
+def _let(value: Column, f) -> Column:
+    """f of the value, which is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def sketch(keys: Column, cells: int) -> Column:
     """Array of cells (n, k, h) of the digests."""
     part = cells // 3
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>"), lambda j: _folded(_entries(keys, part), j, zero))
+    places = F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")
+    return _let(_entries(keys, part), lambda entries: F.transform(places, lambda j: _folded(entries, j, zero)))
 
 
 def as_text(cells: Column) -> Column:
@@ -64,15 +70,13 @@ def differing(a: Column, b: Column, cells: int) -> Column:
     part = cells // 3
     minus = F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
     pure = lambda cells_: F.array_distinct(F.transform(F.filter(cells_, lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"]))), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"), F.array(*_places(c["k"], part)).alias("at"))))
-    begin = F.struct(minus.alias("cells"), pure(minus).alias("pure"), F.lit(0).alias("found"))
+    state = lambda cells_, found: _let(cells_, lambda c: F.struct(c.alias("cells"), pure(c).alias("pure"), found.alias("found")))
 
-    def step(state: Column, _: Column) -> Column:
-        rest = F.transform(state["cells"], lambda c, j: _folded(state["pure"], j.cast("long"), c, -1))
-        after = F.when(F.size(state["pure"]) > 0, rest).otherwise(state["cells"])
-        # the next pure cells are read off in the following lambda, so that rest is built once
-        return F.transform(F.array(F.struct(after.alias("cells"), (state["found"] + F.size(state["pure"])).alias("found"), F.size(state["pure"]).alias("was"))), lambda s: F.struct(s["cells"].alias("cells"), F.when(s["was"] > 0, pure(s["cells"])).otherwise(state["pure"]).alias("pure"), s["found"].alias("found")))[0]
+    def step(s: Column, _: Column) -> Column:
+        rest = F.transform(s["cells"], lambda c, j: _folded(s["pure"], j.cast("long"), c, -1))
+        return F.when(F.size(s["pure"]) > 0, state(rest, s["found"] + F.size(s["pure"]))).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), s["found"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(minus, F.lit(0)), step, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), s["found"]))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -42,7 +42,7 @@ def _levels(low: np.ndarray, high: np.ndarray, symbols: int) -> np.ndarray:
     """For each symbol, how many buckets must be finished one after another before its own (edges low -> high)."""
     level = np.zeros(symbols, dtype=np.int64)
     if len(low):
-        edge = np.unique(low * symbols + high)
+        edge = np.unique(low * np.int64(symbols) + high)
         low, high = edge // symbols, edge % symbols
         while True:
             new = level.copy()
@@ -63,38 +63,41 @@ def _induce(t: np.ndarray, nxt: np.ndarray, run: np.ndarray, is_s: np.ndarray, l
     count = np.bincount(t, minlength=symbols)
     end = np.cumsum(count)
     start = end - count
-    rank = np.zeros(n, dtype=np.int64)
+    rank = np.zeros(n, dtype=np.int32)
     # LMS suffixes stand at the end of their bucket, in the order of their seeds
-    order = np.lexsort((seed, t[lms]))
+    order = np.argsort(t[lms] * np.int64(n + 1) + seed)
     sym = t[lms][order]
     per = np.bincount(sym, minlength=symbols)
     offset = np.arange(len(order)) - (np.cumsum(per) - per)[sym]
     tie = np.concatenate([[True], (sym[1:] != sym[:-1]) | (seed[order][1:] != seed[order][:-1])]) if len(order) else np.zeros(0, dtype=bool)
     offset = offset[np.maximum.accumulate(np.where(tie, np.arange(len(order)), 0))] if len(order) else offset
     rank[lms[order]] = end[sym] - per[sym] + offset
-    span = int(n + 2)
-    runs = int(run.max(initial=1)) + 1
+    runs, span = int(run.max(initial=1)) + 1, n + 2
+    if symbols * runs >= 2**62 // span:
+        raise ValueError("the shard is too large")
 
     def fill(members: np.ndarray, up: bool) -> None:
-        after = nxt[members]
-        own = t[members]
+        own, after = t[members], nxt[members]
         depends = ~is_s[after] if up else is_s[after]
         level = _levels(t[after[depends]], own[depends], symbols)[own]
-        by_level = np.argsort(level, kind="stable")
-        bounds = np.searchsorted(level[by_level], np.arange(int(level.max(initial=-1)) + 2))
-        total = np.bincount(own, minlength=symbols)
-        base = start if up else end - total
-        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            m = members[by_level[a:z]]
-            k = run[m] if up else runs - run[m]
-            within = k * span + rank[nxt[m]]
-            by = np.lexsort((within, t[m]))
-            m, within, s = m[by], within[by], t[m][by]
-            i = np.arange(len(m))
-            bucket = np.concatenate([[True], s[1:] != s[:-1]])
-            tie = np.concatenate([[True], bucket[1:] | (within[1:] != within[:-1])])
-            place = np.maximum.accumulate(np.where(tie, i, 0)) - np.maximum.accumulate(np.where(bucket, i, 0))
-            rank[m] = base[s] + place
+        by_level = np.argsort(level.astype(np.int16) if level.max(initial=0) < 2**15 else level, kind="stable")
+        members, own, after, level = members[by_level], own[by_level], after[by_level], level[by_level]
+        bounds = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1], [True]])) if len(level) else []
+        head = (own * np.int64(runs) + (run[members] if up else runs - run[members])) * np.int64(span)
+        base = start if up else end - np.bincount(own, minlength=symbols)
+        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+            key = head[a:z] + rank[after[a:z]]
+            by = np.argsort(key)
+            key, s = key[by], own[a:z][by]
+            new = key[1:] != key[:-1]
+            i = np.arange(z - a, dtype=np.int32)
+            if not new.all():
+                i[1:][~new] = 0
+                i = np.maximum.accumulate(i)
+            bucket = np.flatnonzero(s[1:] != s[:-1]) + 1
+            if len(bucket):
+                i -= np.repeat(np.concatenate([[0], bucket]), np.diff(np.concatenate([[0], bucket, [z - a]])))
+            rank[members[a:z][by]] = base[s] + i
 
     fill(np.flatnonzero(~is_s[: n - 1]), True) if n > 1 else None
     if not is_s[n - 1]:
@@ -110,13 +113,13 @@ def suffix_ranks(t: np.ndarray, symbols: int) -> np.ndarray:
     n = len(t)
     if n <= 2:
         return np.arange(n)[::-1].copy()
-    t = t.astype(np.int64, copy=False)
-    change = np.flatnonzero(t[1:] != t[:-1]) + 1
-    group = np.zeros(n, dtype=np.int64)
-    group[change] = 1
-    group = np.cumsum(group)
-    nxt = np.append(change, n - 1)[group]
-    run = nxt - np.arange(n)
+    t = t.astype(np.int32, copy=False)
+    differs = t[1:] != t[:-1]
+    change = np.flatnonzero(differs).astype(np.int32) + 1
+    group = np.zeros(n, dtype=np.int32)
+    np.cumsum(differs, out=group[1:])
+    nxt = np.append(change, np.int32(n - 1))[group]
+    run = nxt - np.arange(n, dtype=np.int32)
     is_s = t < t[nxt]
     is_s[n - 1] = True
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
@@ -129,35 +132,24 @@ def suffix_ranks(t: np.ndarray, symbols: int) -> np.ndarray:
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each place, the length (up to most) of the prefix that its suffix shares with the one before it in the suffix array."""
     n = len(t)
-    before = np.empty(n, dtype=np.int64)
+    before = np.empty(n, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
-    i = np.arange(n)
     reducible = np.zeros(n, dtype=bool)
-    ok = (i > 0) & (before > 0)
-    reducible[ok] = t[i[ok] - 1] == t[before[ok] - 1]
-    at = np.flatnonzero(~reducible & (before >= 0))
-    value = np.zeros(n, dtype=np.int64)
-    open_, length = at, 0
-    padded = np.append(t, np.zeros(1, dtype=t.dtype))
-    while len(open_) and length < most:
-        a, b = open_ + length, before[open_] + length
-        same = (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
-        value[open_[~same]] = length
-        open_ = open_[same]
+    reducible[1:] = (before[1:] > 0) & (t[:-1] == t[before[1:] - 1])
+    at = np.flatnonzero(~reducible & (before >= 0)).astype(np.int32)
+    value = np.zeros(n, dtype=np.int32)
+    # past the end stand symbols found nowhere else, one kind for either side
+    left, right = np.concatenate([t, np.full(9, -1, dtype=t.dtype)]), np.concatenate([t, np.full(9, -2, dtype=t.dtype)])
+    a, b, length = at, before[at], 0
+    while len(at):
+        same = left[a] == right[b]
+        value[at[~same]] = length
+        at, a, b = at[same], a[same] + 1, b[same] + 1
         length += 1
-    value[open_] = most
-    full = value.copy()
-    # an irreducible prefix cut at most still passes on its true length: find it for those that go on
+    i = np.arange(n, dtype=np.int32)
     head = np.maximum.accumulate(np.where(reducible, 0, i))
-    if len(open_):
-        while len(open_):
-            a, b = open_ + length, before[open_] + length
-            same = (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
-            full[open_[~same]] = length
-            open_ = open_[same]
-            length += 1
-    return np.minimum(np.where(reducible, np.maximum(full[head] - (i - head), 0), full), most)
+    return np.minimum(np.where(reducible, np.maximum(value[head] - (i - head), 0), value), most)
 
 
 def repeated(segments: list[np.ndarray], owned: np.ndarray, many: np.ndarray, length: int) -> list[np.ndarray]:
@@ -167,15 +159,13 @@ def repeated(segments: list[np.ndarray], owned: np.ndarray, many: np.ndarray, le
     n = int((sizes + 1).sum())
     # segment i ends with symbol m - 1 - i, smaller than every byte and found nowhere else
     m = len(segments)
-    t = np.empty(n, dtype=np.int64)
     stops = begin + sizes
-    t[np.setdiff1d(np.arange(n), stops, assume_unique=True)] = np.concatenate(segments).astype(np.int64) + m
+    t = np.frombuffer(b"".join(x.tobytes() + b"\0" for x in segments), dtype=np.uint8).astype(np.int32) + np.int32(m)
     t[stops] = np.arange(m)[::-1]
     rank = suffix_ranks(t, m + 256)
-    sa = np.empty(n, dtype=np.int64)
-    sa[rank] = np.arange(n)
+    sa = np.empty(n, dtype=np.int32)
+    sa[rank] = np.arange(n, dtype=np.int32)
     shared = permuted_lcp(t, sa, length)
-    weight = np.zeros(n, dtype=np.int64)
     edge = np.zeros(n + 1, dtype=np.int64)
     edge[begin] += many
     np.add.at(edge, begin + owned, -many)
@@ -243,23 +233,23 @@ class Segments:
         a = self.first[i]
         return self.docs[self.doc[i]][a : a + self.own[i] + self.length - 1].tobytes()
 
-    def shards(self, code: np.ndarray, shards: int) -> dict[int, dict[bytes, list[tuple[int, int, int]]]]:
-        """For each shard its distinct pieces in a fixed order, with (document, first window, windows) of each occurrence.
+    def shards(self, code: np.ndarray, shards: int) -> dict[int, dict[bytes, list]]:
+        """For each shard its distinct pieces in a fixed order: minimiser, whether it may repeat by itself, and then (document, first window) of each occurrence.
 
-        code: of each segment 0 (cannot repeat), 1, or 1 more than the number of shards it is split over.
+        code: of each segment 0 (cannot repeat), 1, or 1 more than the logarithm of the number of shards it is split over.
         """
         out: dict[int, dict[bytes, list]] = {}
         for i in np.flatnonzero(code).tolist():
             key, d, a, n = int(self.key[i]), int(self.doc[i]), int(self.first[i]), int(self.own[i])
-            raw = self.content(i)
+            raw, again = self.content(i), self.times[i] > 1
             if code[i] == 1:
-                out.setdefault(key % shards, {}).setdefault(raw, []).append((d, a, n))
+                out.setdefault(key % shards, {}).setdefault(raw, [key, again]).append((d, a))
             else:
                 split = 1 << (int(code[i]) - 1)
                 for j in range(n):
                     piece = raw[j : j + self.length]
                     sub = (hash_bytes(piece) % split * 0x9E3779B1 + key) % shards
-                    out.setdefault(sub, {}).setdefault(piece, []).append((d, a + j, 1))
+                    out.setdefault(sub, {}).setdefault(piece, [key, False]).append((d, a + j))
         return {s: dict(sorted(x.items())) for s, x in sorted(out.items())}
 
 
@@ -308,26 +298,34 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     def ship(block: int, t: pa.Table, right: pa.Table):
         s = Segments(t["_t"], length)
         for shard, pieces in s.shards(code_of(s, right), shards).items():
-            yield {"_block": block, "_shard": shard, "sizes": B.pack(np.array([len(x) for x in pieces], dtype=np.uint32)), "many": B.pack(np.array([len(x) for x in pieces.values()], dtype=np.uint32)), "data": b"".join(pieces)}
+            yield {"_block": block, "_shard": shard, "sizes": B.pack(np.array([len(x) for x in pieces], dtype=np.uint32)), "many": B.pack(np.array([len(x) - 2 for x in pieces.values()], dtype=np.uint32)), "keys": B.pack(np.array([x[0] for x in pieces.values()], dtype=np.uint64)), "again": B.pack(np.array([x[1] for x in pieces.values()], dtype=np.uint8)), "data": b"".join(pieces)}
 
-    shipped = B.per_block_with(left, counted.repartition(back, "_block"), ship, "_block long, _shard long, sizes binary, many binary, data binary")
+    shipped = B.per_block_with(left, counted.repartition(back, "_block"), ship, "_block long, _shard long, sizes binary, many binary, keys binary, again binary, data binary")
 
     def sort(k: tuple, t: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        per_row, many = [], []
-        for sizes, c, data in zip(t["sizes"], t["many"], t["data"], strict=True):
+        per_row, many, keys, again = [], [], [], []
+        for sizes, c, k_, g, data in zip(*(t[n] for n in ("sizes", "many", "keys", "again", "data")), strict=True):
             view, at, mine = data.as_py(), 0, []
-            for size, times in zip(np.frombuffer(sizes.as_py(), dtype=np.uint32).tolist(), np.frombuffer(c.as_py(), dtype=np.uint32).tolist(), strict=True):
+            for size, times, key_, self_ in zip(*(np.frombuffer(x.as_py(), dtype=w).tolist() for x, w in ((sizes, np.uint32), (c, np.uint32), (k_, np.uint64), (g, np.uint8))), strict=True):
                 i = number.setdefault(view[at : at + size], len(number))
                 if i == len(many):
                     many.append(0)
+                    keys.append(key_)
+                    again.append(self_)
                 many[i] += times
                 mine.append(i)
                 at += size
             per_row.append(mine)
         pieces = [np.frombuffer(x, dtype=np.uint8) for x in number]
-        own = np.array([len(x) for x in pieces], dtype=np.int64) - length + 1
-        found = repeated(pieces, own, np.array(many, dtype=np.int64), length)
+        own, times = np.array([len(x) for x in pieces], dtype=np.int64) - length + 1, np.array(many, dtype=np.int64)
+        # a minimiser that has one string only, whose windows differ among themselves: its number says all
+        _, back_, of_key = np.unique(np.array(keys, dtype=np.uint64), return_inverse=True, return_counts=True)
+        sort_ = np.flatnonzero((of_key[back_] > 1) | np.array(again, dtype=bool))
+        found = [np.full(o, m > 1) for o, m in zip(own.tolist(), many, strict=True)]
+        if len(sort_):
+            for i, x in zip(sort_.tolist(), repeated([pieces[i] for i in sort_], own[sort_], times[sort_], length), strict=True):
+                found[i] = x
         packed = [np.packbits(np.concatenate([found[i] for i in mine])).tobytes() for mine in per_row]
         return pa.table({"_block": t["_block"], "_shard": t["_shard"], "bits": pa.array(packed, pa.binary())})
 
@@ -344,12 +342,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
         starts: dict[int, list[np.ndarray]] = {}
         for which, pieces in s.shards(code_of(s, codes), shards).items():
             flat, at = np.unpackbits(np.frombuffer(bits[which], dtype=np.uint8)).astype(bool), 0
-            for raw, places in pieces.items():
+            for raw, (_, _, *places) in pieces.items():
                 own = len(raw) - length + 1
                 hit = np.flatnonzero(flat[at : at + own])
                 at += own
                 if len(hit):
-                    for d, a, _ in places:
+                    for d, a in places:
                         starts.setdefault(d, []).append(hit + a)
         rows = []
         for d, b in enumerate(s.docs):
