@@ -55,7 +55,7 @@ def sketch(keys: Column, cells: int) -> Column:
     """Array of cells (n, k, h) of the digests."""
     part = cells // 3
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    places = F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")
+    places = F.sequence(F.lit(0), F.size(keys) * 0 + (cells - 1)).cast("array<bigint>")  # of the row, so that large ones aren't folded into the plan
     return _let(_entries(keys, part), lambda entries: F.transform(places, lambda j: _folded(entries, j, zero)))
 
 
@@ -88,7 +88,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.transform(F.array(d), lambda x: (both - x) / (both + x))[0].cast("double")
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_bucket: int = 4000) -> DataFrame:
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_bucket: int = 2000) -> DataFrame:
     """docs with _next: the text of the row with the next smaller key (after the smallest: the largest).
 
     Keys are cut into ranges at quantiles; each range is sorted by itself, and its last row takes the
@@ -107,6 +107,15 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per
     return ranged.join(after, "_range", "left").withColumn("_next", F.when(F.col("_more").isNotNull(), F.col("_lead")).otherwise(F.col("_head"))).drop("_range", "_lead", "_more", "_nth", "_head")
 
 
-def fingerprints(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """docs with fingerprint and edited_fingerprint of the texts in columns a and b."""
-    return docs.withColumns({"fingerprint": as_text(sketch(digests(docs[a]), CELLS)), "edited_fingerprint": as_text(sketch(digests(docs[b]), CELLS))})
+def compare(docs: DataFrame, keep: list[str], text: str, edited: str, other: str) -> DataFrame:
+    """The columns to keep, with n_chars, edited_sha256, the fingerprints of text and edited, and the likeness of text's to edited's and to other's.
+
+    Everything of one row is one array of one struct that is mapped and then unfolded, so that no digest is worked out twice.
+    """
+    begin = F.array(F.struct(F.col(text).alias("t"), F.col(edited).alias("e"), F.col(other).alias("o")))
+    sets = F.transform(begin, lambda s: F.struct(F.length(s["t"]).cast("long").alias("n"), F.sha2(s["e"].cast("binary"), 256).alias("sha"), digests(s["t"]).alias("a"), digests(s["e"]).alias("b"), digests(s["o"]).alias("c")))
+    rows = F.transform(sets, lambda s: F.struct(
+        s["n"].alias("n_chars"), s["sha"].alias("edited_sha256"), as_text(sketch(s["a"], CELLS)).alias("fingerprint"), as_text(sketch(s["b"], CELLS)).alias("edited_fingerprint"),
+        likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next"),
+    ))
+    return docs.select(*keep, F.inline(rows))

@@ -43,12 +43,8 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("_next", F.lit(1), k))
-    pairs = fingerprint.with_next(docs).withColumns({"n_chars": n.cast("long"), "_edited": edited})
-    sets = pairs.withColumns({"_a": fingerprint.digests(F.col("text")), "_b": fingerprint.digests(F.col("_edited")), "_c": fingerprint.digests(F.col("_next"))})
-    return fingerprint.fingerprints(sets, "text", "_edited").select(
-        "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        fingerprint.likeness(F.col("_a"), F.col("_b")).alias("near_edited"), fingerprint.likeness(F.col("_a"), F.col("_c")).alias("near_next"),
-    )
+    pairs = fingerprint.with_next(docs).withColumn("_edited", edited)
+    return fingerprint.compare(pairs, ["doc_id"], "text", "_edited", "_next")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
