@@ -8,7 +8,7 @@ prefixes of neighbours in the suffix array are computed in text order (permuted)
 ones are compared, the others are one less than the one before.
 
 To sort shards apart, each window of ``length`` bytes belongs to its minimiser, the smallest hash of
-its 16-byte strings, so equal windows share a minimiser. Neighbouring windows of one document with
+its strings of a quarter of that (48 bytes at most), so equal windows share a minimiser. Neighbouring windows of one document with
 one minimiser form a segment. Minimisers that only one segment has cannot repeat and are left out
 (counted as packed hashes); the other segments go to the shard of their minimiser, equal segments of
 a block once with their number, and each shard's suffix array is built over its distinct segments. A
@@ -31,7 +31,7 @@ from tessera.llm import _blocks as B
 from tessera.llm._text import mix, to_bytes
 from tessera.llm.substring import covered, intervals
 
-LENGTH, GRAM, HOT, LONGEST = 200, 16, 50_000, 4096
+LENGTH, SHORTEST, HOT, LONGEST = 200, 16, 50_000, 4096
 BUCKET_BYTES = 64 << 20
 
 
@@ -180,12 +180,24 @@ def repeated(segments: list[np.ndarray], owned: np.ndarray, many: np.ndarray, le
 # --- windows, minimisers and segments of a block -----------------------------------------------
 
 
-def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from each place."""
+def gram_size(length: int) -> int:
+    """Bytes of the strings that minimisers are taken from: a quarter of the window, a multiple of 8, 48 at most.
+
+    Long ones seldom repeat by chance; short ones make longer segments.
+    """
+    return max(8, min(48, length // 32 * 8))
+
+
+def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes (a multiple of 8) from each place."""
     x = np.ndarray((len(b) - 7,), dtype="<u8", buffer=b, strides=(1,)).copy()
-    h = x[:-8] * np.uint64(0x9E3779B97F4A7C15)
+    n = len(b) - size + 1
+    h = x[:n] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    h += x[8:]
+    for at in range(8, size, 8):
+        h += x[at : at + n]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
     return mix(h)
 
 
@@ -208,22 +220,23 @@ class Segments:
         for d, b in enumerate(self.docs):
             if len(b) < length:
                 continue
-            grams = gram_hashes(b)
-            low = sliding_min(grams, length - GRAM + 1)
+            size = gram_size(length)
+            grams = gram_hashes(b, size)
+            low = sliding_min(grams, length - size + 1)
             at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-            size = np.diff(np.append(at, len(low)))
-            if size.max() > LONGEST:  # a long run of one minimiser: cut it
-                parts = -(-size // LONGEST)
+            own_ = np.diff(np.append(at, len(low)))
+            if own_.max() > LONGEST:  # a long run of one minimiser: cut it
+                parts = -(-own_ // LONGEST)
                 inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 at = np.repeat(at, parts) + inner * LONGEST
-                size = np.diff(np.append(at, len(low)))
+                own_ = np.diff(np.append(at, len(low)))
             keys.append(low[at])
             # a string that has its minimiser twice in one document may repeat within a segment
             small = np.sort(grams[grams <= keys[-1].max()])
             again.append(np.searchsorted(small, keys[-1], side="right") - np.searchsorted(small, keys[-1]) > 1)
             doc.append(np.full(len(at), d))
             first.append(at)
-            own.append(size)
+            own.append(own_)
         cat = lambda x, kind: np.concatenate([*x, np.zeros(0, dtype=kind)]).astype(kind)
         self.key, self.doc, self.first, self.own, again = cat(keys, np.uint64), cat(doc, np.int64), cat(first, np.int64), cat(own, np.int64), cat(again, bool)
         #: how often each segment counts: two for those that may repeat by themselves
@@ -270,8 +283,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
 
     whole_characters: intervals shrink to whole UTF-8 characters, so that kept is text.
     """
-    if length < GRAM:
-        raise ValueError(f"length must be {GRAM} or more")
+    if length < SHORTEST:
+        raise ValueError(f"length must be {SHORTEST} or more")
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "removed", "kept")
     left, n, total = B.blocked(docs, key, text, block_bytes)
     buckets = max(1, total // BUCKET_BYTES)
