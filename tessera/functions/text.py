@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the comparison rules.
 CLAUSE = r"^(第[一二三四五六七八九十百千万0-9]+条|\d+(?:\.\d+)*(?:、|\.(?!\d)))"
@@ -20,7 +21,7 @@ NUMBER = r"(?:\d{4}[年./-]\d{1,2}(?:[月./-]\d{1,2}日?)?|\d[\d,]*(?:\.\d+)?%?|
 IGNORED = "，,。；;：:“”\"‘’'（）()【】[]、 *|~"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition of each text."""
     return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
@@ -86,7 +87,7 @@ def semantic_key(comparable: Column) -> Column:
 
 def clause_pieces(comparable: Column) -> Column:
     """The clauses of a paragraph, cut before each clause marker."""
-    return F.filter(F.transform(F.split(comparable, CLAUSE_START), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(comparable, CLAUSE_START), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def number_tokens(text: Column) -> Column:

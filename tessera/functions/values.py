@@ -53,7 +53,7 @@ def normal_form(raw: Column, kind: Column) -> Column:
     length = F.regexp_extract(raw, r"(\d+(?:\.\d+)?)\s*(年|个月|月|周|天|日)", 1).try_cast(DECIMAL)
     unit = F.regexp_extract(raw, r"(\d+(?:\.\d+)?)\s*(年|个月|月|周|天|日)", 2)
     part = lambda i: F.regexp_extract(raw, r"(\d{4})[年./-](\d{1,2})[月./-](\d{1,2})日?", i)
-    day = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
     measure = F.nullif(F.lower(F.regexp_extract(F.regexp_replace(raw, ",", ""), r"[-+]?\d+(?:\.\d+)?\s*([\u4e00-\u9fffA-Za-z]+)", 1)), F.lit(""))
     return (
         F.when((kind == "MONEY") & money.isNotNull(), _form("MONEY", money, cur=currency(raw)))

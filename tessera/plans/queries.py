@@ -100,9 +100,9 @@ ALIASES = {"the": "ARTICLE", "then": "TIME", "las": "ARTICLE_ES", "des": "ARTICL
 
 
 @query(
-    "SELECT doc_id, arg_min(name, struct_pack(a := at, b := n)) FILTER (WHERE at > 0) AS field FROM (SELECT doc_id, name, instr(lower(text), alias) AS at, -length(alias) AS n FROM documents, (VALUES "
+    "SELECT doc_id, arg_min(name, struct_pack(a := pos, b := n)) FILTER (WHERE pos > 0) AS field FROM (SELECT doc_id, name, instr(lower(text), word) AS pos, -length(word) AS n FROM documents, (VALUES "
     + ", ".join(f"('{a}', '{c}')" for a, c in ALIASES.items())
-    + ") AS v(alias, name)) GROUP BY doc_id"
+    + ") AS v(word, name)) GROUP BY doc_id"
 )
 def q_field_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.earliest_alias(F.lower("text"), ALIASES).alias("field"))
@@ -154,6 +154,14 @@ def q_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", sim.indel_ratio("p_name", "p_type").alias("indel"), sim.partial_ratio("p_name", "p_type").alias("partial"), sim.block_similarity("p_name", "p_brand").alias("blocks"))
 
 
+SQL_ROWS = "li AS (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL)"
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines, one for each number (the numbers repeat in the table)."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_linestatus", "l_quantity", "l_returnflag")])
+
+
 # --- differences ---------------------------------------------------------------------------------
 
 
@@ -173,10 +181,10 @@ def q_keyed_row_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", "kind", F.col("old.o_totalprice").alias("old_price"), F.col("new.o_totalprice").alias("new_price"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM lineitem), y AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM lineitem WHERE l_linenumber % 3 <> 0)
+@query(f"""WITH {SQL_ROWS}, x AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM li), y AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM li WHERE l_linenumber % 3 <> 0)
 SELECT l_orderkey, place, CASE WHEN x.l_quantity IS NULL THEN 'ADDED' WHEN y.l_quantity IS NULL THEN 'DELETED' ELSE 'CHANGED' END AS kind FROM x FULL JOIN y USING (l_orderkey, place) WHERE x.l_quantity IS DISTINCT FROM y.l_quantity""")
 def q_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    li = order_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity")
     return diffs.positional_diff(li, li.where("l_linenumber % 3 <> 0"), ["l_orderkey"], "l_linenumber", ["l_quantity"]).select("l_orderkey", F.col("place").cast("long").alias("place"), "kind")
 
 
@@ -250,13 +258,13 @@ def q_recompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a table: a row for each line, a column each for line number, status, quantity and flag."""
-    li = table(spark, sf_dir, "lineitem")
+    li = order_rows(spark, sf_dir)
     texts = F.array(F.col("l_linenumber").cast("string"), F.col("l_linestatus"), F.col("l_quantity").cast("int").cast("string"), F.expr("if(l_linenumber % 2 = 0, '', l_returnflag)"))
     c = li.select(F.col("l_orderkey").alias("doc"), F.lit(0).alias("table"), (F.col("l_linenumber") - 1).alias("row"), F.posexplode(texts).alias("col", "text"))
     return c.withColumns({"logical": F.lit(None).cast("string"), "row_span": F.lit(1), "col_span": F.lit(1), "place": F.concat_ws(".", "row", "col")})
 
 
-SQL_CELLS = """cells AS (SELECT l_orderkey AS doc, l_linenumber - 1 AS row, unnest([0, 1, 2, 3]) AS col, unnest([l_linenumber::VARCHAR, l_linestatus, trunc(l_quantity)::INT::VARCHAR, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag END]) AS text FROM lineitem)"""
+SQL_CELLS = SQL_ROWS + """, cells AS (SELECT l_orderkey AS doc, l_linenumber - 1 AS row, unnest([0, 1, 2, 3]) AS col, unnest([l_linenumber::VARCHAR, l_linestatus, trunc(l_quantity)::INT::VARCHAR, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag END]) AS text FROM li)"""
 
 
 @query(f"WITH {SQL_CELLS}, f AS (SELECT *, min(row) OVER (PARTITION BY doc) AS first FROM cells) SELECT doc, string_agg(text, '|' ORDER BY col) FILTER (WHERE row = first) AS header, max(col) + 1 AS columns, count(DISTINCT row) AS rows FROM f GROUP BY doc")
@@ -306,7 +314,7 @@ def q_shape_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_CELLS}, o AS (SELECT doc, row, min(text) FILTER (WHERE col = 0) AS key FROM cells GROUP BY ALL), n AS (SELECT * FROM o WHERE NOT (doc % 3 = 0 AND row = 2))
-SELECT doc AS "table", o.row AS old_row, n.row AS new_row, 'KEY' AS by FROM o FULL JOIN n USING (doc, key)""")
+SELECT doc AS "table", o.row AS old_row, n.row AS new_row, CASE WHEN doc IN (SELECT doc FROM n) THEN 'KEY' ELSE 'PLACE' END AS by FROM o FULL JOIN n USING (doc, key)""")
 def q_pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (tables.dense_rows(x) for x in two_tables(spark, sf_dir))
     return tables.pair_rows(a, b).select("table", F.col("old.row").alias("old_row"), F.col("new.row").alias("new_row"), "by")
@@ -396,8 +404,8 @@ def q_ambiguous_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(n.alias("values"), (n > 1).alias("ambiguous"))
 
 
-@query("""WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id)
-SELECT doc_id, CASE WHEN n IS NULL THEN 'MISSING' WHEN e.doc_id IS NULL THEN 'UNEXPECTED' WHEN n > 1 THEN 'DUPLICATE' END AS error FROM (SELECT coalesce(e.doc_id, r.doc_id) AS doc_id, n, e FROM e FULL JOIN r ON e.doc_id = r.doc_id) e WHERE n IS NULL OR e IS NULL OR n > 1""".replace("WHEN e.doc_id IS NULL", "WHEN e.e IS NULL"))
+@query("""WITH e AS (SELECT DISTINCT doc_id AS a FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id AS b, count(*) AS n FROM labels GROUP BY doc_id)
+SELECT coalesce(a, b) AS doc_id, CASE WHEN b IS NULL THEN 'MISSING' WHEN a IS NULL THEN 'UNEXPECTED' ELSE 'DUPLICATE' END AS error FROM e FULL JOIN r ON a = b WHERE b IS NULL OR a IS NULL OR n > 1""")
 def q_coverage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.coverage_errors(table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), table(spark, sf_dir, "labels"), ["doc_id"])
 
