@@ -3,19 +3,20 @@
 A document is the set of its distinct k-word shingles (the whole sequence if it has fewer words).
 Two permutations make all coordinates of its signature: one scatters the shingles, the other is
 shifted circularly by one for each coordinate. Coordinates are banded; documents with equal sets
-are one node. In each band bucket
+are one node. Then
 
-1. every node is compared with the bucket's pivot, the node that shares most buckets with others;
-2. once the links found are joined into components, buckets that still hold several are looked at again.
-   A node x has ``inter`` shingles of its pivot; of the others, ``s`` stand in another node of that pivot
-   too. So it shares at most inter + s with any other node, which bounds the size of those that it can
-   link with. Nodes whose bound is under the smallest size in the bucket are done;
-3. the rest are compared pair by pair, in blocks, first by size bounds and signatures and then by their
-   full sets.
+1. in each band bucket every node is compared with the bucket's pivot, the node that shares most buckets
+   with others, and the links found are joined into components;
+2. buckets that still hold several components are joined into groups, and each node of a group is
+   compared with one reference node. It has ``inter`` shingles in common with that, and others beside. Two
+   nodes share at most the smaller ``inter`` and those others that both have. So a pair must share a
+   number of others that follows from its sizes, and some of the rarest (a prefix filter over the others
+   only), or have sizes and ``inter`` that allow a link without any. Only pairs of different components
+   that meet these bounds are compared.
 
 So no pair that shares a bucket stays open, while a group of thousands of copies, near ones included,
-costs a comparison or two each. Every link is confirmed on full sets. At similarity 0.8 a pair shares no bucket with a
-probability of 4e-7, and a true pair fails the comparison of signatures with less than 1e-9.
+costs a few comparisons each. Every link is confirmed on full sets. At similarity 0.8 a pair shares no
+bucket with a probability of 4e-7.
 
 Null and empty texts have no shingles and no links. Rows that share a document id are one document.
 A null id takes part but is never the smallest of its component (null if there is none).
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._blocks import cut
@@ -36,10 +37,6 @@ from tessera.llm._text import LOWER, mix, text_bytes, to_bytes, window_hashes, w
 
 BANDS, ROWS = 28, 4
 K = BANDS * ROWS
-#: Signature coordinates that two documents must share before their sets are compared: at similarity
-#: 0.8 their number has mean 89.6 and standard deviation 4.3.
-LEAST_SHARED = 62
-CHUNK = 256
 _SHIFTS = np.arange(K, dtype=np.uint32)
 
 
@@ -75,24 +72,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """_id, n_shingles, two hashes of the set, band keys and a byte of each coordinate."""
+    """_id, n_shingles, two hashes of the set, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, lo, hi, bands, sig = [], [], [], [], []
+            n, lo, hi, bands = [], [], [], []
             for x in b["_t"]:
                 s = shingles(x.as_py(), k)
                 n.append(len(s))
                 h = mix(s)
                 lo.append(int(s.sum().view(np.int64)) if len(s) else 0)
                 hi.append(int(h.sum().view(np.int64)) if len(s) else 0)
-                g = signature(s)
-                bands.append(band_keys(g).tolist() if len(s) else [])
-                sig.append(g.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["_id", "n_shingles", "_lo", "_hi", "_bands", "_sig"])
+                bands.append(band_keys(signature(s)).tolist() if len(s) else [])
+            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["_id", "n_shingles", "_lo", "_hi", "_bands"])
 
     docs = docs.select(F.col(key).cast("long").alias("_id"), text_bytes(docs, text).alias("_t"))
-    return docs.mapInArrow(run, "_id long, n_shingles long, _lo long, _hi long, _bands array<long>, _sig binary")
+    return docs.mapInArrow(run, "_id long, n_shingles long, _lo long, _hi long, _bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -132,85 +127,64 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket"), "bucket")
 
 
-def _reach(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, id, n, reach): the largest size of a node that id can link with among those of one pivot."""
+def _against_reference(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """nodes (grp, id, comp, ref) with n, inter (shingles shared with the reference) and others (those that aren't)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, inter, more = [], [], []
+            n, inter, others = [], [], []
             for x, y in zip(batch["x"], batch["y"], strict=True):
                 s, t = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                there = t[at] == s
+                there = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
                 n.append(len(s))
                 inter.append(int(there.sum()))
-                more.append(s[~there].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch["pivot"], batch["id"], pa.array(n, pa.int64()), pa.array(inter, pa.int64()), pa.array(more, pa.list_(pa.int64()))], names=["pivot", "id", "n", "inter", "more"])
-
-    pairs = open_.select("pivot", "id").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")), "pivot").join(sets.select("id", F.col("set").alias("x")), "id")
-    met = cut(both.select("pivot", "id", "x", "y").mapInArrow(run, "pivot long, id long, n long, inter long, more array<long>"))
-    others = met.select("pivot", "id", F.explode("more").alias("shingle"))
-    twice = others.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    shared = others.join(twice, ["pivot", "shingle"]).groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("s"))
-    # 100 * o >= percent * (n + m - o) for a partner of size m and an overlap o of at most inter + s
-    most = F.floor((F.col("inter") + F.coalesce("s", F.lit(0))) * F.lit((100 + percent) / percent) + 1e-9) - F.col("n")
-    return met.join(shared, ["pivot", "id"], "left").select("pivot", "id", "n", most.alias("reach"))
-
-
-def _across(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of one bucket but different components whose signatures agree often enough.
-
-    open_: bucket, id, component, number of shingles, reach, signature, bucket size. Buckets are cut into chunks of
-    about CHUNK nodes and every two chunks meet in a block, so no task holds a whole bucket.
-    """
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK)).cast("int")
-    dealt = open_.withColumn("m", chunks).withColumn("i", F.pmod(F.xxhash64("id", F.lit(5)), F.col("m")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
-    dealt = dealt.withColumn("g", F.xxhash64("bucket", "p", "q")).select("g", "i", "id", "comp", "n", "reach", "sig")
-    dealt = dealt.repartition("g").sortWithinPartitions("g", "i", "id")
-
-    def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        g, i, ids, comp, n, reach = (t[c].to_numpy() for c in ("g", "i", "id", "comp", "n", "reach"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(-1, K)
-        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        for a, z in zip(at.tolist(), [*at[1:].tolist(), len(g)], strict=True):
-            split = a + int(np.searchsorted(i[a:z], i[a], side="right"))
-            one = split == z  # a chunk with itself, else with another
-            for x in range(a, z if one else split):
-                lo, hi = (x + 1, z) if one else (split, z)
-                near = (comp[lo:hi] != comp[x]) & (n[lo:hi] <= reach[x]) & (n[x] <= reach[lo:hi]) & (100 * np.minimum(n[lo:hi], n[x]) >= percent * np.maximum(n[lo:hi], n[x]))
-                y = lo + np.flatnonzero(near)
-                if len(y):
-                    y = y[(sig[y] == sig[x]).sum(axis=1) >= LEAST_SHARED]
-                if len(y):
-                    other = ids[y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[x])), pa.array(np.maximum(other, ids[x]))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            g = b["g"].to_numpy()
-            last = 0 if g[0] == g[-1] else int(np.flatnonzero(g != g[-1])[-1]) + 1
-            if last or (held and held[-1]["g"][0].as_py() != b["g"][0].as_py()):
-                yield from compare([*held, b.slice(0, last)] if last else held)
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield from compare(held)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+                others.append(s[~there].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch["grp"], batch["id"], batch["comp"], pa.array(n, pa.int64()), pa.array(inter, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names=["grp", "id", "comp", "n", "inter", "others"])
+
+    both = nodes.join(sets.select(F.col("id").alias("ref"), F.col("set").alias("y")), "ref").join(sets.select("id", F.col("set").alias("x")), "id")
+    return both.select("grp", "id", "comp", "x", "y").mapInArrow(run, "grp long, id long, comp long, n long, inter long, others array<long>")
+
+
+def _open_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one group and different components that the bounds leave; one of the two is outside the group's largest component."""
+    need = lambda m, n: F.ceil(F.lit(percent) * (m + n) / F.lit(100 + percent))
+    largest = met.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max(F.struct("k", "comp"))["comp"].alias("big"), F.lit(1).alias("one"))
+    least = met.groupBy("grp").agg(F.min("n").alias("least"))
+    known = met.join(largest.drop("one"), "grp").join(least, "grp").withColumn("outside", F.col("comp") != F.col("big"))
+    # the smallest partner that a node can link with at all
+    partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    known = known.withColumn("t", F.greatest(F.lit(1), need(F.col("n"), partner) - F.col("inter")))
+
+    # pairs that share some of the other shingles: the rarest of those outside the largest component decide
+    rows = known.select("grp", "id", "comp", "n", "inter", "outside", (F.size("others") - F.col("t") + 1).alias("prefix"), "t", F.explode("others").alias("shingle"))
+    rare = rows.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("f"), F.bool_or("outside").alias("asked")).where("f > 1 and asked").drop("asked")
+    single = rows.where("outside and prefix > 0").join(rare, ["grp", "shingle"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    ranked = single.withColumn("r", F.row_number().over(Window.partitionBy("grp", "id").orderBy("f", "shingle"))).where("r <= prefix and f > 1")
+    x = ranked.select("grp", "shingle", F.col("id").alias("xi"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("inter").alias("xk"), "t")
+    y = rows.select("grp", "shingle", F.col("id").alias("yi"), F.col("comp").alias("yc"), F.col("n").alias("yn"), F.col("inter").alias("yk"))
+    ratio = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+    # of the shingles past the prefix, t - 1 at most are shared
+    met_by = x.join(y, [x["grp"] == y["grp"], x["shingle"] == y["shingle"], F.col("xc") != F.col("yc"), ratio]).groupBy("xi", "yi").agg(F.count(F.lit(1)).alias("k"), F.first("t").alias("t"), F.first(need(F.col("xn"), F.col("yn")) - F.least("xk", "yk")).alias("must"))
+    shared = met_by.where(F.col("k") + F.col("t") - 1 >= F.col("must"))
+
+    # pairs that need none: by sizes, of which a group has few
+    near = known.where(need(F.col("n"), partner) <= F.col("inter")).select("grp", "id", "comp", "n", "inter", "outside")
+    reach = F.floor(F.col("inter") * F.lit(100 + percent) / percent) - F.col("n")
+    sizes = near.select("grp", F.col("n").alias("yn")).distinct()
+    asks = near.where("outside").withColumn("reach", reach).join(sizes, "grp").where((F.col("yn") <= F.col("reach")) & (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")))
+    asks = asks.select("grp", "yn", F.col("id").alias("xi"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("inter").alias("xk"))
+    others = near.select("grp", F.col("n").alias("yn"), F.col("id").alias("yi"), F.col("comp").alias("yc"), F.col("inter").alias("yk"))
+    plain = asks.join(others, [asks["grp"] == others["grp"], asks["yn"] == others["yn"], F.col("xc") != F.col("yc"), F.least("xk", "yk") >= need(F.col("xn"), others["yn"])])
+    pairs = shared.select("xi", "yi").unionAll(plain.select("xi", "yi"))
+    return pairs.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest id reachable over links) and kept, for each row of docs."""
     rows = cut(signed(docs, k, key, text))
     node = ["_lo", "_hi", "n_shingles"]
-    nodes = rows.where("n_shingles > 0 and _id is not null").groupBy(*node).agg(F.min(F.struct("_id", "_sig", "_bands")).alias("m"))
-    nodes = cut(nodes.select(*node, F.col("m._id").alias("id"), F.col("m._sig").alias("sig"), F.col("m._bands").alias("bands")))
+    nodes = rows.where("n_shingles > 0 and _id is not null").groupBy(*node).agg(F.min(F.struct("_id", "_bands")).alias("m"))
+    nodes = cut(nodes.select(*node, F.col("m._id").alias("id"), F.col("m._bands").alias("bands")))
 
     members = nodes.select(F.explode("bands").alias("bucket"), "id")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -224,16 +198,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     found = components(links)
 
     placed = live.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    open_ = cut(_split(placed).join(pivots, "bucket").select("bucket", "id", "comp", F.col("b").alias("pivot")))
-    bounds = _reach(open_, sets, percent)
-    active = open_.join(bounds, ["pivot", "id"])
-    least = active.groupBy("bucket").agg(F.min("n").alias("least"))
-    active = _split(active.join(least, "bucket").where("reach >= least"))
-    sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    ready = active.join(sizes, "bucket").join(nodes.select("id", "sig"), "id").select("bucket", "id", "comp", "n", "reach", "sig", "c")
-    more = cut(_confirmed(_across(ready, percent), sets, percent))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    open_ = cut(_split(placed).join(pivots, "bucket").select("id", "comp", F.col("b").alias("pivot")).distinct())
+    if not open_.isEmpty():
+        groups = components(open_.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        member = open_.select("id", "comp").distinct().join(groups.select("id", F.col("component").alias("grp")), "id")
+        refs = member.join(popular, "id").groupBy("grp").agg(F.min(F.struct(-F.col("p"), F.col("id")))["id"].alias("ref"))
+        met = cut(_against_reference(member.join(refs, "grp"), sets))
+        more = cut(_confirmed(_open_pairs(met, percent), sets, percent))
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
 
     class_of = nodes.join(found, "id", "left").select(*[F.col(c).alias(f"_{c}") for c in node], F.coalesce("component", "id").alias("component_id"))
     same = (rows["_lo"] == class_of["__lo"]) & (rows["_hi"] == class_of["__hi"]) & (rows["n_shingles"] == class_of["_n_shingles"]) & (rows["n_shingles"] > 0)
