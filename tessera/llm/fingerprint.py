@@ -31,12 +31,12 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(SEED)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _places(key: Column, part: int) -> list[Column]:
+def _places(key: Column, part: Column) -> list[Column]:
     """The digest's cell in each of the three parts of ``part`` cells."""
-    return [F.pmod(F.shiftright(F.xxhash64(key, F.lit(SEED + 1 + t)), 8), F.lit(part)) + t * part for t in range(3)]
+    return [F.pmod(F.shiftright(F.xxhash64(key, F.lit(SEED + 1 + t)), 8), part) + t * part for t in range(3)]
 
 
-def _entries(keys: Column, part: int) -> Column:
+def _entries(keys: Column, part: Column) -> Column:
     return F.transform(keys, lambda k: F.struct(F.lit(1).alias("n"), k.alias("k"), _check(k).alias("h"), F.array(*_places(k, part)).alias("at")))
 
 
@@ -51,11 +51,11 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def sketch(keys: Column, cells: int) -> Column:
-    """Array of cells (n, k, h) of the digests."""
-    part = cells // 3
+def sketch(keys: Column, cells: Column) -> Column:
+    """Array of cells (n, k, h) of the digests; cells (a long) is a multiple of three."""
+    part = (cells / 3).cast("long")
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    places = F.sequence(F.lit(0), F.size(keys) * 0 + (cells - 1)).cast("array<bigint>")  # of the row, so that large ones aren't folded into the plan
+    places = F.sequence(F.lit(0).cast("long"), cells - 1)
     return _let(_entries(keys, part), lambda entries: F.transform(places, lambda j: _folded(entries, j, zero)))
 
 
@@ -65,9 +65,9 @@ def as_text(cells: Column) -> Column:
     return F.base64(F.unhex(F.array_join(hexed, "")))
 
 
-def differing(a: Column, b: Column, cells: int) -> Column:
+def differing(a: Column, b: Column, cells: Column) -> Column:
     """How many digests differ between two sketches; null if peeling gets stuck."""
-    part = cells // 3
+    part = (cells / 3).cast("long")
     minus = F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
     pure = lambda cells_: F.array_distinct(F.transform(F.filter(cells_, lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"]))), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"), F.array(*_places(c["k"], part)).alias("at"))))
     state = lambda cells_, found: _let(cells_, lambda c: F.struct(c.alias("cells"), pure(c).alias("pure"), found.alias("found")))
@@ -81,8 +81,9 @@ def differing(a: Column, b: Column, cells: int) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets of digests from the peeled difference of their sketches, larger ones on failure."""
-    sizes = [CELLS * GROWTH**i for i in range(SIZES)]
-    d = F.coalesce(*[differing(sketch(a, m), sketch(b, m), m) for m in sizes], F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+    sizes = F.array(*[F.lit(CELLS * GROWTH**i).cast("long") for i in range(SIZES)])
+    d = F.aggregate(sizes, F.lit(None).cast("int"), lambda d, m: F.when(d.isNull(), differing(sketch(a, m), sketch(b, m), m)).otherwise(d))
+    d = F.coalesce(d, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
     d = F.when(a == b, F.lit(0)).otherwise(d)
     both = F.size(a) + F.size(b)
     return F.transform(F.array(d), lambda x: (both - x) / (both + x))[0].cast("double")
@@ -115,7 +116,7 @@ def compare(docs: DataFrame, keep: list[str], text: str, edited: str, other: str
     begin = F.array(F.struct(F.col(text).alias("t"), F.col(edited).alias("e"), F.col(other).alias("o")))
     sets = F.transform(begin, lambda s: F.struct(F.length(s["t"]).cast("long").alias("n"), F.sha2(s["e"].cast("binary"), 256).alias("sha"), digests(s["t"]).alias("a"), digests(s["e"]).alias("b"), digests(s["o"]).alias("c")))
     rows = F.transform(sets, lambda s: F.struct(
-        s["n"].alias("n_chars"), s["sha"].alias("edited_sha256"), as_text(sketch(s["a"], CELLS)).alias("fingerprint"), as_text(sketch(s["b"], CELLS)).alias("edited_fingerprint"),
+        s["n"].alias("n_chars"), s["sha"].alias("edited_sha256"), as_text(sketch(s["a"], F.lit(CELLS).cast("long"))).alias("fingerprint"), as_text(sketch(s["b"], F.lit(CELLS).cast("long"))).alias("edited_fingerprint"),
         likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next"),
     ))
     return docs.select(*keep, F.inline(rows))
