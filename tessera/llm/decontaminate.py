@@ -71,8 +71,9 @@ def align(item: np.ndarray, text: np.ndarray, k: int, lo: int, hi: int) -> tuple
     for i in range(m):
         new = d + (padded[i : i + width] != item[i])
         new[:-1] = np.minimum(new[:-1], d[1:] + 1)
-        d = np.minimum.accumulate(new - step) + step
-        if d.min() > k:
+        d = np.minimum.accumulate(new - step)
+        d += step
+        if i & 7 == 7 and d.min() > k:
             return None
     at = int(d.argmin())
     return (int(d[at]), m + lo + at) if d[at] <= k else None
@@ -111,7 +112,7 @@ class Index:
             hit = self.grams[at] == x[pos]
             for i, lo, hi in self.bands(pos[hit], at[hit]) if hit.sum() >= self.min_least else ():
                 k, t = int(self.k[i]), self.texts[i]
-                if found := align(t, b, k, lo - k, hi + k):
+                if found := align(t, b, k, lo, hi):  # the diagonals of a match are no more than k apart, so one band holds them all
                     edits, end = found
                     head = max(0, end - len(t) - k)
                     back = align(t[::-1], b[head:end][::-1], k, -k, k)
@@ -127,14 +128,15 @@ class Index:
         band = (np.repeat(pos, n) - self.place[entry]) // width
         base, span = int(band.min()) - 1, int(band.max()) - int(band.min()) + 3
         key = item * span + (band - base)
-        keys, counts = np.unique(key, return_counts=True)
-        # a band covers two strips of diagonals, its own and the next
-        below = np.zeros(len(keys), dtype=np.int64)
-        follows = np.flatnonzero(keys[1:] == keys[:-1] + 1)
-        below[follows] = counts[follows + 1]
-        alone = np.setdiff1d(keys - 1, keys)
-        j = np.searchsorted(keys, alone + 1)
-        keys, both = np.concatenate([keys, alone]), np.concatenate([counts + below, counts[j]])
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        keys, counts = key[first], np.diff(np.append(first, len(key)))
+        # a band covers two strips of diagonals, its own and the next; bands whose own strip is empty count too
+        follows = np.concatenate([keys[1:] == keys[:-1] + 1, [False]])
+        both = counts.copy()
+        both[:-1][follows[:-1]] += counts[1:][follows[:-1]]
+        alone = np.concatenate([[True], ~follows[:-1]])
+        keys, both = np.concatenate([keys, keys[alone] - 1]), np.concatenate([both, counts[alone]])
         items = np.minimum(keys // span, len(self.k) - 1)
         ok = both >= self.least[items]
         return [(int(i), (int(s) + base) * (int(self.k[i]) + 1), (int(s) + base + 2) * (int(self.k[i]) + 1) - 1) for i, s in zip(items[ok], keys[ok] % span, strict=True)]
