@@ -139,7 +139,7 @@ def test_context_tree_is_a_distribution_and_the_base_is_exact(spark, corpus):
 
 def test_tree_sums_to_one():
     r = np.random.default_rng(7)
-    context = np.uint64(0x61626364)
+    context = np.uint64(int.from_bytes(b"abcdefghij"[: ctw.DEPTH], "big"))
     grams = np.unique(np.concatenate([(context << np.uint64(8)) | np.arange(256, dtype=np.uint64), ((context + np.uint64(256)) << np.uint64(8)) | r.integers(0, 256, 40).astype(np.uint64)]))
     tree = ctw.Tree(grams, np.where(r.random(len(grams)) < 0.1, r.integers(1, 50, len(grams)), 0).astype(float))
     root = np.stack([np.full(256, 0.3), np.full(256, 0.4)])
