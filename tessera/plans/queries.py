@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
 from tessera.functions import text as tx
 from tessera.functions import values
-from tessera.operators import align, batches, diffs, facts, golden, graph, pages, reports, rules, tables, tasks
+from tessera.operators import align, batches, candidates, diffs, facts, golden, graph, pages, reports, rules, tables, tasks
 from tessera.plans import compare
 from tessera.sources import documents as src
 
@@ -700,3 +700,45 @@ def q_backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_value_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.col("l_quantity").cast("string"), F.lit(" pcs"))
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("review"), values.number(raw).alias("v")).groupBy("review").agg(F.sum("v").cast("decimal(38,2)").alias("total"))
+
+
+# --- candidates ----------------------------------------------------------------------------------
+
+
+def found_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query("SELECT doc_id, count(*) AS percentages FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[-+]?([0-9]{1,3}([,，][0-9]{3})+|[0-9]+)([.][0-9]+)?\\s*(%|％|百分之)')) FROM documents) GROUP BY doc_id")
+def q_percentage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_spans(spark, sf_dir).where("kind = 'PERCENTAGE'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("percentages"))
+
+
+@query()
+def q_numeric_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.numeric_candidates(found_spans(spark, sf_dir), ["doc_id"])
+
+
+@query("SELECT source, doc_id, last_value(CASE WHEN regexp_matches(head, '^[A-Z][a-z]* ?[a-z]*[.]$') AND length(head) <= 40 THEN head END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM (SELECT source, doc_id, split_part(text, chr(10), 1) AS head FROM documents)")
+def q_last_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.split_part("text", F.lit("\n"), F.lit(1))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", head.alias("head"))
+    is_heading = F.col("head").rlike("^[A-Z][a-z]* ?[a-z]*[.]$") & (F.length("head") <= 40)
+    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select("source", "doc_id", F.last(F.when(is_heading, F.col("head")), ignorenulls=True).over(w).alias("heading"))
+
+
+@query()
+def q_page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document against the same lines cut in two, with a page for every ten halves."""
+    local = lines_of(spark, sf_dir).where("ordinal < 12").select(F.col("doc_id").cast("string").alias("file"), F.lit("PARAGRAPH").alias("kind"), "ordinal", F.col("line").alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.filter(F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))), lambda p: p != "")
+    external = local.select("file", "kind", "ordinal", F.posexplode(parts).alias("i", "text")).select("file", "kind", (F.col("ordinal") * 2 + F.col("i")).alias("ordinal"), "text", F.floor(F.col("ordinal") / 5).cast("int").alias("page"))
+    return pages.align_pages(local, external)
+
+
+@query()
+def q_document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = versions(spark, sf_dir)
+    return candidates.document_similarity(a.where("ordinal < 20"), b.where("ordinal < 20"))

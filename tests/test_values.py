@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import similarity as sim
 from tessera.functions import text as tx
 from tessera.functions.values import canonical, normal_form, same_value
-from tessera.operators import align, diffs, facts, graph, reports, rules
+from tessera.operators import align, candidates, diffs, facts, graph, pages, reports, rules
 
 
 def one(spark, column, **values):
@@ -141,3 +141,43 @@ def test_required_missing(spark):
     need = spark.createDataFrame([(1, "b")], "fact long, file string")
     items = facts.matrix_items(facts.fact_matrix(t, r, facts.default_mapping(t, r), files, need))
     assert {(x.kind, x.code, x.file) for x in items.collect()} == {("RISK", "SOURCE_CONFLICT", "a"), ("RISK", "REQUIRED_SOURCE_MISSING", "b")}
+
+
+def test_typed_spans(spark):
+    text = "合同编号：AB-2026/01，金额1,000万元，费率5.20%，期限2年，签于2026年8月21日，第3条，共12台，另付租金35，见7。"
+    b = spark.createDataFrame([(1, "PARAGRAPH", text)], "doc int, type string, text string")
+    found = candidates.spans(b, ["doc"])
+    chosen = candidates.numeric_candidates(found, ["doc"])
+    got = {(r.kind, r.raw) for r in chosen.collect()}
+    assert {("IDENTIFIER", "AB-2026/01"), ("MONEY", "1,000万"), ("PERCENTAGE", "5.20%"), ("DURATION", "2年"), ("DATE", "2026年8月21日"), ("QUANTITY", "12台"), ("NUMBER", "35")} <= got
+    assert not any(r == "3" for _, r in got)
+    m = candidates.metrics(found, chosen).first()
+    assert m.total == m.structural + m.overlapping + m.chosen
+    values = {r.value for r in candidates.cross_candidates(chosen, b, ["doc"]).collect()}
+    assert {"1000万", "5.20%", "2026年8月21日"} <= values
+    assert candidates.text_candidates(b).count() == 1
+
+
+@pytest.mark.parametrize("text,want", [("十二", 12), ("三百零五", 305), ("两千", 2000), ("一万二千", 12000), ("37", 37), ("甲", None), ("", None), ("二十", 20)])
+def test_chinese_numbers(spark, text, want):
+    assert one(spark, candidates.chinese_number(F.col("t")), t=text) == want
+
+
+def test_grounded_quotes(spark):
+    f = candidates.grounded_quote("s", "q")
+    assert one(spark, f, s="金额 １００ 万元整", q="100万元") == "１００ 万元"
+    assert one(spark, f, s="abab", q="ab") is None
+    assert one(spark, f, s="abc", q="x") is None
+
+
+def test_page_spans_are_unique_and_monotone():
+    local = ["第一段内容很长很长很长", "第二段内容也很长很长", "相同", "相同"]
+    external = ["第一段内容很长", "很长很长", "第二段内容也很长很长", "相同"]
+    assert pages.align_spans(local, external)[:2] == [(0, 0, 2), (1, 2, 3)]
+    assert all(i < 2 for i, _, _ in pages.align_spans(local, external))
+
+
+def test_find_paragraph(spark):
+    b = spark.createDataFrame([(1, 0, 1, "甲方付款"), (1, 1, 2, "甲方付款"), (1, 2, 2, "乙方应当在十日内交货")], "doc int, ordinal int, page int, text string")
+    s = spark.createDataFrame([("a", 1, 2, "甲方付款"), ("b", 1, 9, "甲方付款"), ("c", 1, 1, "乙方应当在九日内交货"), ("d", 1, 1, "无关")], "side string, doc int, page int, text string")
+    assert {r.side: (r.ordinal, r.how) for r in candidates.find_paragraph(s, b).collect()} == {"a": (1, "PAGE"), "b": (0, "EQUAL"), "c": (2, "SIMILAR")}
