@@ -2,7 +2,7 @@
 
 Training takes the labelled rows, at most ``SAMPLE`` of them (those with the smallest seeded hash, a
 documented bound), and keeps the ``FEATURES`` words and word beginnings whose presence says most
-about the label (log-likelihood ratio). Examples with equal vectors are merged into one with counts
+for the label (log-likelihood ratio, and at least half of their rows). Examples with equal vectors are merged into one with counts
 of both labels, so the index is bounded by features and sample and is broadcast.
 
 A text's score is the vote of its ``NEIGHBOURS`` nearest distinct example vectors, each weighted by
@@ -25,18 +25,28 @@ from pyspark.sql import functions as F
 
 from tessera.llm._text import BASES, BYTE_CODE, LOWER, mix, powers, text_bytes, to_bytes, word_bounds
 
-SAMPLE, FEATURES, NEIGHBOURS, BLOCK = 20_000, 512, 15, 64
-PREFIXES = (4, 5, 6)
+SAMPLE, FEATURES, NEIGHBOURS, BLOCK = 20_000, 1024, 15, 64
+PREFIXES = (4, 5, 6, 7, 8)
+#: A feature must speak for the label: most of its rows have it. The share of the label counts as much as a quarter of a vote.
+PURE, PRIOR = 0.5, 0.25
 EDGE = np.frombuffer(b".,;:!?\"'()[]{}|*%&$#-", dtype=np.uint8)
 IS_EDGE = np.isin(np.arange(256), EDGE)
 
 
-def features(raw: bytes | None) -> np.ndarray:
-    """Hashes of the lower-case words, without punctuation around them, and of their beginnings."""
+#: Besides being there: standing there this often, and in this share of the words.
+OFTEN, DENSE = (2, 3), (0.004, 0.01)
+
+
+def features(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of a text's features and how often each is there.
+
+    Features are the lower-case words without punctuation around them, their beginnings, and for each of both
+    whether it is frequent (OFTEN) or dense (DENSE) in the text.
+    """
     b = LOWER[to_bytes(raw)]
     starts, ends = word_bounds(np.where(IS_EDGE[b], np.uint8(32), b))
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     p, inv = powers(len(b) + 1, BASES[0])
     c = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum(BYTE_CODE[b] * p[: len(b)], out=c[1:])
@@ -45,7 +55,14 @@ def features(raw: bytes | None) -> np.ndarray:
     for k in PREFIXES:
         s = starts[ends - starts >= k]
         out.append(cut(s, s + k, 100 + k))
-    return np.concatenate(out)
+    u, n = np.unique(np.concatenate(out), return_counts=True)
+    tagged = [(u, n)]
+    for i, least in enumerate([*OFTEN, *(max(1, d * len(starts)) for d in DENSE)]):
+        there = n >= least
+        tagged.append((mix(u[there] + np.uint64(200 + i)), n[there]))
+    h, n = (np.concatenate(x) for x in zip(*tagged, strict=True))
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 class BlockMaxIndex:
@@ -106,7 +123,7 @@ class Model:
             rate, odds = a / c, self.prior
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = 2 * (np.where(a > 0, a * np.log(rate / odds), 0) + np.where(c > a, (c - a) * np.log((1 - rate) / (1 - odds)), 0))
-            strong = (gain > 20) & (rate > odds)
+            strong = (gain > 10) & (rate >= max(PURE, odds))
             order = np.lexsort((hashes, -gain))
             order = order[strong[order]][:n_features]
             self.terms = np.sort(hashes[order])
@@ -137,18 +154,14 @@ class Model:
 
     def score(self, raw: bytes | None) -> tuple[float, list[tuple[float, int, int]]]:
         """Share of label 1 among the nearest examples, and those (cosine, rows of label 0, of label 1)."""
-        f = features(raw)
-        if len(self.terms) and len(f):
-            at = np.minimum(np.searchsorted(self.terms, f), len(self.terms) - 1)
-            f = f[self.terms[at] == f]
-        t, w = self.vector(*np.unique(f, return_counts=True))
+        t, w = self.vector(*features(raw))
         if not len(t):
             return (self.none if self.n else 0.0), []
         i, s = self.index.top(t, w, self.k)
         if not len(i):
             return self.prior, []
         votes = (self.counts[i] * (s**2)[:, None]).sum(0)
-        return float((votes[1] + self.prior) / (votes.sum() + 1)), [(float(x), int(c[0]), int(c[1])) for x, c in zip(s, self.counts[i], strict=True)]
+        return float((votes[1] + PRIOR * self.prior) / (votes.sum() + PRIOR)), [(float(x), int(c[0]), int(c[1])) for x, c in zip(s, self.counts[i], strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, n_features: int = FEATURES, neighbours: int = NEIGHBOURS) -> Model:
@@ -162,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: st
         for b in batches:
             if not b.num_rows:
                 continue
-            pairs = [np.unique(features(x.as_py()), return_counts=True) for x in b["_t"]]
+            pairs = [features(x.as_py()) for x in b["_t"]]
             yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f, _ in pairs], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in pairs], pa.binary()), b["_y"]], names=["f", "n", "y"])
 
     rows = _informative(texts.mapInArrow(reduce, "f binary, n binary, y int"), n_features * 4)
@@ -188,7 +201,7 @@ def _informative(reduced: DataFrame, most: int) -> list[tuple[np.ndarray, np.nda
         counts = kept.mapInArrow(explode, "h long, good long, bad long").groupBy("h").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).where(F.col("g") + F.col("b") >= max(2, n // 2000))
         rate, prior = F.col("b") / (F.col("b") + F.col("g")), bad / n
         gain = F.col("b") * F.log(rate / prior) + F.when(F.col("g") > 0, F.col("g") * F.log((1 - rate) / (1 - prior))).otherwise(0)
-        best = np.sort(np.array([r.h for r in counts.where((rate > prior) & (F.col("b") > 0)).orderBy(gain.desc(), "h").limit(most).select("h").collect()], dtype=np.int64).view(np.uint64))
+        best = np.sort(np.array([r.h for r in counts.where((rate >= max(PURE, prior)) & (F.col("b") > 0)).orderBy(gain.desc(), "h").limit(most).select("h").collect()], dtype=np.int64).view(np.uint64))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
