@@ -6,13 +6,14 @@ shifted circularly by one for each coordinate. Coordinates are banded; documents
 are one node. Then
 
 1. in each band bucket every node is compared with the bucket's pivot, the node that shares most buckets
-   with others, and the links found are joined into components;
-2. buckets that still hold several components are joined into groups, and each node of a group is
+   with others, and nodes linked with one pivot share a label;
+2. buckets that still hold several labels are joined into groups, and each node of a group is
    compared with one reference node. It has ``inter`` shingles in common with that, and others beside. Two
    nodes share at most the smaller ``inter`` and those others that both have. So a pair must share a
    number of others that follows from its sizes, and some of the rarest (a prefix filter over the others
-   only), or have sizes and ``inter`` that allow a link without any. Only pairs of different components
-   that meet these bounds are compared.
+   only), or have sizes and ``inter`` that allow a link without any. Only pairs of different labels that
+   meet these bounds are compared;
+3. all links found are joined into components.
 
 So no pair that shares a bucket stays open, while a group of thousands of copies, near ones included,
 costs a few comparisons each. Every link is confirmed on full sets. At similarity 0.8 a pair shares no
@@ -195,18 +196,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     pairs = live.join(pivots, "bucket").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     sets = cut(_sets(docs, popular.select("id"), k, key, text))
     links = cut(_confirmed(pairs, sets, percent))
-    found = components(links)
-
-    placed = live.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    # a node's label is the most popular pivot that it is linked with, if more popular than itself, and then that
+    # one's label: nodes with one label are connected, though a component may have several labels yet
+    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(pivots.select("b").distinct(), "b")
+    best = ends.join(popular.select(F.col("id").alias("b"), "p"), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("p")).alias("p"), F.col("b").alias("id"))).alias("near"))
+    own = F.struct((-F.col("p")).alias("p"), "id")
+    label = cut(popular.join(best, "id", "left").select("id", F.least(own, F.coalesce("near", own))["id"].alias("comp")))
+    onward = label.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    label = label.join(onward, "comp").select("id", F.col("to").alias("comp"))
+    placed = live.join(label, "id")
     open_ = cut(_split(placed).join(pivots, "bucket").select("id", "comp", F.col("b").alias("pivot")).distinct())
     if not open_.isEmpty():
         groups = components(open_.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         member = open_.select("id", "comp").distinct().join(groups.select("id", F.col("component").alias("grp")), "id")
         refs = member.join(popular, "id").groupBy("grp").agg(F.min(F.struct(-F.col("p"), F.col("id")))["id"].alias("ref"))
         met = cut(_against_reference(member.join(refs, "grp"), sets))
-        more = cut(_confirmed(_open_pairs(met, percent), sets, percent))
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+        links = links.unionByName(cut(_confirmed(_open_pairs(met, percent), sets, percent)))
+    found = components(links)
 
     class_of = nodes.join(found, "id", "left").select(*[F.col(c).alias(f"_{c}") for c in node], F.coalesce("component", "id").alias("component_id"))
     same = (rows["_lo"] == class_of["__lo"]) & (rows["_hi"] == class_of["__hi"]) & (rows["n_shingles"] == class_of["_n_shingles"]) & (rows["n_shingles"] > 0)
