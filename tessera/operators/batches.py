@@ -93,3 +93,28 @@ def context(rows: DataFrame, keys: list[str], order: str, text: str, k: int = 1)
     """rows with context: the texts from k before to k after."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-k, k)
     return rows.withColumn("context", F.array_join(F.collect_list(text).over(w), "\n"))
+
+
+def mapping_batches(targets: DataFrame, keys: list[str], order: str, most: int = 8, most_chars: int = 12_000) -> DataFrame:
+    """Batches of up to ``most`` target facts and a number of characters."""
+    return plan_batches(targets.withColumn("units", F.lit(1)), keys, order, {"units": most, "chars": most_chars})
+
+
+def review_batches(facts: DataFrame, blocks: DataFrame, keys: list[str], k: int = 1, most_chars: int = 12_000) -> DataFrame:
+    """Facts with the text of their block and its neighbours, in batches by characters. facts: (keys, block, fact); blocks: (keys, ordinal, text)."""
+    around = context(blocks, keys, "ordinal", "text", k).select(*keys, F.col("ordinal").alias("block"), "context")
+    rows = facts.join(around, [*keys, "block"]).withColumn("chars", F.length("context"))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("block", "fact"))
+    return plan_batches(rows.withColumn("o", order), keys, "o", {"chars": most_chars}).drop("o")
+
+
+def reduce_answers(answers: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers of complete batches, batches to ask again): a batch is complete if each of its items is answered exactly once.
+
+    answers: (batch, item, ...); expected: (batch, item).
+    """
+    a = answers.groupBy("batch", "item").agg(F.count(F.lit(1)).alias("n"))
+    e = expected.select("batch", "item", F.lit(True).alias("asked")).distinct()
+    state = e.join(a, ["batch", "item"], "full_outer").groupBy("batch").agg(F.bool_and((F.coalesce("n", F.lit(0)) == 1) & F.coalesce("asked", F.lit(False))).alias("ok"))
+    good = state.where("ok").select("batch")
+    return answers.join(good, "batch", "left_semi"), expected.select("batch").distinct().join(good, "batch", "left_anti")

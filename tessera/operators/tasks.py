@@ -88,3 +88,11 @@ def backfill_counts(tasks: DataFrame) -> DataFrame:
 def renumbered(rows: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
     """rows with batch: consecutive groups of ``size`` within the keys."""
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size))
+
+
+def remap_problems(refs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """References (ref) of a remapped result that are still old, or name no new file, with the problem. old, new: (file)."""
+    begins = lambda files, flag: refs.join(F.broadcast(files.select(F.col("file").alias("_f"))), F.col("ref").startswith(F.col("_f"))).select("ref", F.lit(True).alias(flag)).distinct()  # noqa: E731  a task's files
+    marked = refs.select("ref").distinct().join(begins(old, "is_old"), "ref", "left").join(begins(new, "is_new"), "ref", "left")
+    problem = F.when(F.col("is_old") & F.col("is_new").isNull(), "OLD").when(F.col("is_new").isNull(), "UNKNOWN")
+    return marked.withColumn("problem", problem).where("problem is not null").select("ref", "problem")

@@ -125,3 +125,39 @@ def test_streams_agree_with_batch(spark, tmp_path):
     lost = {(r.task_id, r.beats) for r in run(stream.lost_leases(read(), "1 minute", "1 minute"), "lost", "append")}
     assert {(1, 2), (1, 1), (2, 1)} <= lost | {(2, 1)}
     assert sum(r.n for r in run(stream.event_counts(read(), "1 minute", "1 minute"), "counts", "complete")) == 5
+
+
+def test_key_values(spark):
+    d = spark.createDataFrame([(1, 0, 0, ["名称", "甲"]), (1, 0, 1, ["", "乙"]), (1, 0, 2, ["地址", "丙"])], "doc int, table int, row int, texts array<string>")
+    assert [(r.texts, r.source_rows) for r in tables.joined_key_values(d).orderBy("row").collect()] == [(["名称", "甲乙"], 2), (["地址", "丙"], 1)]
+    assert [r.key for r in tables.composite_keys(d, [0, 1]).orderBy("row").collect()] == ["名称|甲", "|乙", "地址|丙"]
+
+
+def test_remap_problems(spark):
+    one = lambda *xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = tasks.remap_problems(one("new1:a", "old1:b", "x", c="ref"), one("old1", c="file"), one("new1", c="file"))
+    assert {r.ref: r.problem for r in got.collect()} == {"old1:b": "OLD", "x": "UNKNOWN"}
+
+
+def test_answers_are_whole_or_asked_again(spark):
+    e = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1)], "batch int, item int")
+    a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "x"), (2, 1, "z")], "batch int, item int, v string")
+    good, again = batches.reduce_answers(a, e)
+    assert {r.batch for r in good.collect()} == {1} and {r.batch for r in again.collect()} == {2, 3}
+
+
+def test_advice_gate(spark):
+    from tessera.operators import reports
+
+    rows = [("核对100万元。", True, False, "金额100万元"), ("核对金额。", True, False, "金额100万元"), ("见diff_000001。", True, False, ""), ("一。二。", True, False, ""), ("x", False, False, ""), ("x", True, True, "")]
+    d = spark.createDataFrame(rows, "t string, known boolean, twice boolean, e string")
+    got = [r.p for r in d.select(reports.advice_problem(F.col("t"), F.col("known"), F.col("twice"), reports.advice_anchors(F.col("e"))).alias("p")).collect()]
+    assert got == [None, "NOT_SPECIFIC", "INTERNAL_ID", "SEVERAL_SENTENCES", "UNKNOWN_RISK", "DUPLICATE"]
+
+
+def test_review_batches(spark):
+    b = spark.createDataFrame([("f", i, c * 4) for i, c in enumerate("abcd")], "file string, ordinal int, text string")
+    f = spark.createDataFrame([("f", 0, 1), ("f", 3, 2)], "file string, block int, fact int")
+    got = {r.fact: (r.batch, r.context) for r in batches.review_batches(f, b, ["file"], 1, 12).collect()}
+    assert got == {1: (0, "aaaa\nbbbb"), 2: (1, "cccc\ndddd")}
+    assert batches.mapping_batches(b.withColumn("chars", F.length("text")), ["file"], "ordinal", 3).agg(F.max("batch")).first()[0] == 1
