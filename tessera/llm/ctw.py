@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _blocks as B
 from tessera.llm._text import LOWER, mix, to_bytes, word_bounds, word_hashes
 
-DEPTH = 5
+DEPTH = 4
 WORDS_PER_BUCKET, DENSE = 4 << 20, 1 << 17
 _LGAMMA: np.ndarray | None = None
 
