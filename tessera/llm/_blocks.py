@@ -29,6 +29,15 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(spark: SparkSession) -> None:
+    """Sends texts to Python a thousand at a time instead of ten thousand, so that a batch of long ones stays small."""
+    if int(spark.conf.get(BATCH)) > 1000:
+        spark.conf.set(BATCH, "1000")
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._blocks import lean
+
 #: The pre-tokenizer's pattern, a fixed value of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 TABLE_ROWS = 400_000
@@ -170,6 +172,7 @@ def _schema(df: DataFrame, source: str, target: str, kind: str) -> str:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the text column replaced by ids: little-endian unsigned 32-bit integers, packed in a binary column."""
+    lean(docs.sparkSession)
     docs = docs.drop(ids)
 
     def run(batches):
@@ -181,6 +184,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """encoded with the packed ids replaced by the text they stand for (null: empty)."""
+    lean(encoded.sparkSession)
     encoded = encoded.drop(text)
 
     def run(batches):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm._blocks import lean
 from tessera.llm._text import LOWER, text_bytes, to_bytes
 
 Q, RATE, BLOCK_BYTES, BITS = 8, 0.1, 4 << 20, 22
@@ -158,6 +159,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
 
 def matches(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, rate: float = RATE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it: key, item, edits, and the span's byte offsets in the text."""
+    lean(spark)
     docs = docs.select(F.col(key).alias("_k"), text_bytes(docs, text).alias("_t"))
     kinds = docs.schema["_k"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     item_type = pa.int64() if kinds[1] in ("bigint", "int") else None
@@ -185,6 +187,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, rate: fl
 
 def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, rate: float = RATE, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns unchanged."""
+    lean(spark)
     out = docs
     for block in _blocks(benchmark, item, item_text):
         held = spark.sparkContext.broadcast(Index(block, rate))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm._blocks import lean
 from tessera.llm._text import LOWER, text_bytes, to_bytes
 
 BUCKETS, CHUNK, ROUNDS, SMOOTH = 1 << 16, 1 << 12, 25, 0.05
@@ -113,6 +114,7 @@ def mixture(g: np.ndarray, n: np.ndarray, table: np.ndarray, rounds: int = ROUND
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], spark: SparkSession, text: str = "text") -> DataFrame:
     """docs without the text, with lang_pred, score and languages: (lang, proportion), largest first."""
+    lean(spark)
     docs = docs.drop("lang_pred", "score", "languages")
     docs = docs.withColumn("_t", F.when(F.col(text).cast("string").rlike(r"\p{L}"), text_bytes(docs, text)))
     rest = [c for c in docs.columns if c not in (text, "_t")]

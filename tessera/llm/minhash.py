@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._blocks import cut
+from tessera.llm._blocks import cut, lean
 from tessera.llm._graph import components
 from tessera.llm._text import LOWER, mix, text_bytes, to_bytes, window_hashes, word_bounds, word_hashes
 
@@ -182,6 +182,7 @@ def _open_pairs(met: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest id reachable over links) and kept, for each row of docs."""
+    lean(docs.sparkSession)
     rows = cut(signed(docs, k, key, text))
     node = ["_lo", "_hi", "n_shingles"]
     nodes = rows.where("n_shingles > 0 and _id is not null").groupBy(*node).agg(F.min(F.struct("_id", "_bands")).alias("m"))

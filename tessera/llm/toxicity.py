@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm._blocks import lean
 from tessera.llm._text import BASES, BYTE_CODE, LOWER, mix, powers, text_bytes, to_bytes, word_bounds
 
 SAMPLE, FEATURES, NEIGHBOURS, BLOCK = 20_000, 1024, 15, 64
@@ -166,6 +167,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, n_features: int = FEATURES, neighbours: int = NEIGHBOURS) -> Model:
     """Learns from at most ``sample`` labelled rows; rows whose label is neither 0 nor 1 are not labelled."""
+    lean(docs.sparkSession)
     marked = labels.where(labels[label].isin(0, 1) & labels[key].isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     known = docs.where(train) if train is not None else docs
     chosen = known.select(F.col(key).alias("_k")).join(marked, "_k").distinct().orderBy(F.xxhash64("_k", F.lit(17)), "_k", "_y").limit(sample)
@@ -220,6 +222,7 @@ def _informative(reduced: DataFrame, most: int) -> list[tuple[np.ndarray, np.nda
 
 def score(docs: DataFrame, model: Model, spark: SparkSession, text: str = "text") -> DataFrame:
     """docs without the text, with score, predicted and evidence: the nearest examples' cosine and label counts."""
+    lean(spark)
     docs = docs.drop("score", "predicted", "evidence").withColumn("_t", text_bytes(docs, text))
     rest = [c for c in docs.columns if c not in (text, "_t")]
     held = spark.sparkContext.broadcast(model)
@@ -237,6 +240,7 @@ def score(docs: DataFrame, model: Model, spark: SparkSession, text: str = "text"
 
 def clean(docs: DataFrame, model: Model, spark: SparkSession, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs without the rows that score at least ``threshold``; all columns unchanged."""
+    lean(spark)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
