@@ -107,7 +107,7 @@ SENT = "_block long, kind string, _bucket long, keys binary, many binary, extra
 def _send(block: int, t: pa.Table, word_buckets: int, gram_buckets: int):
     x = BlockText(t)
     row = {"_block": block, "extra": None}
-    yield row | {"kind": "tokens", "_bucket": 0, "keys": None, "many": int((x.n_words + 1)[x.train].sum()).to_bytes(8, "little")}
+    yield row | {"kind": "tokens", "_bucket": int((x.n_words + 1)[x.train].sum()), "keys": None, "many": None}
     many = np.bincount(x.word_ids[x.train[x.doc_of_word]], minlength=len(x.words))
     for kind, keys, n, buckets in (("words", x.words, many, word_buckets), ("grams", x.grams, np.bincount(x.ids[x.train[x.doc_of_byte]], minlength=len(x.grams)), gram_buckets)):
         bucket = _bucket(keys, buckets)
@@ -207,18 +207,19 @@ def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_i
     left = left.select(key, "_train", "_t", "_block")
     word_buckets, gram_buckets = max(1, total // WORDS_PER_BUCKET), max(1, total // (64 << 20))
     sent = B.cut(B.per_block(left, lambda b, t: _send(b, t, word_buckets, gram_buckets), SENT))
-    tokens = sum(int.from_bytes(r.many, "little") for r in sent.where("kind = 'tokens'").select("many").toLocalIterator())
+    tokens = sent.where("kind = 'tokens'").agg(F.sum("_bucket")).first()[0] or 0
     back = min(n, B.MOST_PARTS)
 
     def count_words(k: tuple, t: pa.Table) -> pa.Table:
         u, sums, keys = _sum(t)
         answers = [pack(sums[np.searchsorted(u, x)].astype(np.uint32)) for x in keys]
-        answers.append(int((sums > 0).sum()).to_bytes(8, "little"))
-        return pa.table({"_block": pa.array([*t["_block"].to_pylist(), -1]), "kind": pa.array(["words"] * len(answers)), "_bucket": pa.array([k[0].as_py()] * len(answers)), "values": pa.array(answers, pa.binary())})
+        n, bucket = len(answers), k[0].as_py()
+        # the last row has the number of distinct training words in place of a bucket
+        return pa.table({"_block": pa.array([*t["_block"].to_pylist(), -1]), "kind": pa.array(["words"] * (n + 1)), "_bucket": pa.array([bucket] * n + [int((sums > 0).sum())]), "values": pa.array([*answers, None], pa.binary())})
 
     answered = "_block long, kind string, _bucket long, values binary"
     counted = B.cut(sent.where("kind = 'words'").repartition(min(word_buckets, B.MOST_PARTS), "_bucket").groupBy("_bucket").applyInArrow(count_words, answered))
-    distinct = sum(int.from_bytes(r[0], "little") for r in counted.where("_block = -1").select("values").toLocalIterator()) + (1 if tokens else 0)
+    distinct = (counted.where("_block = -1").agg(F.sum("_bucket")).first()[0] or 0) + (1 if tokens else 0)
 
     def by_last(k: tuple, t: pa.Table) -> pa.Table:
         u, sums, _ = _sum(t)
