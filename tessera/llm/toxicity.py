@@ -107,7 +107,7 @@ class BlockMaxIndex:
 class Model:
     """Selected features, their inverse document frequency, the index and each vector's label counts."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]], n_features: int = FEATURES, neighbours: int = NEIGHBOURS):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]], n_features: int = FEATURES, neighbours: int = NEIGHBOURS, tested: int | None = None):
         self.k, self.n, self.toxic = neighbours, len(rows), sum(y for _, _, y in rows)
         seen, bad = Counter(), Counter()
         for f, _, y in rows:
@@ -124,7 +124,8 @@ class Model:
             rate, odds = a / c, self.prior
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = 2 * (np.where(a > 0, a * np.log(rate / odds), 0) + np.where(c > a, (c - a) * np.log((1 - rate) / (1 - odds)), 0))
-            strong = (gain > 10) & (rate >= max(PURE, odds))
+            # chance alone brings the best of so many features to about 2 ln(number)
+            strong = (gain > 2 * np.log(max(tested or len(hashes), 1)) + 5) & (rate >= max(PURE, odds))
             order = np.lexsort((hashes, -gain))
             order = order[strong[order]][:n_features]
             self.terms = np.sort(hashes[order])
@@ -180,17 +181,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: st
             pairs = [features(x.as_py()) for x in b["_t"]]
             yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f, _ in pairs], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in pairs], pa.binary()), b["_y"]], names=["f", "n", "y"])
 
-    rows = _informative(texts.mapInArrow(reduce, "f binary, n binary, y int"), n_features * 4)
-    return Model(rows, n_features, neighbours)
+    rows, tested = _informative(texts.mapInArrow(reduce, "f binary, n binary, y int"), n_features * 4)
+    return Model(rows, n_features, neighbours, tested)
 
 
-def _informative(reduced: DataFrame, most: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """The rows with the features that can be chosen only: Spark counts each feature's rows by label, the driver gets the best few."""
+def _informative(reduced: DataFrame, most: int) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], int]:
+    """How many features there are, and the rows with the features that can be chosen only: Spark counts each feature's rows by label, the driver gets the best few."""
     kept = reduced.persist()
     try:
         n, bad = kept.agg(F.count(F.lit(1)), F.sum("y")).first()
         if not n or not bad or bad == n:
-            return [(np.zeros(0, dtype=np.uint64), np.zeros(0), r.y) for r in kept.select("y").collect()]
+            return [(np.zeros(0, dtype=np.uint64), np.zeros(0), r.y) for r in kept.select("y").collect()], 0
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -200,11 +201,14 @@ def _informative(reduced: DataFrame, most: int) -> list[tuple[np.ndarray, np.nda
                         h, c = np.unique(np.concatenate(rows), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c * (1 - y)), pa.array(c * y)], names=["h", "good", "bad"])
 
-        counts = kept.mapInArrow(explode, "h long, good long, bad long").groupBy("h").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).where(F.col("g") + F.col("b") >= max(2, n // 2000))
+        counts = kept.mapInArrow(explode, "h long, good long, bad long").groupBy("h").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).where(F.col("g") + F.col("b") >= max(2, n // 2000)).persist()
+        tested = counts.count()
         rate, prior = F.col("b") / (F.col("b") + F.col("g")), bad / n
         gain = F.col("b") * F.log(rate / prior) + F.when(F.col("g") > 0, F.col("g") * F.log((1 - rate) / (1 - prior))).otherwise(0)
         best = np.sort(np.array([r.h for r in counts.where((rate >= max(PURE, prior)) & (F.col("b") > 0)).orderBy(gain.desc(), "h").limit(most).select("h").collect()], dtype=np.int64).view(np.uint64))
 
+        counts.unpersist()
+
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 fs, ns = [], []
@@ -215,7 +219,7 @@ def _informative(reduced: DataFrame, most: int) -> list[tuple[np.ndarray, np.nda
                     ns.append(np.frombuffer(c.as_py(), dtype=np.uint16)[hit].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(fs, pa.binary()), pa.array(ns, pa.binary()), b["y"]], names=["f", "n", "y"])
 
-        return [(np.frombuffer(r.f, dtype=np.uint64), np.frombuffer(r.n, dtype=np.uint16).astype(float), r.y) for r in kept.mapInArrow(cut, "f binary, n binary, y int").toLocalIterator()]
+        return [(np.frombuffer(r.f, dtype=np.uint64), np.frombuffer(r.n, dtype=np.uint16).astype(float), r.y) for r in kept.mapInArrow(cut, "f binary, n binary, y int").toLocalIterator()], tested
     finally:
         kept.unpersist()
 
