@@ -8,6 +8,9 @@ block with a code for each of its hashes. A block sends each hash once, however
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 from collections.abc import Callable, Iterator
@@ -38,6 +41,14 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "1000")
 
 
+def release() -> None:
+    """Hands the memory that a Python worker no longer needs back: workers live on and serve other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

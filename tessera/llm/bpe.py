@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._blocks import lean
+from tessera.llm._blocks import lean, release
 
 #: The pre-tokenizer's pattern, a fixed value of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -178,6 +178,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches):
         v = vocabulary(path)
         yield from _batched(batches, text, ids, pa.binary(), lambda x: v.encode(x or ""))
+        v.table.clear()
+        release()
 
     return docs.mapInArrow(run, _schema(docs, text, ids, "binary"))
 
@@ -190,6 +192,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
     def run(batches):
         v = vocabulary(path)
         yield from _batched(batches, ids, text, pa.string(), lambda x: v.decode(x or b""))
+        release()
 
     return encoded.mapInArrow(run, _schema(encoded, ids, text, "string"))
 

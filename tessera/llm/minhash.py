@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._blocks import cut, lean
+from tessera.llm._blocks import cut, lean, release
 from tessera.llm._graph import components
 from tessera.llm._text import LOWER, mix, text_bytes, to_bytes, window_hashes, word_bounds, word_hashes
 
@@ -86,6 +86,7 @@ def signed(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 hi.append(int(h.sum().view(np.int64)) if len(s) else 0)
                 bands.append(band_keys(signature(s)).tolist() if len(s) else [])
             yield pa.RecordBatch.from_arrays([b["_id"], pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["_id", "n_shingles", "_lo", "_hi", "_bands"])
+        release()
 
     docs = docs.select(F.col(key).cast("long").alias("_id"), text_bytes(docs, text).alias("_t"))
     return docs.mapInArrow(run, "_id long, n_shingles long, _lo long, _hi long, _bands array<long>")
@@ -118,6 +119,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")

@@ -340,6 +340,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
             for i, x in zip(sort_.tolist(), repeated([pieces[i] for i in sort_], own[sort_], times[sort_], length), strict=True):
                 found[i] = x
         packed = [np.packbits(np.concatenate([found[i] for i in mine])).tobytes() for mine in per_row]
+        pa.default_memory_pool().release_unused()
         return pa.table({"_block": t["_block"], "_shard": t["_shard"], "bits": pa.array(packed, pa.binary())})
 
     sorted_ = shipped.repartition(min(shards, B.MOST_PARTS), "_shard").groupBy("_shard").applyInArrow(sort, "_block long, _shard long, bits binary")

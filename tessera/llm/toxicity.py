@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._blocks import lean
+from tessera.llm._blocks import lean, release
 from tessera.llm._text import BASES, BYTE_CODE, LOWER, mix, powers, text_bytes, to_bytes, word_bounds
 
 SAMPLE, FEATURES, NEIGHBOURS, BLOCK = 20_000, 1024, 15, 64
@@ -250,5 +250,6 @@ def clean(docs: DataFrame, model: Model, spark: SparkSession, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([held.value.score(x.as_py())[0] < threshold for x in b[text].cast(pa.binary())], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
