@@ -131,21 +131,48 @@ def _split(rows: DataFrame) -> DataFrame:
 
 
 def _against_reference(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """nodes (grp, id, comp, ref) with n, inter (shingles shared with the reference) and others (those that aren't)."""
+    """nodes (grp, id, comp, ref) with n, inter (shingles shared with the reference), mask (a bit for each shingle of the reference) and others (those it lacks).
+
+    mask and others are the full set, in a fifth of the room for near copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, inter, others = [], [], []
+            n, inter, others, mask = [], [], [], []
             for x, y in zip(batch["x"], batch["y"], strict=True):
                 s, t = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                there = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
+                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+                there = t[at] == s
+                bits = np.zeros(len(t), dtype=bool)
+                bits[at[there]] = True
+                mask.append(np.packbits(bits).tobytes())
                 n.append(len(s))
                 inter.append(int(there.sum()))
                 others.append(s[~there].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch["grp"], batch["id"], batch["comp"], pa.array(n, pa.int64()), pa.array(inter, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names=["grp", "id", "comp", "n", "inter", "others"])
+            yield pa.RecordBatch.from_arrays([batch["grp"], batch["id"], batch["comp"], pa.array(n, pa.int64()), pa.array(inter, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(mask, pa.binary())], names=["grp", "id", "comp", "n", "inter", "others", "mask"])
 
     both = nodes.join(sets.select(F.col("id").alias("ref"), F.col("set").alias("y")), "ref").join(sets.select("id", F.col("set").alias("x")), "id")
-    return both.select("grp", "id", "comp", "x", "y").mapInArrow(run, "grp long, id long, comp long, n long, inter long, others array<long>")
+    return both.select("grp", "id", "comp", "x", "y").mapInArrow(run, "grp long, id long, comp long, n long, inter long, others array<long>, mask binary")
+
+
+def _confirmed_in_group(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """_confirmed for pairs of one group, from its nodes' masks and other shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, x, y, p, q in zip(batch["n"].to_pylist(), batch["m"].to_pylist(), *(batch[c] for c in ("x", "y", "p", "q")), strict=True):
+                shared = int(np.bitwise_count(np.frombuffer(p.as_py(), dtype=np.uint8) & np.frombuffer(q.as_py(), dtype=np.uint8)).sum())
+                both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
+                both.sort(kind="stable")
+                shared += int((both[1:] == both[:-1]).sum())
+                ok.append(100 * shared >= percent * (n + m - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
+
+    side = lambda i, *to: met.select(F.col("id").alias(i), F.col("n").alias(to[0]), F.col("others").alias(to[1]), F.col("mask").alias(to[2]))
+    full = pairs.join(side("b", "m", "y", "q"), "b").join(side("a", "n", "x", "p"), "a")
+    return full.select("a", "b", "n", "m", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def _open_pairs(met: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +180,7 @@ def _open_pairs(met: DataFrame, percent: int) -> DataFrame:
     need = lambda m, n: F.ceil(F.lit(percent) * (m + n) / F.lit(100 + percent))
     largest = met.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max(F.struct("k", "comp"))["comp"].alias("big"), F.lit(1).alias("one"))
     least = met.groupBy("grp").agg(F.min("n").alias("least"))
-    known = met.join(largest.drop("one"), "grp").join(least, "grp").withColumn("outside", F.col("comp") != F.col("big"))
+    known = met.drop("mask").join(largest.drop("one"), "grp").join(least, "grp").withColumn("outside", F.col("comp") != F.col("big"))
     # the smallest partner that a node can link with at all
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     known = known.withColumn("t", F.greatest(F.lit(1), need(F.col("n"), partner) - F.col("inter")))
@@ -214,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         member = open_.select("id", "comp").distinct().join(groups.select("id", F.col("component").alias("grp")), "id")
         refs = member.join(popular, "id").groupBy("grp").agg(F.min(F.struct(-F.col("p"), F.col("id")))["id"].alias("ref"))
         met = cut(_against_reference(member.join(refs, "grp"), sets))
-        links = links.unionByName(cut(_confirmed(_open_pairs(met, percent), sets, percent)))
+        links = links.unionByName(cut(_confirmed_in_group(_open_pairs(met, percent), met, percent)))
     found = components(links)
 
     class_of = nodes.join(found, "id", "left").select(*[F.col(c).alias(f"_{c}") for c in node], F.coalesce("component", "id").alias("component_id"))
