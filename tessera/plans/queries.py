@@ -740,5 +740,4 @@ def q_page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = versions(spark, sf_dir)
-    return candidates.document_similarity(a.where("ordinal < 20"), b.where("ordinal < 20"))
+    return candidates.document_similarity(*versions(spark, sf_dir))
