@@ -731,7 +731,7 @@ def q_last_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document against the same lines cut in two, with a page for every ten halves."""
-    local = lines_of(spark, sf_dir).where("ordinal < 12").select(F.col("doc_id").cast("string").alias("file"), F.lit("PARAGRAPH").alias("kind"), "ordinal", F.col("line").alias("text"))
+    local = lines_of(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), F.lit("PARAGRAPH").alias("kind"), "ordinal", F.col("line").alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     parts = F.filter(F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))), lambda p: p != "")
     external = local.select("file", "kind", "ordinal", F.posexplode(parts).alias("i", "text")).select("file", "kind", (F.col("ordinal") * 2 + F.col("i")).alias("ordinal"), "text", F.floor(F.col("ordinal") / 5).cast("int").alias("page"))

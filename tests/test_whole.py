@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 
 from tessera.functions import similarity as sim
+from tessera.operators import pages
 from tessera.plans import queries as q
 
 
@@ -50,3 +52,42 @@ def test_banded_lcs_is_exact(n, letters):
     others = ["".join(c for c in a if r.random() > share) for share in (0.02, 0.3)]
     for b in [*others, a[n // 2 :] + a[: n // 2], "".join(r.choice(letters) for _ in range(900))]:
         assert sim.lcs_length(a, b) == sim.lcs_length(b, a) == lcs(a, b)
+
+
+def test_pages_of_whole_documents(spark, folder):
+    r = random.Random(4)
+    lines = [words(r, 6) for _ in range(30)]
+    rows = {x.ordinal: x.pages for x in q.q_page_alignment(spark, folder(["\n".join(lines)])).collect()}
+    assert rows == {i: [i * 2 // 10] for i in range(30)}
+
+
+def test_linear_alignment_looks_at_all_later_units():
+    r = random.Random(5)
+    local = [words(r, 4) for _ in range(320)]
+    # a part that only the other side has, then the same units; one that stands twice is told by nothing
+    external = [words(r, 4) for _ in range(350)] + local[:300] + [local[310], local[310]]
+    assert len(local) * len(external) > pages.STATES
+    assert pages.align_spans(local, external) == [(i, 350 + i, 351 + i) for i in range(300)]
+
+
+def test_spans_are_those_of_all_runs():
+    r = random.Random(6)
+    for _ in range(150):
+        local = ["".join(r.choice("abcé") for _ in range(r.randint(0, 24))) for _ in range(5)]
+        whole, external = "".join(local), []
+        while whole:
+            n = r.randint(1, 12)
+            external.append("".join(c for c in whole[:n] if r.random() < 0.9))
+            whole = whole[n:]
+        want = []
+        for text in local:
+            found = {}
+            for j in range(len(external)):
+                for e in range(j + 1, min(len(external), j + pages.SPAN) + 1):
+                    run = "".join(external[j:e])
+                    if text and run:
+                        alike = min(len(text), len(run)) / max(len(text), len(run)) if text in run or run in text else SequenceMatcher(None, text, run, autojunk=False).ratio()
+                        if alike >= (pages.ALIKE_LONG if e == j + 1 and len(text) >= pages.LONG else pages.ALIKE):
+                            found.setdefault(j, []).append((e, alike))
+            want.append(found)
+        assert [{j: sorted(x) for j, x in f.items()} for f in pages._spans(local, external)] == want
