@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Training takes the labelled rows, at most ``SAMPLE`` of them (those with the smallest seeded hash, a
-documented bound), and keeps the ``FEATURES`` words and word beginnings whose presence says most
-for the label (log-likelihood ratio, and at least half of their rows). Examples with equal vectors are merged into one with counts
+documented bound), and keeps all words and word beginnings whose presence speaks for the label by more
+than chance brings of so many (log-likelihood ratio, and at least half of their rows); their number is not fixed. Examples with equal vectors are merged into one with counts
 of both labels, so the index is bounded by features and sample and is broadcast.
 
 A text's score is the vote of its ``NEIGHBOURS`` nearest distinct example vectors, each weighted by
@@ -15,6 +15,7 @@ labelled rows every score is 0. Ties go to the example that comes first in the i
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm._blocks import lean, release
 from tessera.llm._text import BASES, BYTE_CODE, LOWER, mix, powers, text_bytes, to_bytes, word_bounds
 
-SAMPLE, FEATURES, NEIGHBOURS, BLOCK = 20_000, 1024, 15, 64
+SAMPLE, NEIGHBOURS, BLOCK = 20_000, 15, 64
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature must speak for the label: most of its rows have it. The share of the label counts as much as a quarter of a vote.
 PURE, PRIOR = 0.5, 0.25
@@ -107,7 +108,7 @@ class BlockMaxIndex:
 class Model:
     """Selected features, their inverse document frequency, the index and each vector's label counts."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]], n_features: int = FEATURES, neighbours: int = NEIGHBOURS, tested: int | None = None):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]], neighbours: int = NEIGHBOURS, tested: int | None = None):
         self.k, self.n, self.toxic = neighbours, len(rows), sum(y for _, _, y in rows)
         seen, bad = Counter(), Counter()
         for f, _, y in rows:
@@ -126,9 +127,7 @@ class Model:
                 gain = 2 * (np.where(a > 0, a * np.log(rate / odds), 0) + np.where(c > a, (c - a) * np.log((1 - rate) / (1 - odds)), 0))
             # chance alone brings the best of so many features to about 2 ln(number)
             strong = (gain > 2 * np.log(max(tested or len(hashes), 1)) + 5) & (rate >= max(PURE, odds))
-            order = np.lexsort((hashes, -gain))
-            order = order[strong[order]][:n_features]
-            self.terms = np.sort(hashes[order])
+            self.terms = np.sort(hashes[strong])
             df = np.array([seen[h] for h in self.terms.tolist()], dtype=float)
         else:
             self.terms, df = np.zeros(0, dtype=np.uint64), np.zeros(0)
@@ -166,7 +165,7 @@ class Model:
         return float((votes[1] + PRIOR * self.prior) / (votes.sum() + PRIOR)), [(float(x), int(c[0]), int(c[1])) for x, c in zip(s, self.counts[i], strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, n_features: int = FEATURES, neighbours: int = NEIGHBOURS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> Model:
     """Learns from at most ``sample`` labelled rows; rows whose label is neither 0 nor 1 are not labelled."""
     lean(docs.sparkSession)
     marked = labels.where(labels[label].isin(0, 1) & labels[key].isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
@@ -181,12 +180,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: st
             pairs = [features(x.as_py()) for x in b["_t"]]
             yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f, _ in pairs], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in pairs], pa.binary()), b["_y"]], names=["f", "n", "y"])
 
-    rows, tested = _informative(texts.mapInArrow(reduce, "f binary, n binary, y int"), n_features * 4)
-    return Model(rows, n_features, neighbours, tested)
+    rows, tested = _informative(texts.mapInArrow(reduce, "f binary, n binary, y int"))
+    return Model(rows, neighbours, tested)
 
 
-def _informative(reduced: DataFrame, most: int) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], int]:
-    """How many features there are, and the rows with the features that can be chosen only: Spark counts each feature's rows by label, the driver gets the best few."""
+def _informative(reduced: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], int]:
+    """How many features there are, and the rows with the features that can be chosen only: Spark counts each feature's rows by label, the driver gets those that the model keeps."""
     kept = reduced.persist()
     try:
         n, bad = kept.agg(F.count(F.lit(1)), F.sum("y")).first()
@@ -205,7 +204,9 @@ def _informative(reduced: DataFrame, most: int) -> tuple[list[tuple[np.ndarray,
         tested = counts.count()
         rate, prior = F.col("b") / (F.col("b") + F.col("g")), bad / n
         gain = F.col("b") * F.log(rate / prior) + F.when(F.col("g") > 0, F.col("g") * F.log((1 - rate) / (1 - prior))).otherwise(0)
-        best = np.sort(np.array([r.h for r in counts.where((rate >= max(PURE, prior)) & (F.col("b") > 0)).orderBy(gain.desc(), "h").limit(most).select("h").collect()], dtype=np.int64).view(np.uint64))
+        # a little less than the model asks for, as its logarithms may differ in the last place
+        strong = (2 * gain > 2 * math.log(max(tested, 1)) + 5 - 1e-6) & (rate >= max(PURE, prior)) & (F.col("b") > 0)
+        best = np.sort(np.array([r.h for r in counts.where(strong).select("h").collect()], dtype=np.int64).view(np.uint64))
 
         counts.unpersist()
 
