@@ -102,7 +102,7 @@ def mixture(g: np.ndarray, n: np.ndarray, table: np.ndarray, rounds: int = ROUND
     order = np.argsort(-share.round(9), kind="stable")
     best = None
     for size in range(1, k + 1):
-        if size > 1 and share[order[size - 1]] < 0.01:
+        if size > 1 and share[order[size - 1]] < 1e-9:  # numerically nothing
             break
         w, fit_ = em(order[:size])
         fit_ -= size * 0.5 * np.log(max(total, 2))

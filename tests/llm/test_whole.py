@@ -2,7 +2,9 @@
 
 import random
 
-from tessera.llm import toxicity
+import numpy as np
+
+from tessera.llm import langid, toxicity
 
 
 def test_every_strong_feature_is_kept():
@@ -18,3 +20,13 @@ def test_every_strong_feature_is_kept():
     model = toxicity.Model(rows)
     assert len(model.terms) > 1024
     assert all(model.score(x.encode())[0] > 0.5 for x in bad)
+
+
+def test_a_small_share_of_a_long_text_is_a_language():
+    table = np.full((3, langid.BUCKETS), 1e-6)
+    for k in range(3):
+        table[k, 10 * k : 10 * k + 10] = 0.09
+    n = np.array([9950.0] * 10 + [50.0] * 10)
+    found = dict(langid.mixture(np.arange(20), n, np.log(table)))
+    assert list(found) == [0, 1] and abs(found[1] - 0.005) < 1e-3
+    assert list(dict(langid.mixture(np.arange(10), np.full(10, 10000.0), np.log(table)))) == [0]
