@@ -27,9 +27,20 @@ MOST_PARTS = 8192
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the cluster's shared folder; sets one of our own only where none is set."""
+    """Takes the cluster's shared folder; sets one of our own only where none is set and all runs on this machine."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """These names with as many underscores before them as no column of taken has, whatever its case."""
+    lower, mark = {c.lower() for c in taken}, "_"
+    while any(f"{mark}{n}".lower() in lower for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

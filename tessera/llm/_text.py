@@ -6,14 +6,19 @@ longest document, and every hash is the same on every machine and run.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-_rng = np.random.default_rng(20240607)
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Two seeds and two bases, for two independent 64-bit hashes of words and of windows.
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+PRIME = (1 << 61) - 1
+BASES = (0x0C5B9A1DD72E8F6B % PRIME, 0x1B03738712FAD5C9 % PRIME)
+#: Words longer than this are hashed by a keyed digest, one by one.
+LONG_WORD = 64
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -23,17 +28,33 @@ LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for numbers under it."""
+    low = U64((1 << 31) - 1)
+    ah, al, bh, bl = a >> U64(31), a & low, b >> U64(31), b & low
+    mid = al * bh + ah * bl
+    return reduced(((ah * bh) << U64(1)) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << U64(31)) + al * bl)
+
+
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i < n (at least)."""
+    """base**i and its inverse modulo 2**61 - 1, for i < n (at least)."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 14)
-        size = 1 << (size - 1).bit_length()
+        size = 1 << (max(n, 1 << 14) - 1).bit_length()
         out = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
+        for b in (base, pow(base, -1, PRIME)):
+            p = np.ones(size, dtype=np.uint64)
+            done = 1
+            while done < size:
+                p[done : 2 * done] = times(p[:done], np.full(done, pow(b, done, PRIME), dtype=np.uint64))
+                done *= 2
+            out.append(p)
         have = _powers[base] = (out[0], out[1])
     return have
 
@@ -65,24 +86,44 @@ def word_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit Rabin-Karp hash of each word, from prefix sums."""
+    """A 64-bit hash of each word: eight bytes at a time go through a bijection; words over LONG_WORD bytes are digested.
+
+    Words of up to eight bytes and equal length never collide.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    p, inv = powers(len(b) + 1, BASES[which])
-    c = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODE[b] * p[: len(b)], out=c[1:])
-    return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    padded = np.concatenate([b, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(b) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    h = mix(size.astype(np.uint64) * U64(0x9E3779B97F4A7C15) ^ U64(SEEDS[which]))
+    long = size > LONG_WORD
+    rows = np.flatnonzero(~long) if long.any() else np.arange(len(starts))
+    done = 0
+    while len(rows):
+        left = size[rows] - done
+        x = eight[starts[rows] + done]
+        part = left < 8
+        x[part] &= (U64(1) << (left[part].astype(np.uint64) * U64(8))) - U64(1)
+        h[rows] = mix((h[rows] ^ x) * U64(0xD6E8FEB86659FD93))
+        done += 8
+        rows = rows[left > 8]
+    for i in np.flatnonzero(long).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8, key=SEEDS[which].to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """A 64-bit Rabin-Karp hash of each run of k words; empty if there are fewer."""
+    """A Rabin-Karp hash modulo 2**61 - 1 of each run of k words, mixed to 64 bits; empty if there are fewer."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     p, inv = powers(len(words) + 1, BASES[which])
+    terms = times(reduced(words), p[: len(words)])
+    # prefix sums modulo the prime: halves are summed apart, as they can't overflow under 2**32 words
     c = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * p[: len(words)], out=c[1:])
-    return mix((c[k:] - c[:n]) * inv[:n])
+    high, low = np.cumsum(terms >> U64(32), dtype=np.uint64), np.cumsum(terms & U64(0xFFFFFFFF), dtype=np.uint64)
+    c[1:] = reduced(times(reduced(high), np.full(1, 1 << 32, dtype=np.uint64)) + reduced(low))
+    return mix(times(reduced(c[k:] + U64(PRIME) - c[:n]), inv[:n]))
 
 
 def fold(key: Column, n: int) -> Column:

@@ -1,30 +1,48 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-Each task splits its texts into words, keeps one table row for each distinct word it has met
-(word -> ids), encodes a word only when it enters the table, and joins the ids back to the words'
-positions. Decoding joins ids to a table of pieces. No text crosses the network.
-
-Null texts count as empty and encode to no ids. Other columns pass through unchanged; columns
-named like the outputs are replaced. Very long texts are walked word by word. An empty table gives
-an empty table. The word table is emptied when it exceeds ``table_rows`` words (only speed changes).
+Spark splits texts into words. Words are encoded in two tables, so that each is encoded once: the
+``FREQUENT`` most common words of a sample (a bound on the broadcast; which words it holds changes speed
+only) are encoded and broadcast, and all other words go to the partition of their hash, where equal words
+meet and are encoded together. Their ids travel back to the rows they came from and are joined in by
+position. A row's words travel as compressed numbers, its text does not. Decoding joins ids with the
+table of pieces, which the vocabulary bounds.
+
+Null texts count as empty and encode to no ids. Other columns pass through unchanged; columns named like
+the outputs are replaced. Very long texts are cut into segments where no word crosses. An empty table
+gives an empty table. Equal rows are kept each. The rows are read twice and must be the same both times, as
+those of files or of a checkpoint are.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tessera.llm._blocks import lean, release
-
-#: The pre-tokenizer's pattern, a fixed value of this public vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-TABLE_ROWS = 400_000
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, StringType, StructField, StructType
+
+from tessera.llm._blocks import fresh, lean, release
+
+#: The pre-tokenizer's pattern, a fixed value of this public vocabulary; capitals stand for classes of characters.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?LETTER+| ?NUMBER+| ?OTHER+|SPACE+(?!SOLID)|SPACE+"
+#: Letters and numbers of Unicode 14 to 16, fixed values: the tokenizer knows them, a JVM may not.
+LATER_LETTERS = """
+870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 1c89-1c8a 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7cb-a7cd a7d0-a7d1 a7d3 a7d5-a7dc a7f2-a7f4
+10570-1057a 1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 105c0-105f3 10780-10785 10787-107b0 107b2-107ba
+10d4a-10d65 10d6f-10d85 10ec2-10ec4 10f70-10f81 11071-11072 11075 1123f-11240 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11740-11746
+11ab0-11abf 11bc0-11be0 11f02 11f04-11f10 11f12-11f33 12f90-12ff0 1342f 13441-13446 13460-143fa 16100-1611d 16a70-16abe 16d40-16d6c 18cff
+1aff0-1aff3 1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 1b155 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e5d0-1e5ed 1e5f0
+1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 2ebf0-2ee5d 31350-323af
+"""
+LATER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 11f50-11f59 16130-16139 16ac0-16ac9 16d70-16d79 1ccf0-1ccf9 1d2c0-1d2d3 1e4f0-1e4f9 1e5f1-1e5fa"
+FREQUENT, SAMPLE_BYTES, SEGMENT = 1 << 19, 128 << 20, 50_000
 FLUSH_BYTES = 4 << 20
 
 
@@ -35,55 +53,36 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class WordTable(dict):
-    """word -> ids as little-endian 32-bit integers; a missing word is encoded when it is asked for."""
-
-    def __init__(self, vocabulary: dict[bytes, int], ranks: dict[tuple[int, int], tuple[int, int]]):
-        super().__init__()
-        self.vocabulary, self.ranks = vocabulary, ranks
-        self.single = [vocabulary.get(bytes([b]), -1) for b in range(256)]
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = [self.single[b] for b in raw]
-        ranks = self.ranks
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = ranks.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            a, b, merged, out, i = ids[at], ids[at + 1], best[1], [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(merged)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        made = self[word] = np.array(ids, dtype="<u4").tobytes()
-        return made
-
-
-class LongWordTable(WordTable):
-    """Words too long for the quadratic merge loop go through a heap."""
-
-    LONG = 200
-
-    def __missing__(self, word: str) -> bytes:
-        if len(word) <= self.LONG:
-            return super().__missing__(word)
-        import heapq
+class Vocabulary:
+    """What the public vocabulary file holds: pieces by id, merge ranks and special strings."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = byte_letters()
+        model = spec["model"]
+        ids = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items()}
+        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.pieces = [b""] * (1 + max([*ids.values(), *self.special.values()]))
+        for piece, i in ids.items():
+            self.pieces[i] = piece
+        for piece, i in self.special.items():
+            self.pieces[i] = piece.encode()
+        self.single = [ids.get(bytes([b]), -1) for b in range(256)]
+        self.ranks = {}
+        for rank, merge in enumerate(model["merges"]):
+            left, right = (bytes(letters[c] for c in x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
+            self.ranks[ids[left], ids[right]] = (rank, ids[left + right])
 
+    def encode(self, word: str) -> bytes:
+        """A word's ids as little-endian 32-bit integers. The best-ranked merge goes first, from left to right."""
+        if word in self.special:
+            return self.special[word].to_bytes(4, "little")
         ids = [self.single[b] for b in word.encode()]
         n, ranks = len(ids), self.ranks
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
         heap = [(*f, i, ids[i], ids[i + 1]) for i in range(n - 1) if (f := ranks.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
-        # one merge rule is exhausted from left to right before the next: (rank, position) order
         while heap:
             _, merged, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
@@ -99,47 +98,6 @@ class LongWordTable(WordTable):
         return np.array([x for x, keep in zip(ids, alive, strict=True) if keep], dtype="<u4").tobytes()
 
 
-class Vocabulary:
-    """What the public vocabulary file holds: pieces by id, merge ranks and special strings."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters = byte_letters()
-        model = spec["model"]
-        ids = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items()}
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        self.pieces = [b""] * (1 + max([*ids.values(), *self.special.values()]))
-        for piece, i in ids.items():
-            self.pieces[i] = piece
-        for piece, i in self.special.items():
-            self.pieces[i] = piece.encode()
-        ranks = {}
-        for rank, merge in enumerate(model["merges"]):
-            left, right = (bytes(letters[c] for c in x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
-            ranks[ids[left], ids[right]] = (rank, ids[left + right])
-        self.table = LongWordTable(ids, ranks)
-        self.words = regex.compile(PATTERN)
-        self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-
-    def encode(self, text: str) -> bytes:
-        table = self.table
-        if len(table) > TABLE_ROWS:
-            table.clear()
-        if self.splits is None or not any(s in text for s in self.special):
-            return b"".join(map(table.__getitem__, self.words.findall(text)))
-        out = []
-        for part in self.splits.split(text):
-            if part in self.special:
-                out.append(np.array([self.special[part]], dtype="<u4").tobytes())
-            else:
-                out.extend(map(table.__getitem__, self.words.findall(part)))
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
-
-
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -149,53 +107,271 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def _batched(batches: Iterator[pa.RecordBatch], source: str, target: str, kind: pa.DataType, f) -> Iterator[pa.RecordBatch]:
-    """Replaces column source by f of it, named target, in small slices."""
-    for batch in batches:
-        at = batch.schema.get_field_index(source)
-        rest = [i for i in range(batch.num_columns) if i != at]
-        names = [batch.schema.field(i).name for i in rest] + [target]
-        values, size, begun = [], 0, 0
-        for row, x in enumerate(batch.column(at)):
-            values.append(f(x.as_py()))
-            size += len(values[-1])
-            if size >= FLUSH_BYTES or row == batch.num_rows - 1:
-                n = row + 1 - begun
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(begun, n) for i in rest] + [pa.array(values, kind)], names=names)
-                values, size, begun = [], 0, row + 1
 
+# ---- splitting, in Spark
+
+
+def _class(kind: str, later: str) -> str:
+    return kind + "".join("-".join(rf"\x{{{x}}}" for x in part.split("-")) for part in later.split())
+
+
+SPACE, LETTER, NUMBER = r"\p{IsWhite_Space}", _class(r"\p{L}", LATER_LETTERS), _class(r"\p{N}", LATER_NUMBERS)
+CLASSES = {"SPACE": f"[{SPACE}]", "SOLID": f"[^{SPACE}]", "LETTER": f"[{LETTER}]", "NUMBER": f"[{NUMBER}]", "OTHER": f"[^{SPACE}{LETTER}{NUMBER}]"}
+
+
+#: The same for texts without characters from U+0870 on, where all versions of Unicode agree; shorter classes match faster.
+OLD_CLASSES = CLASSES | {"LETTER": r"\p{L}", "NUMBER": r"\p{N}", "OTHER": rf"[^{SPACE}\p{{L}}\p{{N}}]"}
+LATER = r"[\x{870}-\x{10FFFF}]"
+
+
+def pattern(form: str = PATTERN, classes: dict[str, str] = CLASSES) -> str:
+    """The pattern in the JVM's notation."""
+    return re.sub("|".join(classes), lambda m: classes[m[0]], form)
 
-def _schema(df: DataFrame, source: str, target: str, kind: str) -> str:
-    rest = [f for f in df.schema.fields if f.name != source]
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{target}` {kind}"])
 
+def segments(text: Column, special: list[str], size: int = SEGMENT) -> Column:
+    """The text in parts that no word crosses: special strings alone, and parts that end before white space."""
+    parts = F.array(text)
+    if special:
+        quoted = "|".join(rf"\Q{s}\E" for s in sorted(special, key=len, reverse=True))
+        apart = F.filter(F.split(text, f"(?<={quoted})|(?={quoted})"), lambda s: s != "")
+        parts = F.when(F.greatest(*(F.contains(text, F.lit(s)).cast("int") for s in special), F.lit(0)) == 1, apart).otherwise(parts)
+    # a word begins with white space or follows it but for what it follows without any: so it ends before the next white space
+    cut = pattern(rf"(?s).{{1,{size}}}(?<=SOLID)(?=SPACE|\z)|.{{1,{size}}}SPACE*SOLID*")
+    short = F.length(text) <= size
+    return F.when(short, parts).otherwise(F.flatten(F.transform(parts, lambda s: F.regexp_extract_all(s, F.lit(cut), F.lit(0)))))
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+
+def words(segment: Column, special: list[str]) -> Column:
+    """The words of a segment; a special string is one word."""
+    of = lambda classes: F.regexp_extract_all(segment, F.lit(pattern(classes=classes)), F.lit(0))
+    found = F.when(segment.rlike(LATER), of(CLASSES)).otherwise(of(OLD_CLASSES))
+    return F.when(segment.isin(special), F.array(segment)).otherwise(found) if special else found
+
+
+def _text(docs: DataFrame, text: str) -> Column:
+    return F.coalesce(docs[text].cast("string"), F.lit(""))
+
+
+# ---- encoding
+
+
+def _encoded(path: str, sorted_words: DataFrame, key: list[str]) -> DataFrame:
+    """key and ids of rows (word, key); equal words follow each other and are encoded once, equal rows are dropped."""
+    schema = StructType([sorted_words.schema[c] for c in key] + [StructField("ids", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, last, ids, before = vocabulary(path), None, b"", None
+        for b in batches:
+            out, keep = [], []
+            for row, x in enumerate(zip(*(b[c].to_pylist() for c in ["word", *key]), strict=True)):
+                if x == before:
+                    continue
+                before = x
+                if x[0] != last:
+                    last, ids = x[0], v.encode(x[0])
+                out.append(ids)
+                keep.append(row)
+            b = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in key), pa.array(out, pa.binary())], names=[*key, "ids"])
+        release()
+
+    return sorted_words.mapInArrow(run, schema)
+
+
+def frequent(docs: DataFrame, path: str, text: str, special: list[str], most: int = FREQUENT, sample_bytes: int = SAMPLE_BYTES) -> pa.Table:
+    """word and ids of the most frequent words in a sample of about sample_bytes, ``most`` at most."""
+    whole = docs.select(_text(docs, text).alias("t"))
+    total = whole.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    sample = whole.where(F.pmod(F.xxhash64(F.lit(5), "t"), F.lit(max(1, total // sample_bytes))) == 0)
+    counts = sample.select(F.explode(segments(F.col("t"), special)).alias("s")).select(F.explode(words(F.col("s"), special)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word", F.col("word").alias("w"))
+    return _encoded(path, best, ["w"]).toArrow().combine_chunks()
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()) if len(codes) else b""
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, dtype=np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], seg: str, found: str, table: pa.Array) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, list[str]]]:
+    """For each text its first batch and row, its words' numbers in the table, and the words beyond: number len(table) and following."""
+    most, held, row, codes, rare = len(table), None, 0, [], {}
+    for b in batches:
+        column = b[found]
+        flat, ends = column.flatten(), np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+        code = pc.index_in(flat, value_set=table).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.flatnonzero(code < 0)
+        other = flat.take(pa.array(at)).to_pylist()
+        upto = np.searchsorted(at, ends).tolist()
+        begin, before = 0, 0
+        for r, (first, end) in enumerate(zip(b[seg].to_pylist(), ends.tolist(), strict=True)):
+            if first == 0:
+                if held is not None:
+                    yield held, row, np.concatenate(codes), list(rare)
+                held, row, codes, rare = b, r, [], {}
+            mine = code[begin:end]
+            if upto[r] > before:
+                mine[at[before : upto[r]] - begin] = [most + rare.setdefault(w, len(rare)) for w in other[before : upto[r]]]
+            codes.append(mine)
+            begin, before = end, upto[r]
+    if held is not None:
+        yield held, row, np.concatenate(codes), list(rare)
+
+
+def _flushed(rows: Iterator[tuple], fields: list[str], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows' fields and values (batch, row, size, *values), a few MB each; rows of one batch follow each other."""
+    held, at, size, values = None, [], 0, []
+
+    def made() -> pa.RecordBatch:
+        kept = held.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([kept[f] for f in fields] + [pa.array(list(x), k) for x, k in zip(zip(*values, strict=True), kinds, strict=True)], names=[*fields, *names])
+
+    for batch, row, n, *x in rows:
+        if held is not None and (batch is not held or size > FLUSH_BYTES):
+            yield made()
+            at, size, values = [], 0, []
+        held = batch
+        at.append(row)
+        size += n + 64
+        values.append(x)
+    if held is not None:
+        yield made()
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", most: int = FREQUENT) -> DataFrame:
     """docs with the text column replaced by ids: little-endian unsigned 32-bit integers, packed in a binary column."""
     lean(docs.sparkSession)
-    docs = docs.drop(ids)
+    docs = docs if text == ids else docs.drop(ids)
+    special = list(vocabulary(path).special)
+    rest = [c for c in docs.columns if c != text]
+    t, digest, salt, seg, found, codes, answers = fresh([*rest, ids], "t", "digest", "salt", "seg", "words", "codes", "answers")
+    kept = spark_broadcast(docs, frequent(docs, path, text, special, most))
+
+    plain = [F.col(f"`{c}`") for c in rest if not _has_map(docs.schema[c].dataType)]
+    whole = docs.withColumn(t, _text(docs, text))
+    # copies of a text are spread by what else their rows hold
+    whole = whole.select(*[F.col(f"`{c}`") for c in rest], F.substring(F.unhex(F.sha2(t, 256)), 1, 16).alias(digest), F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(64)).cast("int").alias(salt), F.posexplode(segments(F.col(t), special)).alias(seg, t))
+    split = whole.withColumn(found, words(F.col(t), special)).drop(t)
+    keys = [StructField(digest, BinaryType()), StructField(salt, IntegerType())]
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = kept.value["w"].chunk(0) if kept.value.num_rows else pa.array([], pa.string()), set()
+        for b, r, _, other in _rows(batches, seg, found, table):
+            mine = (b[digest][r].as_py(), b[salt][r].as_py())
+            if not other or mine in seen:
+                continue
+            if len(seen) > 100_000:
+                seen.clear()
+            seen.add(mine)
+            n = len(other)
+            yield pa.RecordBatch.from_arrays([pa.array([mine[0]] * n, pa.binary()), pa.array([mine[1]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(other, pa.string())], names=[digest, salt, "no", "word"])
+        release()
 
-    def run(batches):
-        v = vocabulary(path)
-        yield from _batched(batches, text, ids, pa.binary(), lambda x: v.encode(x or ""))
-        v.table.clear()
+    keyed = split.select(digest, salt, seg, found)
+    beyond = keyed.mapInArrow(rare, StructType([*keys, StructField("no", IntegerType()), StructField("word", StringType())])).repartition("word").sortWithinPartitions("word", digest, salt, "no")
+    known = _encoded(path, beyond, [digest, salt, "no"]).groupBy(digest, salt).agg(F.collect_list(F.struct("no", "ids")).alias(answers))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = kept.value["w"].chunk(0) if kept.value.num_rows else pa.array([], pa.string())
+        rows = ((b, r, len(x), x) for b, r, c, _ in _rows(batches, seg, found, table) for x in (_packed(c),))
+        yield from _flushed(rows, [*rest, digest, salt], [codes], [pa.binary()])
         release()
 
-    return docs.mapInArrow(run, _schema(docs, text, ids, "binary"))
+    fields = [docs.schema[c] for c in rest]
+    coded = split.mapInArrow(numbered, StructType([*fields, *keys, StructField(codes, BinaryType())]))
+    joined = coded.join(known, [digest, salt], "left").select(*[F.col(f"`{c}`") for c in rest], codes, answers)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_ids = kept.value["ids"].chunk(0) if kept.value.num_rows else pa.array([], pa.binary())
+        for batch in batches:
+            begin, size, held = 0, 0, []
+            for row in range(batch.num_rows):
+                held.append(_unpacked(batch[codes][row].as_py()))
+                size += 8 * len(held[-1])
+                if size >= FLUSH_BYTES or row == batch.num_rows - 1:
+                    part = batch.slice(begin, len(held))
+                    made = _joined(held, part[answers], known_ids)
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), made], names=[*rest, ids])
+                    begin, size, held = row + 1, 0, []
+        release()
 
+    return joined.mapInArrow(fill, StructType([*fields, StructField(ids, BinaryType())]))
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """encoded with the packed ids replaced by the text they stand for (null: empty)."""
-    lean(encoded.sparkSession)
-    encoded = encoded.drop(text)
 
-    def run(batches):
-        v = vocabulary(path)
-        yield from _batched(batches, ids, text, pa.string(), lambda x: v.decode(x or b""))
+def _joined(rows: list[np.ndarray], answers: pa.ListArray, known: pa.Array) -> pa.Array:
+    """Each row's ids: its words' numbers joined with the broadcast table and, beyond it, with the row's own answers."""
+    n = len(known)
+    flat = answers.flatten()
+    of = np.repeat(np.arange(len(rows)), pc.list_value_length(answers).fill_null(0).to_numpy(zero_copy_only=False))
+    no = flat.field("no").to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((no, of))
+    base = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
+    ends = np.cumsum([0, *map(len, rows)])
+    codes = np.concatenate([np.zeros(0, dtype=np.int64), *rows])
+    codes += np.where(codes >= n, np.repeat(base[:-1], np.diff(ends)), 0)
+    table = pa.concat_arrays([known, flat.field("ids").take(pa.array(order))])
+    return _grouped(table.take(pa.array(codes)), ends)
+
+
+def _grouped(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Neighbouring binary values concatenated: those from ends[i] to ends[i + 1] are the i-th."""
+    if not len(values):
+        return pa.array([b""] * (len(ends) - 1), pa.binary())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(at[ends])), data])
+
+
+def spark_broadcast(docs: DataFrame, value):
+    return docs.sparkSession.sparkContext.broadcast(value)
+
+
+def _has_map(kind) -> bool:
+    """Maps have no hash in Spark."""
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType) or kind.typeName() == "variant" or (isinstance(kind, ArrayType) and _has_map(kind.elementType))
+
+
+# ---- decoding
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """encoded with the packed ids replaced by the text they stand for (null: empty), or beside it. An id without a piece stands for nothing.
+
+    Each batch's ids are joined with the table of pieces, which has a row for each id of the vocabulary and is broadcast.
+    """
+    lean(encoded.sparkSession)
+    encoded = encoded if text == ids else encoded.drop(text)
+    rest = [c for c in encoded.columns if c != ids or keep_ids]
+    pieces = spark_broadcast(encoded, pa.array([*vocabulary(path).pieces, b""], pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces.value
+        for batch in batches:
+            begin, size, held = 0, 0, []
+            for row in range(batch.num_rows):
+                held.append(np.frombuffer(batch[ids][row].as_py() or b"", dtype="<u4"))
+                size += 4 * len(held[-1])
+                if size >= FLUSH_BYTES or row == batch.num_rows - 1:
+                    flat = np.minimum(np.concatenate([np.zeros(0, dtype="<u4"), *held]), len(table) - 1)
+                    made = _grouped(table.take(pa.array(flat)), np.cumsum([0, *map(len, held)]))
+                    part = batch.slice(begin, len(held))
+                    texts = pa.array([x.as_py().decode("utf-8", "replace") for x in made], pa.string())
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), texts], names=[*rest, text])
+                    begin, size, held = row + 1, 0, []
         release()
 
-    return encoded.mapInArrow(run, _schema(encoded, ids, text, "string"))
+    return encoded.mapInArrow(run, StructType([*(encoded.schema[c] for c in rest), StructField(text, StringType())]))
 
 
-def n_tokens(ids: str = "ids"):
+def n_tokens(ids: str = "ids") -> Column:
     return (F.octet_length(ids) / 4).cast("long")

@@ -19,18 +19,24 @@ So no pair that shares a bucket stays open, while a group of thousands of copies
 costs a few comparisons each. Every link is confirmed on full sets. At similarity 0.8 a pair shares no
 bucket with a probability of 4e-7.
 
-Null and empty texts have no shingles and no links. Rows that share a document id are one document.
-A null id takes part but is never the smallest of its component (null if there is none).
+Equal sets are told by a 128-bit digest of all their shingles. Ids may be of any type that has an order.
+
+Null and empty texts have no shingles and no links. Repeated rows are given each, with one component. Rows that share
+an id and differ in text are classed each by its own text. A null id takes part but is never the smallest
+of its component (null if there is none). Very long texts only make their own set longer. Other columns are not read, so
+their names can't clash. An empty table gives an empty table. Ties for a pivot go to the smaller node.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tessera.llm._blocks import cut, lean, release
 from tessera.llm._graph import components
@@ -72,35 +78,41 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def signed(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """_id, n_shingles, two hashes of the set, and band keys."""
+    """_id, n_shingles, a digest of the set, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, lo, hi, bands = [], [], [], []
+            n, sets, bands = [], [], []
             for x in b["_t"]:
                 s = shingles(x.as_py(), k)
                 n.append(len(s))
-                h = mix(s)
-                lo.append(int(s.sum().view(np.int64)) if len(s) else 0)
-                hi.append(int(h.sum().view(np.int64)) if len(s) else 0)
+                sets.append(_digest(s))
                 bands.append(band_keys(signature(s)).tolist() if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["_id", "n_shingles", "_lo", "_hi", "_bands"])
+            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["_id", "n_shingles", "_set", "_bands"])
         release()
 
-    docs = docs.select(F.col(key).cast("long").alias("_id"), text_bytes(docs, text).alias("_t"))
-    return docs.mapInArrow(run, "_id long, n_shingles long, _lo long, _hi long, _bands array<long>")
+    docs = docs.select(F.col(key).alias("_id"), text_bytes(docs, text).alias("_t"))
+    schema = StructType([docs.schema["_id"], StructField("n_shingles", LongType()), StructField("_set", BinaryType()), StructField("_bands", ArrayType(LongType()))])
+    return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """id and packed full set of the documents in ids."""
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """id and packed full set of the nodes (id, _id, _set), from the documents (_id, _t) that have their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array([shingles(x.as_py(), k).tobytes() for x in b["_t"]], pa.binary())], names=["id", "set"])
+            sets = [shingles(x.as_py(), k) for x in b["_t"]]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_set", "set"])
+        release()
 
-    docs = docs.select(F.col(key).cast("long").alias("id"), text_bytes(docs, text).alias("_t"))
-    return docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    asked = nodes.select(F.col("_id").alias("_asked")).distinct()
+    made = docs.join(asked, docs["_id"].eqNullSafe(asked["_asked"]), "left_semi").select("_t").mapInArrow(run, "_set binary, set binary")
+    return made.dropDuplicates(["_set"]).join(nodes.select("id", "_set"), "_set").select("id", "set")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +206,7 @@ def _open_pairs(met: DataFrame, percent: int) -> DataFrame:
     y = rows.select("grp", "shingle", F.col("id").alias("yi"), F.col("comp").alias("yc"), F.col("n").alias("yn"), F.col("inter").alias("yk"))
     ratio = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
     # of the shingles past the prefix, t - 1 at most are shared
-    met_by = x.join(y, [x["grp"] == y["grp"], x["shingle"] == y["shingle"], F.col("xc") != F.col("yc"), ratio]).groupBy("xi", "yi").agg(F.count(F.lit(1)).alias("k"), F.first("t").alias("t"), F.first(need(F.col("xn"), F.col("yn")) - F.least("xk", "yk")).alias("must"))
+    met_by = x.join(y, ["grp", "shingle"]).where((F.col("xc") != F.col("yc")) & ratio).groupBy("xi", "yi").agg(F.count(F.lit(1)).alias("k"), F.first("t").alias("t"), F.first(need(F.col("xn"), F.col("yn")) - F.least("xk", "yk")).alias("must"))
     shared = met_by.where(F.col("k") + F.col("t") - 1 >= F.col("must"))
 
     # pairs that need none: by sizes, of which a group has few
@@ -204,7 +216,7 @@ def _open_pairs(met: DataFrame, percent: int) -> DataFrame:
     asks = near.where("outside").withColumn("reach", reach).join(sizes, "grp").where((F.col("yn") <= F.col("reach")) & (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")))
     asks = asks.select("grp", "yn", F.col("id").alias("xi"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("inter").alias("xk"))
     others = near.select("grp", F.col("n").alias("yn"), F.col("id").alias("yi"), F.col("comp").alias("yc"), F.col("inter").alias("yk"))
-    plain = asks.join(others, [asks["grp"] == others["grp"], asks["yn"] == others["yn"], F.col("xc") != F.col("yc"), F.least("xk", "yk") >= need(F.col("xn"), others["yn"])])
+    plain = asks.join(others, ["grp", "yn"]).where((F.col("xc") != F.col("yc")) & (F.least("xk", "yk") >= need(F.col("xn"), F.col("yn"))))
     pairs = shared.select("xi", "yi").unionAll(plain.select("xi", "yi"))
     return pairs.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
 
@@ -213,9 +225,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     """key, n_shingles, component_id (smallest id reachable over links) and kept, for each row of docs."""
     lean(docs.sparkSession)
     rows = cut(signed(docs, k, key, text))
-    node = ["_lo", "_hi", "n_shingles"]
-    nodes = rows.where("n_shingles > 0 and _id is not null").groupBy(*node).agg(F.min(F.struct("_id", "_bands")).alias("m"))
-    nodes = cut(nodes.select(*node, F.col("m._id").alias("id"), F.col("m._bands").alias("bands")))
+    nodes = rows.where("n_shingles > 0").groupBy("_set").agg(F.min("_id").alias("_id"), F.first("_bands").alias("bands"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("id"), "_id", "_set", "bands"))
 
     members = nodes.select(F.explode("bands").alias("bucket"), "id")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -224,7 +235,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     ranked = live.join(popular, "id")
     pivots = ranked.groupBy("bucket").agg(F.min(F.struct(-F.col("p"), F.col("id"))).alias("m")).select("bucket", F.col("m.id").alias("b"))
     pairs = live.join(pivots, "bucket").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    sets = cut(_sets(docs, popular.select("id"), k, key, text))
+    texts = docs.select(F.col(key).alias("_id"), text_bytes(docs, text).alias("_t"))
+    sets = cut(_sets(texts, nodes.select("id", "_id", "_set").join(popular, "id"), k))
     links = cut(_confirmed(pairs, sets, percent))
     # a node's label is the most popular pivot that it is linked with, if more popular than itself, and then that
     # one's label: nodes with one label are connected, though a component may have several labels yet
@@ -244,13 +256,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         links = links.unionByName(cut(_confirmed_in_group(_open_pairs(met, percent), met, percent)))
     found = components(links)
 
-    class_of = nodes.join(found, "id", "left").select(*[F.col(c).alias(f"_{c}") for c in node], F.coalesce("component", "id").alias("component_id"))
-    same = (rows["_lo"] == class_of["__lo"]) & (rows["_hi"] == class_of["__hi"]) & (rows["n_shingles"] == class_of["_n_shingles"]) & (rows["n_shingles"] > 0)
-    out = rows.join(class_of, same, "left").select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+    placed = cut(nodes.select("id", "_id", "_set").join(found, "id", "left").select("_id", "_set", F.coalesce("component", "id").alias("component")))
+    least = placed.groupBy("component").agg(F.min("_id").alias("component_id"))
+    class_of = placed.join(least, "component").select("_set", "component_id", F.lit(True).alias("_in"))
+    out = rows.join(class_of, "_set", "left").select(F.col("_id").alias(key), "n_shingles", F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near duplicates; rows with a null id stay."""
-    gone = near_duplicates(docs, k, percent, key, text).where(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    """docs with one document of each group of near duplicates; rows with a null id stay, rows that share an id go only if all of them do."""
+    of_id = near_duplicates(docs, k, percent, key, text).where(F.col(key).isNotNull()).groupBy(key).agg(F.max("kept").alias("kept"))
+    return docs.join(of_id.where(~F.col("kept")).select(key), key, "left_anti").select(docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._blocks import lean, release
-from tessera.llm._text import BASES, BYTE_CODE, LOWER, mix, powers, text_bytes, to_bytes, word_bounds
+from tessera.llm._text import LOWER, mix, text_bytes, to_bytes, word_bounds, word_hashes
 
 SAMPLE, NEIGHBOURS, BLOCK = 20_000, 15, 64
 PREFIXES = (4, 5, 6, 7, 8)
@@ -49,10 +49,7 @@ def features(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_bounds(np.where(IS_EDGE[b], np.uint8(32), b))
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    p, inv = powers(len(b) + 1, BASES[0])
-    c = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODE[b] * p[: len(b)], out=c[1:])
-    cut = lambda s, e, tag: mix((c[e] - c[s]) * inv[s] + np.uint64(tag))
+    cut = lambda s, e, tag: mix(word_hashes(b, s, e) + np.uint64(tag))
     out = [cut(starts, ends, 1)]
     for k in PREFIXES:
         s = starts[ends - starts >= k]

@@ -9,6 +9,7 @@ import pytest
 
 from tessera.llm import minhash, suffixarray
 from tessera.llm import substring as sub
+from tessera.llm._graph import components
 
 from .conftest import SCHEMA, frame
 
@@ -143,5 +144,42 @@ def test_null_ids_and_clashing_columns(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(None, 2, False), (2, 2, True)}
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_defeat_hashes_modulo_powers_of_two(spark):
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rest = " ".join(f"w{i}" for i in range(34))
+    assert [r.n_removed for r in sub.dedup(frame(spark, [f"{one} {rest}", f"{two} {rest}"])).collect()] == [0, 0]
+    pair = [f"{one} x y z", f"{two} x y z"]
+    assert [r.component_id for r in sorted(minhash.near_duplicates(frame(spark, pair), 4).collect(), key=lambda r: r.doc_id)] == [0, 1]
+    many = [" ".join(thue_morse(4096, *p).replace("a", "one ").replace("b", "two ").split()) for p in ("ab", "ba")]
+    assert [r.n_removed for r in sub.dedup(frame(spark, many), 4096).collect()] == [0, 0]
+
+
+def test_near_duplicates_of_any_ids(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    texts = [(None, base), ("b", base + " x"), ("a", base + " y"), ("a", "something else that is not alike"), (None, "on its own here now"), ("c", "")]
+    df = spark.createDataFrame(texts, "doc_id string, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(df, 4).collect()}
+    assert got[None, 97] == got["b", 98] == ("a", False)
+    assert got["a", 98] == got["a", 3] == ("a", True)
+    assert got[None, 2] == (None, True) and got["c", 0] == ("c", True)
+    assert sorted((r.doc_id or "", r.text) for r in minhash.deduplicate(df, 4).collect()) == sorted((i or "", t) for i, t in texts if i != "b")
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
+    r = np.random.default_rng(8)
+    pairs = [(i, i + 1) for i in range(40)] + [tuple(map(int, r.integers(100, 200, 2))) for _ in range(45)]
+    got = {x.id: x.component for x in components(spark.createDataFrame(pairs, "a long, b long"), one_task).collect()}
+    label = {i: i for p in pairs for i in p}
+    for _ in range(200):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
 def test_digest():
     assert sub.digest(b"a") == hashlib.sha256(b"a").hexdigest()
