@@ -41,9 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, little-endian 32-bit) of each text, and the digest of what they decode to."""
     path = tokenizer_path()
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path).withColumns({"n_tokens": bpe.n_tokens(), "ids_copy": F.col("ids")})
-    decoded = bpe.decode(encoded, path)
-    return decoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", F.col("ids_copy").alias("ids"), F.sha2(F.col("ids_copy"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path), path, keep_ids=True)
+    return decoded.select("doc_id", "lang", "source", "n_chars", bpe.n_tokens().alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -59,11 +58,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over documents; what lies between them is kept in the shared checkpoint folder."""
+    """The result of all stages over documents. What lies between two stages is kept in the shared checkpoint folder until the later one is written."""
     checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus_pipeline/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _delete(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
