@@ -6,13 +6,13 @@ shifted circularly by one for each coordinate. Coordinates are banded; documents
 are one node. Then
 
 1. in each band bucket every node is compared with the bucket's pivot, the node that shares most buckets
-   with others, and nodes linked with one pivot share a label;
-2. buckets that still hold several labels are joined into groups, and each node of a group is
+   with others, and nodes linked so far are joined into components;
+2. buckets that still hold several components are joined into groups, and each node of a group is
    compared with one reference node. It has ``inter`` shingles in common with that, and others beside. Two
    nodes share at most the smaller ``inter`` and those others that both have. So a pair must share a
-   number of others that follows from its sizes, and some of the rarest (a prefix filter over the others
-   only), or have sizes and ``inter`` that allow a link without any. Only pairs of different labels that
-   meet these bounds are compared;
+   number of others that follows from its sizes: one among the rarest of both, and enough after it (a prefix
+   filter with places, over the others only), or have sizes and ``inter`` that allow a link without any.
+   Only pairs of different components that meet these bounds are compared;
 3. all links found are joined into components.
 
 So no pair that shares a bucket stays open, while a group of thousands of copies, near ones included,
@@ -197,17 +197,16 @@ def _open_pairs(met: DataFrame, percent: int) -> DataFrame:
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     known = known.withColumn("t", F.greatest(F.lit(1), need(F.col("n"), partner) - F.col("inter")))
 
-    # pairs that share some of the other shingles: the rarest of those outside the largest component decide
-    rows = known.select("grp", "id", "comp", "n", "inter", "outside", (F.size("others") - F.col("t") + 1).alias("prefix"), "t", F.explode("others").alias("shingle"))
-    rare = rows.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("f"), F.bool_or("outside").alias("asked")).where("f > 1 and asked").drop("asked")
-    single = rows.where("outside and prefix > 0").join(rare, ["grp", "shingle"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    ranked = single.withColumn("r", F.row_number().over(Window.partitionBy("grp", "id").orderBy("f", "shingle"))).where("r <= prefix and f > 1")
-    x = ranked.select("grp", "shingle", F.col("id").alias("xi"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("inter").alias("xk"), "t")
-    y = rows.select("grp", "shingle", F.col("id").alias("yi"), F.col("comp").alias("yc"), F.col("n").alias("yn"), F.col("inter").alias("yk"))
+    # pairs that share some of the other shingles: both have one of those among their rarest, and enough of them after it
+    rows = known.select("grp", "id", "comp", "n", "inter", "outside", "t", F.size("others").alias("m"), F.explode("others").alias("shingle"))
+    often = rows.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("f"), F.bool_or("outside").alias("asked")).where("f > 1 and asked").drop("asked")
+    ranked = rows.join(often, ["grp", "shingle"], "left").withColumn("r", F.row_number().over(Window.partitionBy("grp", "id").orderBy(F.coalesce("f", F.lit(1)), "shingle")))
+    prefix = ranked.where("r <= m - t + 1 and f > 1")
+    side = lambda d, c: d.select("grp", "shingle", *[F.col(k).alias(c + v) for k, v in (("id", "i"), ("comp", "c"), ("n", "n"), ("inter", "k"), ("m", "m"), ("r", "r"))])
+    x, y = side(prefix.where("outside"), "x"), side(prefix, "y")
     ratio = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
-    # of the shingles past the prefix, t - 1 at most are shared
-    met_by = x.join(y, ["grp", "shingle"]).where((F.col("xc") != F.col("yc")) & ratio).groupBy("xi", "yi").agg(F.count(F.lit(1)).alias("k"), F.first("t").alias("t"), F.first(need(F.col("xn"), F.col("yn")) - F.least("xk", "yk")).alias("must"))
-    shared = met_by.where(F.col("k") + F.col("t") - 1 >= F.col("must"))
+    enough = 1 + F.least(F.col("xm") - F.col("xr"), F.col("ym") - F.col("yr")) >= need(F.col("xn"), F.col("yn")) - F.least("xk", "yk")
+    shared = x.join(y, ["grp", "shingle"]).where((F.col("xc") != F.col("yc")) & ratio & enough)
 
     # pairs that need none: by sizes, of which a group has few
     near = known.where(need(F.col("n"), partner) <= F.col("inter")).select("grp", "id", "comp", "n", "inter", "outside")
@@ -238,14 +237,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     texts = docs.select(F.col(key).alias("_id"), text_bytes(docs, text).alias("_t"))
     sets = cut(_sets(texts, nodes.select("id", "_id", "_set").join(popular, "id"), k))
     links = cut(_confirmed(pairs, sets, percent))
-    # a node's label is the most popular pivot that it is linked with, if more popular than itself, and then that
-    # one's label: nodes with one label are connected, though a component may have several labels yet
-    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(pivots.select("b").distinct(), "b")
-    best = ends.join(popular.select(F.col("id").alias("b"), "p"), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("p")).alias("p"), F.col("b").alias("id"))).alias("near"))
-    own = F.struct((-F.col("p")).alias("p"), "id")
-    label = cut(popular.join(best, "id", "left").select("id", F.least(own, F.coalesce("near", own))["id"].alias("comp")))
-    onward = label.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    label = label.join(onward, "comp").select("id", F.col("to").alias("comp"))
+    found = components(links)
+    label = cut(popular.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp")))
     placed = live.join(label, "id")
     open_ = cut(_split(placed).join(pivots, "bucket").select("id", "comp", F.col("b").alias("pivot")).distinct())
     if not open_.isEmpty():
@@ -253,8 +246,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         member = open_.select("id", "comp").distinct().join(groups.select("id", F.col("component").alias("grp")), "id")
         refs = member.join(popular, "id").groupBy("grp").agg(F.min(F.struct(-F.col("p"), F.col("id")))["id"].alias("ref"))
         met = cut(_against_reference(member.join(refs, "grp"), sets))
-        links = links.unionByName(cut(_confirmed_in_group(_open_pairs(met, percent), met, percent)))
-    found = components(links)
+        found = components(links.unionByName(cut(_confirmed_in_group(_open_pairs(met, percent), met, percent))))
 
     placed = cut(nodes.select("id", "_id", "_set").join(found, "id", "left").select("_id", "_set", F.coalesce("component", "id").alias("component")))
     least = placed.groupBy("component").agg(F.min("_id").alias("component_id"))
