@@ -126,6 +126,31 @@ def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     return mix(times(reduced(c[k:] + U64(PRIME) - c[:n]), inv[:n]))
 
 
+def varints(x: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers under 2**63 as bytes of seven bits, lowest first, the last of each under 128; and where each begins (and the end)."""
+    many = np.ones(len(x), dtype=np.int64)
+    most = int(x.max(initial=0)).bit_length()
+    for k in range(7, most, 7):
+        many += x >= 1 << k
+    at = np.concatenate([[0], np.cumsum(many)])
+    out = np.zeros(at[-1], dtype=np.uint8)
+    for k in range(int(many.max(initial=0))):
+        rows = many > k
+        out[at[:-1][rows] + k] = ((x[rows] >> 7 * k) & 127) | np.where(many[rows] > k + 1, 128, 0)
+    return out.tobytes(), at
+
+
+def unvarint(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where each ends."""
+    ends = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, dtype=np.int64)
+    out = np.zeros(len(ends), dtype=np.int64)
+    for k in range(int((ends - first).max(initial=-1)) + 1):
+        there = first + k <= ends
+        out[there] |= (raw[first[there] + k] & 127).astype(np.int64) << 7 * k
+    return out, ends
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key written as text, modulo n (null: null)."""
     return F.crc32(key.cast("string").cast("binary")) % n

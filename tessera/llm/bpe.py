@@ -18,7 +18,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, StringType, StructField, StructType
 
 from tessera.llm._blocks import fresh, lean, release
+from tessera.llm._text import unvarint, varints
 
 #: The pre-tokenizer's pattern, a fixed value of this public vocabulary; capitals stand for classes of characters.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?LETTER+| ?NUMBER+| ?OTHER+|SPACE+(?!SOLID)|SPACE+"
@@ -42,8 +45,10 @@ LATER_LETTERS = """
 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 2ebf0-2ee5d 31350-323af
 """
 LATER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 11f50-11f59 16130-16139 16ac0-16ac9 16d70-16d79 1ccf0-1ccf9 1d2c0-1d2d3 1e4f0-1e4f9 1e5f1-1e5fa"
-FREQUENT, SAMPLE_BYTES, SEGMENT = 1 << 19, 128 << 20, 50_000
-FLUSH_BYTES = 4 << 20
+#: Words of the broadcast table; share of the texts (one in so many) that it is taken from, and bytes of these at most.
+FREQUENT, SAMPLE, SAMPLE_BYTES = 1 << 19, 8, 128 << 20
+SEGMENT, SHORT = 50_000, 64
+FLUSH_BYTES, ROWS_AT_ONCE = 4 << 20, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,29 +77,40 @@ class Vocabulary:
         self.ranks = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = (bytes(letters[c] for c in x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
-            self.ranks[ids[left], ids[right]] = (rank, ids[left + right])
+            self.ranks[ids[left] << 32 | ids[right]] = rank << 32 | ids[left + right]
 
     def encode(self, word: str) -> bytes:
         """A word's ids as little-endian 32-bit integers. The best-ranked merge goes first, from left to right."""
         if word in self.special:
             return self.special[word].to_bytes(4, "little")
         ids = [self.single[b] for b in word.encode()]
-        n, ranks = len(ids), self.ranks
+        n, ranks, none = len(ids), self.ranks, 1 << 64
+        if n <= SHORT:
+            rank = [ranks.get(a << 32 | b, none) for a, b in pairwise(ids)]
+            while rank and (best := min(rank)) != none:
+                i = rank.index(best)
+                ids[i : i + 2] = [best & 0xFFFFFFFF]
+                del rank[i]
+                if i:
+                    rank[i - 1] = ranks.get(ids[i - 1] << 32 | ids[i], none)
+                if i < len(rank):
+                    rank[i] = ranks.get(ids[i] << 32 | ids[i + 1], none)
+            return struct.pack(f"<{len(ids)}I", *ids)
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap = [(*f, i, ids[i], ids[i + 1]) for i in range(n - 1) if (f := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(f, i, ids[i], ids[i + 1]) for i in range(n - 1) if (f := ranks.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, merged, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
             if j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j] = merged, False
+            ids[i], alive[j] = best & 0xFFFFFFFF, False
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (f := ranks.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (*f, left, ids[left], ids[right]))
+                if left >= 0 and right >= 0 and (f := ranks.get(ids[left] << 32 | ids[right])) is not None:
+                    heapq.heappush(heap, (f, left, ids[left], ids[right]))
         return np.array([x for x, keep in zip(ids, alive, strict=True) if keep], dtype="<u4").tobytes()
 
 
@@ -156,49 +172,88 @@ def _text(docs: DataFrame, text: str) -> Column:
 # ---- encoding
 
 
-def _encoded(path: str, sorted_words: DataFrame, key: list[str]) -> DataFrame:
-    """key and ids of rows (word, key); equal words follow each other and are encoded once, equal rows are dropped."""
-    schema = StructType([sorted_words.schema[c] for c in key] + [StructField("ids", BinaryType())])
+def _encoded(path: str, words: DataFrame) -> DataFrame:
+    """word and ids of distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, last, ids, before = vocabulary(path), None, b"", None
+        v = vocabulary(path)
         for b in batches:
-            out, keep = [], []
-            for row, x in enumerate(zip(*(b[c].to_pylist() for c in ["word", *key]), strict=True)):
+            yield pa.RecordBatch.from_arrays([b["word"], pa.array([v.encode(w) for w in b["word"].to_pylist()], pa.binary())], names=["word", "ids"])
+        release()
+
+    return words.select("word").mapInArrow(run, "word string, ids binary")
+
+
+def _answered(path: str, sorted_words: DataFrame, key: str) -> DataFrame:
+    """For rows (word, key, no) in the order of words: key and packed, the numbers and ids of some of its words. Each word is encoded once, equal rows are dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, last, ids, before = vocabulary(path), None, [], None
+        held: dict[bytes, list[int]] = {}
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, held.values())])
+            whole = np.concatenate([np.zeros(0, dtype=np.int64), *(np.array(x, dtype=np.int64) for x in held.values())])
+            data, at = varints(whole)
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.BinaryArray.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(data)])], names=[key, "packed"])
+
+        for b in batches:
+            for x in zip(*(b[c].to_pylist() for c in ("word", key, "no")), strict=True):
                 if x == before:
                     continue
                 before = x
                 if x[0] != last:
-                    last, ids = x[0], v.encode(x[0])
-                out.append(ids)
-                keep.append(row)
-            b = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in key), pa.array(out, pa.binary())], names=[*key, "ids"])
+                    last = x[0]
+                    ids = np.frombuffer(v.encode(last), dtype="<u4").tolist()
+                held.setdefault(x[1], []).extend((x[2], len(ids), *ids))
+                size += len(ids) + 8
+            if size > ROWS_AT_ONCE:
+                yield made()
+                held.clear()
+                size = 0
+        if held:
+            yield made()
+        held.clear()
         release()
 
-    return sorted_words.mapInArrow(run, schema)
+    return sorted_words.mapInArrow(run, StructType([sorted_words.schema[key], StructField("packed", BinaryType())]))
 
 
 def frequent(docs: DataFrame, path: str, text: str, special: list[str], most: int = FREQUENT, sample_bytes: int = SAMPLE_BYTES) -> pa.Table:
-    """word and ids of the most frequent words in a sample of about sample_bytes, ``most`` at most."""
+    """word and ids of the most frequent words of one text in SAMPLE, or of fewer texts of about sample_bytes; ``most`` at most."""
     whole = docs.select(_text(docs, text).alias("t"))
     total = whole.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    sample = whole.where(F.pmod(F.xxhash64(F.lit(5), "t"), F.lit(max(1, total // sample_bytes))) == 0)
+    sample = whole.where(F.pmod(F.xxhash64(F.lit(5), "t"), F.lit(max(SAMPLE, total // sample_bytes))) == 0)
     counts = sample.select(F.explode(segments(F.col("t"), special)).alias("s")).select(F.explode(words(F.col("s"), special)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word", F.col("word").alias("w"))
-    return _encoded(path, best, ["w"]).toArrow().combine_chunks()
+    return _encoded(path, counts.orderBy(F.desc("n"), "word").limit(most)).toArrow().combine_chunks()
 
 
 def _packed(codes: np.ndarray) -> bytes:
-    """Numbers by planes of their bytes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()) if len(codes) else b""
+    """Numbers in one, two, three or five bytes, the smaller the shorter; first bytes first, compressed."""
+    one, two, three = 128, 128 + (64 << 8), 128 + (64 << 8) + (63 << 16)
+    x = codes
+    kind = (x >= one).astype(np.int8) + (x >= two) + (x >= three)
+    y = x - np.array([0, one, two, 0])[kind]
+    head = np.choose(kind, [y, 128 | y >> 8, 192 | y >> 16, 255]).astype(np.uint8)
+    rest = [y[kind == 1].astype("<u1"), y[kind == 2].astype("<u2"), x[kind == 3].astype("<u4")]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in (head, *rest))) + len(x).to_bytes(8, "little") if len(x) else b""
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, dtype=np.int64)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    n, data = int.from_bytes(raw[-8:], "little"), np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[:-8]), dtype=np.uint8)
+    head = data[:n].astype(np.int64)
+    kind = (head >= 128).astype(np.int8) + (head >= 192) + (head == 255)
+    out, at = head.copy(), n
+    for k, width, first, least in ((1, 1, 128, 128), (2, 2, 192, 128 + (64 << 8)), (3, 4, 255, 0)):
+        here = kind == k
+        size = int(here.sum()) * width
+        low = np.frombuffer(data[at : at + size].tobytes(), dtype=f"<u{width}").astype(np.int64)
+        out[here] = ((head[here] - first) << 8 * width) + low + least
+        at += size
+    return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch], seg: str, found: str, table: pa.Array) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, list[str]]]:
@@ -252,49 +307,62 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", mos
     docs = docs if text == ids else docs.drop(ids)
     special = list(vocabulary(path).special)
     rest = [c for c in docs.columns if c != text]
-    t, digest, salt, seg, found, codes, answers = fresh([*rest, ids], "t", "digest", "salt", "seg", "words", "codes", "answers")
-    kept = spark_broadcast(docs, frequent(docs, path, text, special, most))
+    t, key, seg, found, codes, answers = fresh([*rest, ids], "t", "key", "seg", "words", "codes", "answers")
+    kept = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, text, special, most))
 
     plain = [F.col(f"`{c}`") for c in rest if not _has_map(docs.schema[c].dataType)]
     whole = docs.withColumn(t, _text(docs, text))
-    # copies of a text are spread by what else their rows hold
-    whole = whole.select(*[F.col(f"`{c}`") for c in rest], F.substring(F.unhex(F.sha2(t, 256)), 1, 16).alias(digest), F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(64)).cast("int").alias(salt), F.posexplode(segments(F.col(t), special)).alias(seg, t))
+    # a row is known by 88 bits of its text's digest, and copies of a text are spread over 64 keys by what else their rows hold
+    spread = F.lpad(F.hex(F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(64))), 2, "0")
+    whole = whole.select(*[F.col(f"`{c}`") for c in rest], F.unhex(F.concat(F.substring(F.sha2(t, 256), 1, 22), spread)).alias(key), F.posexplode(segments(F.col(t), special)).alias(seg, t))
     split = whole.withColumn(found, words(F.col(t), special)).drop(t)
-    keys = [StructField(digest, BinaryType()), StructField(salt, IntegerType())]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = kept.value["w"].chunk(0) if kept.value.num_rows else pa.array([], pa.string()), set()
+        table, seen = _column(kept.value, "word", pa.string()), set()
+        keys, nos, words = [], [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(nos, pa.int32()), pa.array(words, pa.string())], names=[key, "no", "word"])
+
+        last, mine_of = None, []
         for b, r, _, other in _rows(batches, seg, found, table):
-            mine = (b[digest][r].as_py(), b[salt][r].as_py())
+            if b is not last:
+                last, mine_of = b, b[key].to_pylist()
+            mine = mine_of[r]
             if not other or mine in seen:
                 continue
             if len(seen) > 100_000:
                 seen.clear()
             seen.add(mine)
-            n = len(other)
-            yield pa.RecordBatch.from_arrays([pa.array([mine[0]] * n, pa.binary()), pa.array([mine[1]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(other, pa.string())], names=[digest, salt, "no", "word"])
+            keys.extend([mine] * len(other))
+            nos.extend(range(len(other)))
+            words.extend(other)
+            if len(words) > ROWS_AT_ONCE:
+                yield made()
+                keys, nos, words = [], [], []
+        if words:
+            yield made()
         release()
 
-    keyed = split.select(digest, salt, seg, found)
-    beyond = keyed.mapInArrow(rare, StructType([*keys, StructField("no", IntegerType()), StructField("word", StringType())])).repartition("word").sortWithinPartitions("word", digest, salt, "no")
-    known = _encoded(path, beyond, [digest, salt, "no"]).groupBy(digest, salt).agg(F.collect_list(F.struct("no", "ids")).alias(answers))
+    keyed = StructField(key, BinaryType())
+    beyond = split.select(key, seg, found).mapInArrow(rare, StructType([keyed, StructField("no", IntegerType()), StructField("word", StringType())])).repartition("word").sortWithinPartitions("word", key, "no")
+    known = _answered(path, beyond, key).groupBy(key).agg(F.collect_list("packed").alias(answers))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = kept.value["w"].chunk(0) if kept.value.num_rows else pa.array([], pa.string())
-        rows = ((b, r, len(x), x) for b, r, c, _ in _rows(batches, seg, found, table) for x in (_packed(c),))
-        yield from _flushed(rows, [*rest, digest, salt], [codes], [pa.binary()])
+        rows = ((b, r, len(x), x) for b, r, c, _ in _rows(batches, seg, found, _column(kept.value, "word", pa.string())) for x in (_packed(c),))
+        yield from _flushed(rows, [*rest, key], [codes], [pa.binary()])
         release()
 
     fields = [docs.schema[c] for c in rest]
-    coded = split.mapInArrow(numbered, StructType([*fields, *keys, StructField(codes, BinaryType())]))
-    joined = coded.join(known, [digest, salt], "left").select(*[F.col(f"`{c}`") for c in rest], codes, answers)
+    coded = split.mapInArrow(numbered, StructType([*fields, keyed, StructField(codes, BinaryType())]))
+    joined = coded.join(known, key, "left").select(*[F.col(f"`{c}`") for c in rest], codes, answers)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_ids = kept.value["ids"].chunk(0) if kept.value.num_rows else pa.array([], pa.binary())
+        known_ids = _column(kept.value, "ids", pa.binary())
         for batch in batches:
             begin, size, held = 0, 0, []
-            for row in range(batch.num_rows):
-                held.append(_unpacked(batch[codes][row].as_py()))
+            for row, raw in enumerate(batch[codes].to_pylist()):
+                held.append(_unpacked(raw))
                 size += 8 * len(held[-1])
                 if size >= FLUSH_BYTES or row == batch.num_rows - 1:
                     part = batch.slice(begin, len(held))
@@ -306,19 +374,33 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", mos
     return joined.mapInArrow(fill, StructType([*fields, StructField(ids, BinaryType())]))
 
 
+def _column(table: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
+    return table[name].chunk(0) if table.num_rows else pa.array([], kind)
+
+
 def _joined(rows: list[np.ndarray], answers: pa.ListArray, known: pa.Array) -> pa.Array:
     """Each row's ids: its words' numbers joined with the broadcast table and, beyond it, with the row's own answers."""
-    n = len(known)
     flat = answers.flatten()
     of = np.repeat(np.arange(len(rows)), pc.list_value_length(answers).fill_null(0).to_numpy(zero_copy_only=False))
-    no = flat.field("no").to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((no, of))
-    base = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
-    ends = np.cumsum([0, *map(len, rows)])
+    sizes = np.cumsum([0, *pc.binary_length(flat).to_pylist()])
+    numbers, byte_ends = unvarint(np.frombuffer(b"".join(flat.to_pylist()), dtype=np.uint8))
+    listed, at, i = numbers.tolist(), [], 0
+    while i < len(listed):  # number of the word, how many ids, the ids
+        at.append(i)
+        i += 2 + listed[i + 1]
+    place = np.array(at, dtype=np.int64)
+    no, many = numbers[place], numbers[place + 1]
+    row = of[np.searchsorted(sizes, byte_ends[place], side="right") - 1] if len(place) else place
+    order = np.lexsort((no, row))
+    many, first = many[order], place[order] + 2
+    ends = np.concatenate([[0], np.cumsum(many)])
+    own = numbers[np.repeat(first - ends[:-1], many) + np.arange(ends[-1])].astype("<u4")
+    mine = pa.BinaryArray.from_buffers(pa.binary(), len(many), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(own.tobytes())])
+    base = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))])
+    row_ends = np.cumsum([0, *map(len, rows)])
     codes = np.concatenate([np.zeros(0, dtype=np.int64), *rows])
-    codes += np.where(codes >= n, np.repeat(base[:-1], np.diff(ends)), 0)
-    table = pa.concat_arrays([known, flat.field("ids").take(pa.array(order))])
-    return _grouped(table.take(pa.array(codes)), ends)
+    codes += np.where(codes >= len(known), np.repeat(base[:-1], np.diff(row_ends)), 0)
+    return _grouped(pa.concat_arrays([known, mine]).take(pa.array(codes)), row_ends)
 
 
 def _grouped(values: pa.Array, ends: np.ndarray) -> pa.Array:
@@ -330,10 +412,6 @@ def _grouped(values: pa.Array, ends: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(at[ends])), data])
 
 
-def spark_broadcast(docs: DataFrame, value):
-    return docs.sparkSession.sparkContext.broadcast(value)
-
-
 def _has_map(kind) -> bool:
     """Maps have no hash in Spark."""
     if isinstance(kind, StructType):
@@ -352,14 +430,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text",
     lean(encoded.sparkSession)
     encoded = encoded if text == ids else encoded.drop(text)
     rest = [c for c in encoded.columns if c != ids or keep_ids]
-    pieces = spark_broadcast(encoded, pa.array([*vocabulary(path).pieces, b""], pa.binary()))
+    pieces = encoded.sparkSession.sparkContext.broadcast(pa.array([*vocabulary(path).pieces, b""], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
         for batch in batches:
             begin, size, held = 0, 0, []
-            for row in range(batch.num_rows):
-                held.append(np.frombuffer(batch[ids][row].as_py() or b"", dtype="<u4"))
+            for row, raw in enumerate(batch[ids]):
+                held.append(np.frombuffer(raw.as_buffer() or b"", dtype="<u4"))
                 size += 4 * len(held[-1])
                 if size >= FLUSH_BYTES or row == batch.num_rows - 1:
                     flat = np.minimum(np.concatenate([np.zeros(0, dtype="<u4"), *held]), len(table) - 1)
