@@ -3,16 +3,19 @@
 Each byte is eight binary decisions; each decision has a tree of contexts, the preceding DEPTH bytes,
 latest first. A context holds how often either bit followed it in the training texts; its
 Krichevsky-Trofimov estimate is mixed with that of the longer contexts below it by the weight that the
-training data gives (one half a priori), so all depths speak. A context that training never met
-leaves the word to the shorter one. A text's score is the base-10 logarithm of its probability, bytes
+training data gives (one half a priori), so all depths speak. A context that training never met has the
+empty estimate, one half, and is mixed like any other. Scoring reads the tree as training left it: weights and
+counts don't move with the text scored. A text's score is the base-10 logarithm of its probability, bytes
 and end included.
 
 Blocks of documents count strings of DEPTH + 1 bytes and words, and send them packed; totals are
-summed by buckets, one tree is weighted for each preceding byte, and blocks get back a logarithm for
-each of their strings and a count for each of their words. Words are told apart by 64-bit hashes.
+summed by buckets, one tree is weighted for each two preceding bytes, and the levels above, of 256 contexts at most,
+come together on the driver. Blocks get back a logarithm (32 bits, so to seven digits) for each of their strings and a
+count for each of their words. Words are told apart by 63-bit hashes.
 
-Null texts count as empty and have the end only. With no training text every bit has one half. A row
-that repeats is another document. An empty table gives an empty table.
+Null texts count as empty and have the end only. With no training text every bit has one half. Rows that
+repeat, or share an id, are documents of their own. Very long texts are read whole. Only the id, the text and the training
+mark are read: other columns are not in the result. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _blocks as B
-from tessera.llm._text import LOWER, mix, to_bytes, word_bounds, word_hashes
+from tessera.llm._text import LOWER, mix, to_bytes, unvarint, varints, word_bounds, word_hashes
 
-DEPTH = 4
+#: Context bytes, and those of them that a tree is dealt by.
+DEPTH, DEALT = 5, 2
 WORDS_PER_BUCKET, DENSE = 4 << 20, 1 << 17
 _LGAMMA: np.ndarray | None = None
 
@@ -86,19 +90,28 @@ class BlockText:
         words = []
         for b in docs:
             b = LOWER[b]
-            words.append(word_hashes(b, *word_bounds(b)))
+            words.append(word_hashes(b, *word_bounds(b)) >> np.uint64(1))
         self.n_words = np.array([len(w) for w in words], dtype=np.int64)
         self.words, self.word_ids = np.unique(np.concatenate([*words, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
         self.doc_of_word = np.repeat(np.arange(len(docs)), self.n_words)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Packed and deflated: counts and sorted strings shrink to a third and less."""
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Whole numbers, deflated."""
+    return zlib.compress(varints(values)[0], 1)
 
 
-def unpack(raw: pa.Scalar, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw.as_py()), dtype=kind)
+def unpack(raw: pa.Scalar) -> np.ndarray:
+    return unvarint(np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.uint8))[0]
+
+
+def pack_rising(keys: np.ndarray) -> bytes:
+    """Rising numbers under 2**63, by their differences."""
+    return pack(np.diff(keys.astype(np.int64), prepend=0))
+
+
+def unpack_rising(raw: pa.Scalar) -> np.ndarray:
+    return np.cumsum(unpack(raw)).astype(np.uint64)
 
 
 SENT = "_block long, kind string, _bucket long, keys binary, many binary, extra binary"
@@ -112,7 +125,7 @@ def _send(block: int, t: pa.Table, word_buckets: int, gram_buckets: int):
     for kind, keys, n, buckets in (("words", x.words, many, word_buckets), ("grams", x.grams, np.bincount(x.ids[x.train[x.doc_of_byte]], minlength=len(x.grams)), gram_buckets)):
         bucket = _bucket(keys, buckets)
         for b in np.unique(bucket).tolist():
-            yield row | {"kind": kind, "_bucket": b, "keys": B.pack(keys[bucket == b]) if kind == "words" else pack(keys[bucket == b]), "many": pack(n[bucket == b].astype(np.uint32))}
+            yield row | {"kind": kind, "_bucket": b, "keys": pack_rising(keys[bucket == b]), "many": pack(n[bucket == b])}
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -120,86 +133,88 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _keys(t: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), dtype=np.uint64) if k == "words" else unpack(x, np.uint64) for k, x in zip(t["kind"].to_pylist(), t["keys"], strict=True)]
+    return [unpack_rising(x) for x in t["keys"]]
 
 
 def _sum(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys of all rows, their totals, and each row's keys."""
     keys = _keys(t)
-    many = np.concatenate([unpack(x, np.uint32) for x in t["many"]]).astype(np.int64)
+    many = np.concatenate([unpack(x) for x in t["many"]])
     u, back = np.unique(np.concatenate(keys), return_inverse=True)
     return u, np.bincount(back, weights=many, minlength=len(u)).astype(np.int64), keys
 
 
+def weight_of(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts: the weight of their own estimate, their estimate of a one, and the logarithm of what they say together with those below."""
+    own = log_kt(n0, n1)
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700))), (n1 + 0.5) / (n0 + n1 + 1), np.logaddexp(own, below) - np.log(2)
+
+
 class Tree:
-    """The weighted trees of all contexts whose latest byte is the same, for each binary decision.
+    """The weighted trees of all contexts whose latest ``dealt`` bytes are the same, for each binary decision.
 
-    grams: strings of DEPTH context bytes (oldest first) and the next byte; total: how often each was in training.
+    grams: strings of ``depth`` context bytes (oldest first) and the next byte; total: how often each was in training.
     """
 
-    def __init__(self, grams: np.ndarray, total: np.ndarray):
-        self.grams = grams
+    def __init__(self, grams: np.ndarray, total: np.ndarray, depth: int = DEPTH, dealt: int = DEALT):
+        self.grams, self.levels = grams, range(dealt, depth + 1)
         nxt = (grams & np.uint64(255)).astype(np.int64)
         context = grams >> np.uint64(8)
-        # level d: distinct (latest d context bytes, node of the decision); nodes 1..255 by the bits before
-        self.node, self.bit = [], []
-        for i in range(8):
-            self.node.append((1 << i) | (nxt >> (8 - i)))
-            self.bit.append((nxt >> (7 - i)) & 1)
-        node, bit = np.stack(self.node), np.stack(self.bit)
-        self.at, self.kt, self.seen, self.log_weight, counts = [], [], [], [], []
-        keys = []
-        for d in range(1, DEPTH + 1):
-            cut = context & np.uint64((1 << (8 * d)) - 1)
-            key = (cut[None, :] << np.uint64(8)) | node.astype(np.uint64)
+        #: for each string the latest byte of its context, and for each decision its node 1..255 by the bits before, and its bit
+        self.last = (context & np.uint64(255)).astype(np.int64)
+        self.node = np.stack([(1 << i) | (nxt >> (8 - i)) for i in range(8)])
+        self.bit = np.stack([(nxt >> (7 - i)) & 1 for i in range(8)])
+        self.at, self.own, self.weight, counts, keys = [], [], [], [], []
+        for d in self.levels:
+            key = ((context & np.uint64((1 << (8 * d)) - 1))[None, :] << np.uint64(8)) | self.node.astype(np.uint64)
             u, inv = np.unique(key.ravel(), return_inverse=True)
             inv = inv.reshape(key.shape)
-            n1 = np.bincount(inv.ravel(), weights=(bit * total[None, :]).ravel(), minlength=len(u))
             n = np.bincount(inv.ravel(), weights=np.broadcast_to(total, key.shape).ravel(), minlength=len(u))
-            counts.append((n - n1, n1))
+            n1 = np.bincount(inv.ravel(), weights=(self.bit * total[None, :]).ravel(), minlength=len(u))
             keys.append(u)
+            counts.append((n - n1, n1))
             self.at.append(inv)
-            self.kt.append((n1 + 0.5) / (n + 1.0))
-            self.seen.append(n > 0)
-        weighted = None
-        weights = []
-        for d in range(DEPTH, 0, -1):
-            estimate = log_kt(*counts[d - 1])
-            if d == DEPTH:
-                weighted = estimate
-                weights.append(np.ones(len(estimate)))
+        below = None
+        for i in range(len(self.levels) - 1, -1, -1):
+            n0, n1 = counts[i]
+            if below is None:
+                weight, own, said = np.ones(len(n0)), (n1 + 0.5) / (n0 + n1 + 1), log_kt(n0, n1)
             else:
-                parent = np.zeros(len(keys[d]), dtype=np.int64)
-                parent[self.at[d].ravel()] = self.at[d - 1].ravel()
-                below = np.bincount(parent, weights=weighted, minlength=len(estimate))
-                weights.append(1 / (1 + np.exp(np.clip(below - estimate, -700, 700))))
-                weighted = np.logaddexp(estimate, below) - np.log(2)
-        self.weight = weights[::-1]
-        root_node = (keys[0] & np.uint64(255)).astype(np.int64)
-        #: for the root, which all trees share: by decision, zeros, ones and the logarithm of what the children give
-        self.root = np.zeros((3, 256))
-        for i, v in enumerate((*counts[0], weighted)):
-            np.add.at(self.root[i], root_node, v)
-
-    def log10(self, root: np.ndarray) -> np.ndarray:
-        """Base-10 logarithm of each string's last byte after the others. root: by decision, its weight and its chance of a one."""
+                parent = np.zeros(len(keys[i + 1]), dtype=np.int64)
+                parent[self.at[i + 1].ravel()] = self.at[i].ravel()
+                weight, own, said = weight_of(n0, n1, np.bincount(parent, weights=below, minlength=len(n0)))
+            self.weight.insert(0, weight)
+            self.own.insert(0, own)
+            below = said
+        #: for the level above: latest byte, node, zeros, ones and the logarithm of what the contexts say
+        self.top = [((keys[0] >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (keys[0] & np.uint64(255)).astype(np.int64), *counts[0], below]
+
+    def log10(self, above: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Base-10 logarithm of each string's last byte after the others. above: weights and estimates by decision of no byte, and by latest byte and decision of one."""
         out = np.zeros(len(self.grams))
         for i in range(8):
-            p = None
-            for d in range(DEPTH, 0, -1):
-                at = self.at[d - 1][i]
-                own, w = self.kt[d - 1][at], self.weight[d - 1][at]
-                if p is None:
-                    p = np.where(self.seen[d - 1][at], own, np.nan)
-                else:
-                    mixed = np.where(np.isnan(p), own, w * own + (1 - w) * p)
-                    p = np.where(self.seen[d - 1][at], mixed, np.nan)
-            w, own = root[0][self.node[i]], root[1][self.node[i]]
-            p = np.where(np.isnan(p), own, w * own + (1 - w) * p)
+            p = self.own[-1][self.at[-1][i]]
+            for at, own, weight in zip(self.at[-2::-1], self.own[-2::-1], self.weight[-2::-1], strict=True):
+                w = weight[at[i]]
+                p = w * own[at[i]] + (1 - w) * p
+            for weight, own in reversed(above):
+                at = (self.last, self.node[i]) if weight.ndim == 2 else self.node[i]
+                p = weight[at] * own[at] + (1 - weight[at]) * p
             out += np.log10(np.where(self.bit[i] == 1, p, 1 - p))
         return out
 
 
+def upper_levels(last: np.ndarray, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights and estimates of the empty context and of contexts of one byte, from sums over those of two."""
+    table = np.zeros((3, 256, 256))
+    for t, v in zip(table, (n0, n1, below), strict=True):
+        np.add.at(t, (last, node), v)
+    one = weight_of(*table)
+    seen = table[0] + table[1] > 0
+    root = weight_of(table[0].sum(0), table[1].sum(0), np.where(seen, one[2], 0).sum(0))
+    return [root[:2], one[:2]]
+
+
 def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """key, n_bytes, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (code length), for each row of docs."""
     docs = docs.select(key, text, F.coalesce(train, F.lit(False)).alias("_train"))
@@ -212,7 +227,7 @@ def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_i
 
     def count_words(k: tuple, t: pa.Table) -> pa.Table:
         u, sums, keys = _sum(t)
-        answers = [pack(sums[np.searchsorted(u, x)].astype(np.uint32)) for x in keys]
+        answers = [pack(sums[np.searchsorted(u, x)]) for x in keys]
         n, bucket = len(answers), k[0].as_py()
         # the last row has the number of distinct training words in place of a bucket
         return pa.table({"_block": pa.array([*t["_block"].to_pylist(), -1]), "kind": pa.array(["words"] * (n + 1)), "_bucket": pa.array([bucket] * n + [int((sums > 0).sum())]), "values": pa.array([*answers, None], pa.binary())})
@@ -221,43 +236,43 @@ def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_i
     counted = B.cut(sent.where("kind = 'words'").repartition(min(word_buckets, B.MOST_PARTS), "_bucket").groupBy("_bucket").applyInArrow(count_words, answered))
     distinct = (counted.where("_block = -1").agg(F.sum("_bucket")).first()[0] or 0) + (1 if tokens else 0)
 
-    def by_last(k: tuple, t: pa.Table) -> pa.Table:
+    def by_context(k: tuple, t: pa.Table) -> pa.Table:
         u, sums, _ = _sum(t)
-        last = ((u >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-        groups = np.unique(last).tolist()
-        return pa.table({"last": pa.array(groups, pa.int64()), "keys": pa.array([u[last == g].tobytes() for g in groups], pa.binary()), "many": pa.array([sums[last == g].astype(np.uint64).tobytes() for g in groups], pa.binary())})
+        context = ((u >> np.uint64(8)) & np.uint64((1 << 8 * DEALT) - 1)).astype(np.int64)
+        order = np.argsort(context, kind="stable")
+        groups = B.runs(context[order])
+        return pa.table({"context": pa.array([g for g, _, _ in groups], pa.int64()), "keys": pa.array([pack_rising(u[order[a:z]]) for _, a, z in groups], pa.binary()), "many": pa.array([pack(sums[order[a:z]]) for _, a, z in groups], pa.binary())})
 
     grams = sent.where("kind = 'grams'").repartition(min(gram_buckets, B.MOST_PARTS), "_bucket")
-    totals = B.cut(grams.groupBy("_bucket").applyInArrow(by_last, "last long, keys binary, many binary"))
+    totals = B.cut(grams.groupBy("_bucket").applyInArrow(by_context, "context long, keys binary, many binary"))
 
     def tree_of(t: pa.Table) -> Tree:
-        g = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in t["keys"]])
-        c = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in t["many"]])
+        g = np.concatenate([unpack_rising(x) for x in t["keys"]])
+        c = np.concatenate([unpack(x) for x in t["many"]])
         order = np.argsort(g)
         return Tree(g[order], c[order].astype(np.float64))
 
-    roots = totals.groupBy("last").applyInArrow(lambda k, t: pa.table({"root": pa.array([tree_of(t).root.tobytes()], pa.binary())}), "root binary")
-    root = np.zeros((3, 256))
-    for r in roots.collect():  # 256 rows at most
-        root += np.frombuffer(r.root).reshape(3, 256)
-    estimate = log_kt(root[0], root[1])
-    root = np.stack([1 / (1 + np.exp(np.clip(root[2] - estimate, -700, 700))), (root[1] + 0.5) / (root[0] + root[1] + 1)])
+    def top(k: tuple, t: pa.Table) -> pa.Table:
+        return pa.table(tree_of(t).top, names=["last", "node", "n0", "n1", "below"])
+
+    tops = totals.groupBy("context").applyInArrow(top, "last long, node long, n0 double, n1 double, below double").groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas()  # 65,280 rows at most
+    above = upper_levels(*(tops[c].to_numpy() for c in ("last", "node", "n0", "n1", "below")))
 
     def logs(k: tuple, t: pa.Table) -> pa.Table:
         tree = tree_of(t)
-        values, bucket = tree.log10(root), _bucket(tree.grams, gram_buckets)
+        values, bucket = tree.log10(above).astype(np.float32), _bucket(tree.grams, gram_buckets)
         groups = np.unique(bucket).tolist()
-        return pa.table({"_bucket": pa.array(groups, pa.int64()), "keys": pa.array([tree.grams[bucket == b].tobytes() for b in groups], pa.binary()), "logs": pa.array([values[bucket == b].tobytes() for b in groups], pa.binary())})
+        return pa.table({"_bucket": pa.array(groups, pa.int64()), "keys": pa.array([pack_rising(tree.grams[bucket == b]) for b in groups], pa.binary()), "logs": pa.array([values[bucket == b].tobytes() for b in groups], pa.binary())})
 
     def answer(k: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        u = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in known["keys"]])
-        v = np.concatenate([np.frombuffer(x.as_py(), dtype=np.float64) for x in known["logs"]])
+        u = np.concatenate([unpack_rising(x) for x in known["keys"]])
+        v = np.concatenate([np.frombuffer(x.as_py(), dtype=np.float32) for x in known["logs"]])
         order = np.argsort(u)
         u, v = u[order], v[order]
-        values = [v[np.searchsorted(u, x)].astype(np.float32).tobytes() for x in _keys(asked)]
+        values = [v[np.searchsorted(u, x)].tobytes() for x in _keys(asked)]
         return pa.table({"_block": asked["_block"], "kind": pa.array(["grams"] * len(values)), "_bucket": asked["_bucket"], "values": pa.array(values, pa.binary())})
 
-    weighted = totals.groupBy("last").applyInArrow(logs, "_bucket long, keys binary, logs binary").repartition(min(gram_buckets, B.MOST_PARTS), "_bucket")
+    weighted = totals.groupBy("context").applyInArrow(logs, "_bucket long, keys binary, logs binary").repartition(min(gram_buckets, B.MOST_PARTS), "_bucket")
     replies = grams.groupBy("_bucket").cogroup(weighted.groupBy("_bucket")).applyInArrow(answer, answered)
     replies = replies.unionByName(counted.where("_block >= 0")).repartition(back, "_block")
 
@@ -269,7 +284,7 @@ def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_i
             if kind == "grams":
                 gram_log[gram_bucket == b] = np.frombuffer(v.as_py(), dtype=np.float32)
             else:
-                word_count[word_bucket == b] = unpack(v, np.uint32)
+                word_count[word_bucket == b] = unpack(v)
         docs = len(x.sizes)
         bottom = np.log10(tokens + distinct + 1)
         c = word_count[x.word_ids]
