@@ -4,13 +4,14 @@ Texts are normalised to letters, digits and single blanks, with A-Z and Latin-1
 benchmark item of m bytes may differ in k = floor(m * RATE) edits. By the q-gram lemma an occurrence
 within k edits shares at least m - q + 1 - k * q of the item's q-grams, on diagonals no more than k
 apart; so q-grams shared are counted in overlapping bands of diagonals, bands under that bound are
-dropped, and the others are verified by an alignment limited to the band. k is lowered where the
-bound would fall under one, so short items must occur with fewer edits; items under q bytes are
-matched whole. Nothing is lost within the budget.
+dropped, and the others are verified by an alignment limited to the band. q is eight, or as much less as
+keeps the bound at one for a short item. Items under q bytes are matched whole. Nothing is lost within the budget.
 
 The benchmark is cut into blocks of ``BLOCK_BYTES``; each block's index has a bounded size and is
 broadcast, and the documents are passed once for each block. Null and empty texts match nothing, null
-and empty items are ignored, and repeated rows are reported each. Documents are scanned in full.
+and empty items are ignored, repeated rows are reported each and rows with a null id like others. Documents are scanned
+in full, and hits of a very long one are counted CHUNK at a time. Of equally good places of an item the first
+is reported. Empty tables give empty tables. Only the key and the text are read to report, all columns pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm._blocks import lean
 from tessera.llm._text import LOWER, text_bytes, to_bytes
 
-Q, RATE, BLOCK_BYTES, BITS = 8, 0.1, 4 << 20, 22
+Q, RATE, BLOCK_BYTES, BITS, CHUNK = 8, 0.1, 4 << 20, 22, 4 << 20
 _keep = np.zeros(256, dtype=bool)
 _keep[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 PLAIN = np.where(_keep[LOWER], LOWER, 32).astype(np.uint8)
@@ -47,12 +48,14 @@ def normalise(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return b[lo:hi], at[lo:hi]
 
 
-def qgrams(b: np.ndarray) -> np.ndarray:
-    """The q bytes from each position as one number."""
-    if len(b) < Q:
+def qgrams(b: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q bytes (eight at most) from each position as one number."""
+    n = len(b) - q + 1
+    if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    b = np.ascontiguousarray(b)
-    return np.ndarray((len(b) - Q + 1,), dtype="<u8", buffer=b, strides=(1,)).copy()
+    padded = np.concatenate([b, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((n,), dtype="<u8", buffer=padded, strides=(1,))
+    return eight & np.uint64((1 << 8 * q) - 1) if q < 8 else eight.copy()
 
 
 def slot(grams: np.ndarray) -> np.ndarray:
@@ -80,25 +83,76 @@ def align(item: np.ndarray, text: np.ndarray, k: int, lo: int, hi: int) -> tuple
     return (int(d[at]), m + lo + at) if d[at] <= k else None
 
 
-class Index:
-    """q-grams of one block of the benchmark with their items and offsets."""
+class Grams:
+    """q-grams of some items, and where they stand in them."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float = RATE):
-        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
-        m = np.array([len(t) for t in self.texts], dtype=np.int64)
-        self.k = np.maximum(0, np.minimum(np.floor(m * rate).astype(np.int64), (m - Q) // Q))
-        self.least = m - Q + 1 - self.k * Q
-        self.short = [i for i in range(len(items)) if m[i] < Q]
-        grams = [qgrams(t) for t in self.texts]
+    def __init__(self, items: np.ndarray, texts: list[np.ndarray], k: np.ndarray, q: int):
+        self.q, self.k = q, k
+        self.least = np.array([len(t) - q + 1 for t in texts], dtype=np.int64) - k * q
+        grams = [qgrams(texts[i], q) for i in items.tolist()]
         flat = np.concatenate([*grams, np.zeros(0, dtype=np.uint64)])
-        item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        item = np.repeat(items, [len(g) for g in grams])
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, dtype=np.int64)]).astype(np.int64)
         order = np.argsort(flat, kind="stable")
-        self.grams, begin, n = np.unique(flat[order], return_index=True, return_counts=True)
-        self.begin, self.n, self.item, self.place = begin, n, item[order], place[order]
+        self.grams, self.begin, self.n = np.unique(flat[order], return_index=True, return_counts=True)
+        self.item, self.place = item[order], place[order]
         self.seen = np.zeros(1 << BITS, dtype=bool)
         self.seen[slot(self.grams)] = True
-        self.min_least = int(self.least[m >= Q].min()) if (m >= Q).any() else 0
+        self.min_least = int(self.least[items].min())
+
+    def bands(self, b: np.ndarray) -> list[tuple[int, int, int]]:
+        """Item and diagonals of each band of a normalised text with enough shared q-grams."""
+        x = qgrams(b, self.q)
+        pos = np.flatnonzero(self.seen[slot(x)])
+        if len(pos) < self.min_least:
+            return []
+        at = np.minimum(np.searchsorted(self.grams, x[pos]), len(self.grams) - 1)
+        hit = self.grams[at] == x[pos]
+        pos, gram = pos[hit], at[hit]
+        if len(pos) < self.min_least:
+            return []
+        # a strip holds k + 1 diagonals; its number lies between these
+        base, span = -len(b) - 2, 2 * len(b) + max(map(int, self.k), default=0) + int(self.place.max()) + 6
+        base -= int(self.place.max())
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        n = self.n[gram]
+        upto = np.cumsum(n)
+        first = 0
+        while first < len(pos):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + CHUNK, side="right")))
+            m = n[first:last]
+            entry = np.repeat(self.begin[gram[first:last]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            item = self.item[entry]
+            strip = (np.repeat(pos[first:last], m) - self.place[entry]) // (self.k[item] + 1)
+            found, many = np.unique(item * span + (strip - base), return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([counts, many])).astype(np.int64)
+            first = last
+        # a band covers two strips of diagonals, its own and the next; bands whose own strip is empty count too
+        follows = np.concatenate([keys[1:] == keys[:-1] + 1, [False]])
+        both = counts.copy()
+        both[:-1][follows[:-1]] += counts[1:][follows[:-1]]
+        alone = np.concatenate([[True], ~follows[:-1]])
+        keys, both = np.concatenate([keys, keys[alone] - 1]), np.concatenate([both, counts[alone]])
+        items = keys // span
+        ok = both >= self.least[items]
+        return [(int(i), (int(s) + base) * (int(self.k[i]) + 1), (int(s) + base + 2) * (int(self.k[i]) + 1) - 1) for i, s in zip(items[ok], keys[ok] % span, strict=True)]
+
+
+class Index:
+    """One block of the benchmark: its items by the q that they can be found with."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float = RATE):
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
+        m = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.k = np.floor(m * rate).astype(np.int64)
+        # m - q + 1 - k q >= 1
+        q = np.minimum(Q, m // (self.k + 1))
+        whole = (self.k == 0) & (m < Q)
+        self.short = np.flatnonzero(whole).tolist()
+        if (q[~whole] < 1).any():
+            raise ValueError("the rate leaves an item without a q-gram")
+        self.parts = [Grams(np.flatnonzero(~whole & (q == size)), self.texts, self.k, int(size)) for size in np.unique(q[~whole]).tolist()]
 
     def find(self, b: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of the best occurrence of each item in the normalised text b."""
@@ -106,12 +160,8 @@ class Index:
         for i in self.short:
             if (at := b.tobytes().find(self.texts[i].tobytes())) >= 0:
                 best[i] = (0, at, at + len(self.texts[i]))
-        x = qgrams(b)
-        pos = np.flatnonzero(self.seen[slot(x)])
-        if len(self.grams) and len(pos) >= self.min_least:
-            at = np.minimum(np.searchsorted(self.grams, x[pos]), len(self.grams) - 1)
-            hit = self.grams[at] == x[pos]
-            for i, lo, hi in self.bands(pos[hit], at[hit]) if hit.sum() >= self.min_least else ():
+        for part in self.parts:
+            for i, lo, hi in part.bands(b):
                 k, t = int(self.k[i]), self.texts[i]
                 if found := align(t, b, k, lo, hi):  # the diagonals of a match are no more than k apart, so one band holds them all
                     edits, end = found
@@ -121,27 +171,6 @@ class Index:
                     best[i] = min(best.get(i, (k + 1, 0, 0)), (edits, start, end))
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
 
-    def bands(self, pos: np.ndarray, gram: np.ndarray) -> list[tuple[int, int, int]]:
-        """Item and diagonals of each band with enough shared q-grams."""
-        n = self.n[gram]
-        entry = np.repeat(self.begin[gram] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, width = self.item[entry], self.k[self.item[entry]] + 1
-        band = (np.repeat(pos, n) - self.place[entry]) // width
-        base, span = int(band.min()) - 1, int(band.max()) - int(band.min()) + 3
-        key = item * span + (band - base)
-        key.sort()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        keys, counts = key[first], np.diff(np.append(first, len(key)))
-        # a band covers two strips of diagonals, its own and the next; bands whose own strip is empty count too
-        follows = np.concatenate([keys[1:] == keys[:-1] + 1, [False]])
-        both = counts.copy()
-        both[:-1][follows[:-1]] += counts[1:][follows[:-1]]
-        alone = np.concatenate([[True], ~follows[:-1]])
-        keys, both = np.concatenate([keys, keys[alone] - 1]), np.concatenate([both, counts[alone]])
-        items = np.minimum(keys // span, len(self.k) - 1)
-        ok = both >= self.least[items]
-        return [(int(i), (int(s) + base) * (int(self.k[i]) + 1), (int(s) + base + 2) * (int(self.k[i]) + 1) - 1) for i, s in zip(items[ok], keys[ok] % span, strict=True)]
-
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
     block, size = [], 0
