@@ -17,8 +17,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tessera.llm._text import text_bytes
 
@@ -75,15 +76,32 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+def identity(docs: DataFrame, text: Column, seed: int) -> Column:
+    """A hash of a row's plain columns and text: only rows that are equal in all of them have the same."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, ArrayType, StructType)) and f.dataType.typeName() != "variant"]
+    return F.xxhash64(F.lit(seed), *plain, text)
+
+
 def blocked(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """docs with _block and the text's bytes as _t, dealt by block; the number of blocks and of bytes."""
+    """docs with _block and the text's bytes as _t, dealt by block; the number of blocks and of bytes.
+
+    Columns of docs that are called so must be renamed before (see ``shielded``).
+    """
     docs = docs.withColumn("_t", text_bytes(docs, text))
     total = docs.agg(F.sum(F.octet_length("_t").cast("long"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    at = F.pmod(F.xxhash64(F.lit(3), docs[key], F.octet_length("_t")), F.lit(n)).cast("long")
+    at = F.pmod(identity(docs.drop("_t"), F.col("_t"), 3), F.lit(n)).cast("long")
     return docs.withColumn("_block", at).repartition(min(n, MOST_PARTS), "_block"), n, total
 
 
+def shielded(docs: DataFrame, *inner: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns renamed that are called like inner ones; their names by the new ones."""
+    lower = {n.lower() for n in inner}
+    taken = [c for c in docs.columns if c.lower() in lower]
+    back = dict(zip(fresh([*docs.columns, *inner], *(f"shield{i}" for i in range(len(taken)))), taken, strict=True)) if taken else {}
+    return docs.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 def per_block(left: DataFrame, f: Callable[[int, pa.Table], Iterator[dict]], schema: str) -> DataFrame:
     """f's rows (dicts of columns) for each block."""
     to = arrow_schema(left.sparkSession, schema)

@@ -2,13 +2,13 @@
 
 Rabin-Karp hashes of every k-word window are counted in Spark in two passes: the first counts short
 hashes of all windows and can only say too often that one repeats; the second counts 128-bit hashes
-of those left, so the result is exact up to a collision of 128 bits. Words covered by a repeated
+of those left, so the result is exact up to a collision of both (moduli are prime, so no pattern of words provokes one). Words covered by a repeated
 window go; neighbouring windows merge into maximal intervals. Windows never cross documents and are
 judged on the input.
 
 Null and empty texts have no words. Texts with fewer than k words keep all. A row that repeats is
-another document, so its windows repeat. Other columns pass through; columns named like the outputs
-are replaced. Very long texts are hashed whole. An empty table gives an empty table.
+another document, so its windows repeat; null ids are like others. Other columns pass through, whatever they are called; columns
+named like the outputs are replaced. Very long texts are hashed whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -87,6 +87,7 @@ def _by_bucket(pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray,
 def dedup(docs: DataFrame, k: int = 35, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_removed (long), removed (array of [first, last) word intervals) and kept (binary: the kept words joined by one blank)."""
     docs = docs.drop("n_words", "n_removed", "removed", "kept")
+    docs, back = B.shielded(docs, "_t", "_block")
     left, n, total = B.blocked(docs, key, text, block_bytes)
     buckets = max(1, total // BUCKET_BYTES)
     parts = min(buckets, B.MOST_PARTS)
@@ -132,7 +133,7 @@ def dedup(docs: DataFrame, k: int = 35, key: str = "doc_id", text: str = "text",
         return out
 
     fields = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in names)
-    return B.per_block_with(left, second.repartition(min(n, B.MOST_PARTS), "_block"), remove, f"{fields}, n_words long, n_removed long, removed array<struct<first:bigint,last:bigint>>, kept binary")
+    return B.per_block_with(left, second.repartition(min(n, B.MOST_PARTS), "_block"), remove, f"{fields}, n_words long, n_removed long, removed array<struct<first:bigint,last:bigint>>, kept binary").withColumnsRenamed(back)
 
 
 def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:

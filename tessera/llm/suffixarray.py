@@ -16,8 +16,9 @@ minimiser with over ``HOT`` segments is split over several shards by the hash of
 that no shard has to hold all contexts of a common phrase.
 
 The length is 16 at least. Matches never cross documents; strings are judged on the input; overlaps count. Null texts count as
-empty; texts shorter than the length keep all. A row that repeats is another document. Other columns
-pass through; columns named like the outputs are replaced. An empty table gives an empty table.
+empty; texts shorter than the length keep all. A row that repeats is another document, null ids are like others. Other columns
+pass through, whatever they are called; columns named like the outputs are replaced. Very long texts are cut into
+segments like others. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from tessera.llm import _blocks as B
 from tessera.llm._text import mix, to_bytes
 from tessera.llm.substring import covered, intervals
 
-LENGTH, SHORTEST, HOT, LONGEST = 200, 16, 50_000, 4096
+LENGTH, SHORTEST, HOT, LONGEST = 200, 16, 16_384, 4096
 BUCKET_BYTES = 64 << 20
 
 
@@ -73,8 +74,7 @@ def _induce(t: np.ndarray, nxt: np.ndarray, run: np.ndarray, is_s: np.ndarray, l
     offset = offset[np.maximum.accumulate(np.where(tie, np.arange(len(order)), 0))] if len(order) else offset
     rank[lms[order]] = end[sym] - per[sym] + offset
     runs, span = int(run.max(initial=1)) + 1, n + 2
-    if symbols * runs >= 2**62 // span:
-        raise ValueError("the shard is too large")
+    narrow = symbols * runs < 2**62 // span  # symbol, run and rank fit one number
 
     def fill(members: np.ndarray, up: bool) -> None:
         own, after = t[members], nxt[members]
@@ -83,13 +83,20 @@ def _induce(t: np.ndarray, nxt: np.ndarray, run: np.ndarray, is_s: np.ndarray, l
         by_level = np.argsort(level.astype(np.int16) if level.max(initial=0) < 2**15 else level, kind="stable")
         members, own, after, level = members[by_level], own[by_level], after[by_level], level[by_level]
         bounds = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1], [True]])) if len(level) else []
-        head = (own * np.int64(runs) + (run[members] if up else runs - run[members])) * np.int64(span)
+        inner = run[members] if up else runs - run[members]
+        head = (own * np.int64(runs) + inner) * np.int64(span) if narrow else None
         base = start if up else end - np.bincount(own, minlength=symbols)
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-            key = head[a:z] + rank[after[a:z]]
-            by = np.argsort(key)
-            key, s = key[by], own[a:z][by]
-            new = key[1:] != key[:-1]
+            if narrow:
+                key = head[a:z] + rank[after[a:z]]
+                by = np.argsort(key)
+                key, s = key[by], own[a:z][by]
+                new = key[1:] != key[:-1]
+            else:
+                parts = [rank[after[a:z]], inner[a:z], own[a:z]]
+                by = np.lexsort(parts)
+                s = own[a:z][by]
+                new = np.any([x[by][1:] != x[by][:-1] for x in parts], axis=0)
             i = np.arange(z - a, dtype=np.int32)
             if not new.all():
                 i[1:][~new] = 0
@@ -286,9 +293,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     if length < SHORTEST:
         raise ValueError(f"length must be {SHORTEST} or more")
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "removed", "kept")
+    docs, renamed = B.shielded(docs, "_t", "_block")
     left, n, total = B.blocked(docs, key, text, block_bytes)
     buckets = max(1, total // BUCKET_BYTES)
-    shards, back = 2 * n, min(n, B.MOST_PARTS)
+    shards, back = 4 * n, min(n, B.MOST_PARTS)
 
     def send(block: int, t: pa.Table):
         s = Segments(t["_t"], length)
@@ -376,7 +384,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
         return out
 
     fields = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in names)
-    return B.per_block_with(left, answer, remove, f"{fields}, n_bytes long, n_removed long, n_spans long, removed array<struct<first:bigint,last:bigint>>, kept binary")
+    return B.per_block_with(left, answer, remove, f"{fields}, n_bytes long, n_removed long, n_spans long, removed array<struct<first:bigint,last:bigint>>, kept binary").withColumnsRenamed(renamed)
 
 
 def whole(b: np.ndarray, gone: np.ndarray) -> np.ndarray:
