@@ -19,6 +19,22 @@ CLAUSE_START = r"(?=(?:第[一二三四五六七八九十百千万0-9]+条|(?<!\
 MARKER = r"^(?:第[一二三四五六七八九十百千万0-9]+条|\d+(?:\.\d+)*(?:、|\.(?!\d))|[（(][一二三四五六七八九十百千万0-9]+[）)])\s*"
 NUMBER = r"(?:\d{4}[年./-]\d{1,2}(?:[月./-]\d{1,2}日?)?|\d[\d,]*(?:\.\d+)?%?|[一二三四五六七八九十百千万]+(?:年|个月|月|日))"
 IGNORED = "，,。；;：:“”\"‘’'（）()【】[]、 *|~"
+TERMS = r"[\u3400-\u9fff]{2,8}|[A-Za-z]{2,}|\p{Nd}+"
+CHAPTER = r"^(?:第[一二三四五六七八九十百千万0-9]+[章节条]\s*[^。；;]{0,70}|附件[一二三四五六七八九十百千万0-9]+\s*[^。；;]{0,50}|通用条款|租赁附表)$"
+CLAUSE_NUMBER = r"^(?:第[一二三四五六七八九十百千万0-9]+条|[0-9]+(?:\.[0-9]+)*[、.])"
+LISTED = r"^[0-9一二三四五六七八九十百千万]+[、.．]"
+#: What is taken out of a text to show it, in order.
+DISPLAY = (
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"\\mathrm\s*\{([^{}]*)\}", "$1"),
+    (r"\\sim", "~"),
+    (r"\$", ""),
+    (r"\*{2,}", ""),
+    (r"\r\n?", "\n"),
+    (r"[\t\f\x0B ]+", " "),
+    (r" *\n *", "\n"),
+    (r"\n{3,}", "\n\n"),
+)
 
 
 @F.pandas_udf(StringType())
@@ -39,17 +55,7 @@ def normalize_text(text: Column) -> Column:
 def display_text(text: Column) -> Column:
     """Text as shown beside a difference: markup dropped, lines kept, two line ends in a row at most."""
     t = F.translate(nfkc(text), "\u200b\u00ad", "")
-    for pattern, to in (
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"\\mathrm\s*\{([^{}]*)\}", "$1"),
-        (r"\\sim", "~"),
-        (r"\$", ""),
-        (r"\*{2,}", ""),
-        (r"\r\n?", "\n"),
-        (r"[\t\f\x0B ]+", " "),
-        (r" *\n *", "\n"),
-        (r"\n{3,}", "\n\n"),
-    ):
+    for pattern, to in DISPLAY:
         t = F.regexp_replace(t, pattern, to)
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
@@ -117,16 +123,23 @@ def earliest_alias(text: Column, aliases: dict[str, str]) -> Column:
     return F.array_min(F.filter(hits, lambda h: h["at"] > 0))["name"]
 
 
+def casefold(text: Column) -> Column:
+    """Lower case, with ß as ss."""
+    return F.regexp_replace(F.lower(text), "ß", "ss")
+
+
 def candidate_value(text: Column, kind: Column) -> Column:
-    """A value for exact comparison: no blanks or commas, lower case, a percentage with its sign."""
-    v = F.lower(F.regexp_replace(nfkc(text), r"(?U)[\s,，]+", ""))
-    return F.when((kind == "PERCENTAGE") & ~v.endswith("%"), F.concat(v, F.lit("%"))).otherwise(v)
+    """A value for exact comparison: no blanks or commas, one case; a percentage without 百分之 and with its sign."""
+    v = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"(?U)[\s,，]+", "")
+    share = F.concat(F.regexp_replace(v, "百分之", ""), F.when(v.contains("%"), F.lit("")).otherwise(F.lit("%")))
+    return casefold(F.when(kind == "PERCENTAGE", share).otherwise(v))
 
 
 def context_terms(text: Column, stop_words: list[str]) -> Column:
-    """Distinct words and ideograph runs without the stop words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+|[\u4e00-\u9fff]{2,}"), F.lit(0)))
-    return F.array_except(words, F.array(*[F.lit(w) for w in stop_words]).cast("array<string>"))
+    """Distinct ideograph runs of 2 to 8, Latin words and digit runs without the stop words, in one case."""
+    found = F.regexp_extract_all(text, F.lit(TERMS), F.lit(0))
+    kept = F.filter(found, lambda t: ~t.isin(stop_words)) if stop_words else found
+    return F.array_distinct(F.transform(kept, casefold))
 
 
 def retrieval_tokens(text: Column) -> Column:
@@ -151,9 +164,43 @@ def stable_id(prefix: str, *parts: Column, length: int = 24) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\u001f", *marked), 256), 1, length))
 
 
+def strict_chapter(text: Column) -> Column:
+    """What a document-level heading says, without the number of its clause, which versions do not share; null for other texts. text is a match text."""
+    return F.when((F.length(text).between(1, 100)) & text.rlike(CHAPTER), F.regexp_replace(text, CLAUSE_NUMBER, ""))
+
+
 def chapter_heading(text: Column) -> Column:
-    """Is the text a chapter heading: a short 第N章 line or a short numbered one without a full stop."""
-    return text.rlike(r"^(第[一二三四五六七八九十百千万0-9]+[章节编部]|[一二三四五六七八九十]+、)") & (F.length(text) <= 40) & ~text.rlike("[。；;]$")
+    """strict_chapter, or a short section label that is no sentence and no list entry. text is a match text."""
+    label = (F.length(text).between(1, 40)) & ~text.rlike("[，。；;：:]") & ~text.rlike(LISTED)
+    return F.coalesce(strict_chapter(text), F.when(label, F.regexp_replace(text, CLAUSE_NUMBER, "")))
+
+
+def least_confidence(places: Column) -> Column:
+    """The lowest confidence of an array of places that have one; 1 if none has."""
+    return F.coalesce(F.array_min(F.transform(places, lambda x: x["confidence"])), F.lit(1.0))
+
+
+PLACE_KEYS = ("page", "paragraph_index", "table_index", "row", "column")
+
+
+def compact_place(place: Column) -> Column:
+    """A place as JSON, with those of the five keys that it has."""
+    return F.to_json(F.struct(*[place[k].alias(k) for k in PLACE_KEYS]))
+
+
+def place_key(place: Column) -> Column:
+    """A place for comparing, null for null."""
+    return F.struct(*[place[k].alias(k) for k in PLACE_KEYS])
+
+
+def place_order(place: Column, item: Column) -> list[Column]:
+    """The order of candidates: page, table, row, column and paragraph (0 if unknown), then the id."""
+    return [F.coalesce(place[k], F.lit(0)) for k in ("page", "table_index", "row", "column", "paragraph_index")] + [item]
+
+
+def cache_key(*parts: Column) -> Column:
+    """The key of what was made from these settings: their JSON, hashed."""
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
 def sanitize_url(url: Column) -> Column:

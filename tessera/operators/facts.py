@@ -6,6 +6,8 @@ Facts are rows (file, fact, field, kind, raw, text, place, confidence, form, can
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def fact_matrix(targets: DataFrame, references: DataFrame, mapping: DataFrame, f
     r = references.select(F.col("fact").alias("reference"), "file", F.col("kind").alias("r_kind"), F.col("form").alias("r_form"), F.col("canon").alias("r_canon"))
     equal = same_value(F.col("t_form"), F.col("r_form"), F.col("t_kind"), F.col("r_kind"), F.col("t_canon"), F.col("r_canon"))
     met = t.join(mapping, "fact").join(r, ["reference", "file"]).groupBy("fact", "file").agg(roll_up(pair_status(equal, F.lit(True))).alias("status"), F.array_sort(F.collect_set("r_canon")).alias("values"))
-    grid = t.select("fact", "field", "t_canon").join(F.broadcast(files.select("file").distinct()))  # the files of one review
+    names = files.agg(F.array_sort(F.collect_set("file")).alias("_files"))  # the files of one review: one row
+    grid = t.select("fact", "field", "t_canon").join(F.broadcast(names)).select("fact", "field", "t_canon", F.explode("_files").alias("file"))
     cells = grid.join(met, ["fact", "file"], "left").withColumn("status", F.coalesce("status", F.lit("MISSING")))
     if required is not None:
         cells = cells.join(required.select("fact", "file", F.lit(True).alias("required")).distinct(), ["fact", "file"], "left")
@@ -82,6 +85,51 @@ def top_related(targets: DataFrame, references: DataFrame, block: list[str], sco
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_by_terms(targets: DataFrame, references: DataFrame, block: list[str], terms: dict[str, int], k: int) -> DataFrame:
+    """(t_id, r_id, score, rank): the k best references of each target, scored by the weights of the terms that both share; ties by id, never the target itself.
+
+    Of the references with the same terms only the first k + 1 by id can be among the best, so each combination of
+    terms keeps no more, and no group is joined with itself.
+    """
+    found = None
+    names = list(terms)
+    for size in range(len(names), 0, -1):
+        for some in combinations(names, size):
+            keys = [*block, *some]
+            w = Window.partitionBy(*keys).orderBy("id")
+            first = references.select("id", *keys).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1).groupBy(*keys).agg(F.collect_list("id").alias("_r"))
+            near = targets.select("id", *keys).join(first, keys).select(F.col("id").alias("t_id"), F.explode("_r").alias("r_id"), F.lit(sum(terms[c] for c in some)).alias("score"))
+            found = near if found is None else found.unionAll(near)
+    # a pair that shares more terms than one combination says has its whole score from the larger one
+    best = found.where("t_id <> r_id").groupBy("t_id", "r_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("t_id").orderBy(F.desc("score"), "r_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def similar_sets(queries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(l_id, r_id, members, score): each query with the classes of rows whose token sets have a Jaccard similarity of ``percent`` and more.
+
+    queries and rows: (id, tokens). Rows with equal sets are one class, named by its smallest id. Two sets so alike share
+    one of their rarest tokens (a prefix filter), so only rows that do are compared; sizes rule out others.
+    """
+    with_set = lambda d: d.select("id", F.array_sort(F.array_distinct("tokens")).alias("s")).where(F.size("s") > 0)
+    classes = with_set(rows).withColumn("h", F.sha2(F.to_json("s"), 256)).groupBy("h").agg(F.min("id").alias("r_id"), F.count(F.lit(1)).alias("members"), F.first("s").alias("s"))
+    often = classes.select(F.explode("s").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(d: DataFrame, key: str) -> DataFrame:
+        each = d.select(key, F.size("s").alias("n"), F.explode("s").alias("token")).join(often, "token", "left")
+        w = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "token")
+        length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= length).select(key, F.col("n").alias(f"{key}_n"), "token")
+
+    asked = with_set(queries).withColumnRenamed("id", "l_id")
+    met = prefix(asked, "l_id").join(prefix(classes, "r_id"), "token").where(100 * F.least("l_id_n", "r_id_n") >= percent * F.greatest("l_id_n", "r_id_n")).select("l_id", "r_id").distinct()
+    both = met.join(asked.select("l_id", F.col("s").alias("_x")), "l_id").join(classes.select("r_id", "members", F.col("s").alias("_y")), "r_id")
+    shared = F.size(F.array_intersect("_x", "_y"))
+    union = F.size("_x") + F.size("_y") - shared
+    return both.where(100 * shared >= percent * union).select("l_id", "r_id", "members", (shared / union).alias("score"))
+
+
 def cut_off(groups: DataFrame, order: list[Column], most: int) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` groups by the order, and a row with the number left out."""
     first = groups.orderBy(*order).limit(most)
@@ -111,17 +159,27 @@ def ungrounded(facts: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def quote_hits(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text: str = "text") -> DataFrame:
-    """Quotes found in a text, how often (overlapping hits count) and the place of the first. quotes and texts share their block columns."""
+    """Quotes found in a text, how often (overlapping hits count) and the place of the first. quotes and texts share block columns, which join them."""
     block = [c for c in quotes.columns if c in texts.columns]
-    both = texts.join(quotes, block) if block else texts.join(F.broadcast(quotes))
+    if not block:
+        raise ValueError("quotes and texts must share a column, or every quote would meet every text")
+    both = texts.join(quotes, block)
     hit = both.where(F.col(text).contains(F.col(quote)) & (F.col(quote) != ""))
-    at = F.expr(f"size(filter(sequence(1, length({text}) - length({quote}) + 1), i -> substring({text}, i, length({quote})) = {quote}))")
+    # a match that takes no characters is found at every place, overlapping ones too
+    at = F.regexp_count(F.col(text), F.concat(F.lit(r"(?=\Q"), F.regexp_replace(quote, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E)")))
     return hit.withColumns({"hits": at, "first": F.expr(f"locate({quote}, {text}) - 1")})
 
 
-def merge_named(models: DataFrame, key: str, value: str) -> DataFrame:
-    """One row for each id: its value, or a conflict flag if it has several; places and aliases joined, the highest confidence."""
-    return models.groupBy(key).agg(F.min(value).alias(value), (F.countDistinct(value) > 1).alias("conflict"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.max("confidence").alias("confidence"))
+def merge_named(models: DataFrame, key: str, value: str, strict: bool = True) -> DataFrame:
+    """One row for each id: its value, places and aliases in order of appearance (seq), the highest confidence.
+
+    Several values for one id are a conflict: the query fails, or flags it and leaves the value null if not ``strict``.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("seq", "places", "aliases")))
+    joined = models.groupBy(key).agg(F.min(value).alias("_v"), (F.countDistinct(value) > 1).alias("conflict"), listed.alias("_l"), F.max("confidence").alias("confidence"))
+    clash = F.raise_error(F.concat(F.lit("conflicting duplicate: "), F.col(key).cast("string"))) if strict else F.lit(None)
+    in_order = lambda c: F.array_distinct(F.flatten(F.transform("_l", lambda x: x[c])))
+    return joined.select(key, F.when(F.col("conflict"), clash).otherwise(F.col("_v")).alias(value), "conflict", in_order("places").alias("places"), in_order("aliases").alias("aliases"), "confidence")
 
 
 def merge_chunks(chunks: DataFrame, missing: DataFrame) -> DataFrame:
@@ -131,6 +189,64 @@ def merge_chunks(chunks: DataFrame, missing: DataFrame) -> DataFrame:
     return said.join(total, "file").where("m = n").select("file", "field")
 
 
+def merge_chunk_facts(found: DataFrame) -> DataFrame:
+    """Facts of a file's chunks (file, field, kind, place, value, seq), each once, the first to appear.
+
+    One identity (field, file, kind, place) with several values fails the query.
+    """
+    w = Window.partitionBy("file", "field", "kind", "place")
+    clash = F.min("value").over(w) != F.max("value").over(w)
+    checked = found.withColumn("value", F.when(clash, F.raise_error(F.lit("FACT_IDENTITY_CONFLICT"))).otherwise(F.col("value")))
+    rest = [c for c in found.columns if c not in ("file", "field", "value", "place", "seq")]
+    first = checked.groupBy("file", "field", "value", "place").agg(F.min(F.struct("seq", *rest)).alias("m"))
+    return first.select("file", "field", "value", "place", "m.*")
+
+
+def chunk_profile(profiles: DataFrame) -> DataFrame:
+    """One profile for each file (file, chunk, profile, confidence, places): that of the highest confidence, the first of equal ones; places of all, in order."""
+    best = F.max_by("profile", F.struct("confidence", -F.col("chunk")))
+    places = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "places"))), lambda x: x["places"])
+    return profiles.groupBy("file").agg(best.alias("profile"), F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(places)).alias("places"))
+
+
+def retrieval_score(t: Column, r: Column, numeric: list[str], same_form: Column, comparable: Column) -> Column:
+    """How well a reference fact fits a target: the weights of equal field, concept, kind (or both numeric), name, shared words and value.
+
+    t, r: structs (field, concept, kind, name, tokens); same_form: are the normal forms equal; comparable: can they be compared.
+    """
+    one = lambda test, weight: F.when(F.coalesce(test, F.lit(False)), float(weight)).otherwise(0.0)
+    kind = F.when(t["kind"] == r["kind"], 6.0).when(t["kind"].isin(numeric) & r["kind"].isin(numeric), 2.0).otherwise(0.0)
+    union = F.size(F.array_union(t["tokens"], r["tokens"]))
+    words = F.when((F.size(t["tokens"]) > 0) & (F.size(r["tokens"]) > 0), 8.0 * F.size(F.array_intersect(t["tokens"], r["tokens"])) / union).otherwise(0.0)
+    return one(t["field"] == r["field"], 12) + one((t["concept"] != "") & (t["concept"] == r["concept"]), 10) + kind + one(F.lower(t["name"]) == F.lower(r["name"]), 6) + words + one(same_form, 5) + one(comparable, 2)
+
+
+def decided(groups: DataFrame, references: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(item, candidate, file, before, after): what decisions on candidate groups come to.
+
+    A CONFLICT is a difference with the first reference of another value, a MATCH a consistent fact (CONSISTENT, for each file that has the
+    value) and a passed check (PASSED), an UNCERTAIN one a warning. groups: (candidate, value); references: (candidate, file, seq, value).
+    """
+    met = groups.join(decisions.dropDuplicates(["candidate"]), "candidate")
+    both = met.join(references.select("candidate", "file", "seq", F.col("value").alias("_v")), "candidate")
+    none = F.lit(None).cast("string")
+    first = both.where("decision = 'CONFLICT' and _v <> value").groupBy("candidate", "value").agg(F.min(F.struct("seq", "file", "_v")).alias("m"))
+    conflict = first.select(F.lit("CONFLICT").alias("item"), "candidate", F.col("m.file").alias("file"), F.col("value").alias("before"), F.col("m._v").alias("after"))
+    same = both.where("decision = 'MATCH' and _v = value").select("candidate", "file", "value").distinct()
+    fact = same.select(F.lit("CONSISTENT").alias("item"), "candidate", "file", F.col("value").alias("before"), F.col("value").alias("after"))
+    passed = same.select("candidate").distinct().select(F.lit("PASSED").alias("item"), "candidate", none.alias("file"), none.alias("before"), none.alias("after"))
+    warning = met.where("decision = 'UNCERTAIN'").select(F.lit("CROSS_CANDIDATE_UNCERTAIN").alias("item"), "candidate", none.alias("file"), none.alias("before"), none.alias("after"))
+    return conflict.unionByName(fact).unionByName(passed).unionByName(warning)
+
+
+def plan_errors(plan: DataFrame, facts: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(rule, ref, error): references of a semantic plan that name no fact (UNKNOWN_FACT) or one that no review accepted (NOT_ACCEPTED). plan: (rule, ref)."""
+    known = plan.select("rule", "ref").distinct().join(facts.select(F.col("fact").alias("ref"), F.lit(True).alias("_k")).distinct(), "ref", "left")
+    marked = known.join(accepted.select(F.col("fact").alias("ref"), F.lit(True).alias("_a")).distinct(), "ref", "left")
+    error = F.when(F.col("_k").isNull(), "UNKNOWN_FACT").when(F.col("_a").isNull(), "NOT_ACCEPTED")
+    return marked.withColumn("error", error).where("error is not null").select("rule", "ref", "error")
+
+
 def discard_reasons(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """rows with reason: the first rule that holds, null for rows that stay."""
     reason = F.lit(None).cast("string")

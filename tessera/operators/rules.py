@@ -98,15 +98,31 @@ def compile_rule(node: dict, fact: Any) -> Column:
             for a in args[1:]:
                 total = (total + a).cast(NUMBER)
             return total
-        a, b = args[:2]
-        wide = {"add": lambda: a + b, "subtract": lambda: a - b, "multiply": lambda: F.try_multiply(a.cast("decimal(28,8)"), b.cast("decimal(28,8)")), "divide": lambda: F.try_divide(a.cast("decimal(28,8)"), b.cast("decimal(28,8)"))}
-        return wide[op]().cast(NUMBER)
+        return _arithmetic(op, *args[:2]).cast(NUMBER)
     a, b = compile_rule(node["left"], fact), compile_rule(node["right"], fact)
     if op == "equals":
         return F.abs(a - b) <= F.lit(node.get("tolerance", "0")).cast(NUMBER)
     return {"not_equals": a != b, "less_than": a < b, "less_or_equal": a <= b, "greater_than": a > b, "greater_or_equal": a >= b}[op]
 
 
+def _arithmetic(op: str, a: Column, b: Column) -> Column:
+    """Two numbers of NUMBER's ten decimals put together, none of them cut; null beyond 18 digits before the point."""
+    if op == "add":
+        return a + b
+    if op == "subtract":
+        return a - b
+    a, b = a.try_cast("decimal(28,10)"), b.try_cast("decimal(28,10)")
+    if op == "divide":
+        return F.try_divide(a, b)
+    # whole and broken parts are multiplied apart, as one product of 20 decimals has no room
+    whole = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("decimal(18,0)")
+    broken = lambda x: (x - whole(x)).cast("decimal(10,10)")
+    parts = [(whole(a), whole(b)), (whole(a), broken(b)), (broken(a), whole(b)), (broken(a), broken(b))]
+    exact = [(x * y).cast("decimal(38,0)" if i == 0 else "decimal(38,20)") for i, (x, y) in enumerate(parts)]
+    fraction = (exact[1].cast("decimal(37,18)") + exact[2].cast("decimal(37,18)") + exact[3].cast("decimal(37,18)")).cast(NUMBER)
+    return F.try_add(exact[0].try_cast(NUMBER), fraction)
+
+
 def verdicts(facts: DataFrame, rules: list[dict], group: str = "review", name: str = "name", file: str = "file", value: str = "value") -> DataFrame:
     """(group, validation_id, status, reason) of each rule for each group of facts (group, name, file, value).
 

@@ -80,10 +80,20 @@ def q_numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(tx.value_tokens(F.col("text")), " ").alias("numbers"), tx.number_skeleton(F.col("text")).alias("skeleton"))
 
 
-@query("SELECT conv_id, turn, substr(text, 1, 20) AS summary, lower(regexp_replace(text, '[\\s,，]+', '', 'g')) AS value FROM conversations")
+@query("""SELECT conv_id, turn, substr(text, 1, 20) AS summary, replace(lower(regexp_replace(text, '[\\s,，]+', '', 'g')), 'ß', 'ss') AS value,
+ CASE WHEN turn % 3 = 0 THEN '' ELSE turn::VARCHAR END || '.5%' AS share FROM conversations""")
 def q_candidate_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text's value, and shares written as 百分之0.5, 0.5 % and 0.5."""
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", tx.summary(F.col("text"), 20).alias("summary"), tx.candidate_value(F.col("text"), F.lit("TEXT")).alias("value"))
+    number = F.expr("if(turn % 3 = 0, '', cast(turn as string))")
+    share = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("百分之 "), number, F.lit(".5"))).when(F.col("turn") % 3 == 0, F.lit(" .5 ％")).otherwise(F.concat(number, F.lit(".5")))
+    return c.select("conv_id", "turn", tx.summary(F.col("text"), 20).alias("summary"), tx.candidate_value(F.col("text"), F.lit("TEXT")).alias("value"), tx.candidate_value(share, F.lit("PERCENTAGE")).alias("share"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[\\x{3400}-\\x{9fff}]{2,8}|[A-Za-z]{2,}|[0-9]+'), lambda t: t NOT IN ('the', 'der')), lambda t: lower(t)))), ' ') AS terms FROM conversations""")
+def q_context_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.array_join(F.array_sort(tx.context_terms(F.col("text"), ["the", "der"])), " ").alias("terms"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS clean, coalesce(regexp_matches(url, '^https?://[^/?#@]+') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)'), false) AS allowed FROM pages")
@@ -303,7 +313,7 @@ def two_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH {SQL_CELLS}, n AS (SELECT doc, row, col, CASE WHEN col = 2 AND doc % 5 = 0 THEN text || '0' ELSE text END AS text FROM cells WHERE NOT (doc % 3 = 0 AND row = 2))
 SELECT c.doc AS "table", row, col, c.text AS before, n.text AS after FROM cells c JOIN n USING (doc, row, col) WHERE c.text <> n.text""")
 def q_cell_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.cell_changes(*two_tables(spark, sf_dir))
+    return tables.cell_changes(*two_tables(spark, sf_dir)).drop("doc")
 
 
 @query(f"""WITH {SQL_CELLS}, n AS (SELECT doc, row, count(*) AS n FROM cells GROUP BY ALL), o AS (SELECT doc, count(*) AS rows FROM n GROUP BY doc), w AS (SELECT doc, count(*) AS rows FROM n WHERE NOT (doc % 3 = 0 AND row = 2) GROUP BY doc)
@@ -322,7 +332,7 @@ def q_pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SQL_CELLS}, l AS (SELECT *, lag(text) OVER (PARTITION BY doc, row ORDER BY col) AS label FROM cells) SELECT doc AS "table", row, col, label FROM l WHERE text = '' AND label <> '' AND NOT (doc % 3 = 0 AND row = 2)""")
 def q_required_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.required_blanks(*two_tables(spark, sf_dir))
+    return tables.required_blanks(*two_tables(spark, sf_dir)).drop("doc")
 
 
 @query()
@@ -387,14 +397,14 @@ RULES = [
 ]
 
 
-@query("""WITH v AS (SELECT l_orderkey AS review, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_discount AS DECIMAL(18,2)) AS discount, CAST(l_quantity AS DECIMAL(18,2)) AS quantity FROM lineitem WHERE l_linenumber <= 2),
+@query("""WITH v AS (SELECT review, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_discount AS DECIMAL(18,2)) AS discount, CAST(l_quantity AS DECIMAL(18,2)) AS quantity FROM (SELECT *, l_orderkey || '/' || l_linenumber AS review FROM lineitem)),
 g AS (SELECT review, count(DISTINCT price) AS np, count(DISTINCT discount) AS nd, count(DISTINCT quantity) AS nq, min(price) AS price, min(discount) AS discount, min(quantity) AS quantity FROM v GROUP BY review)
 SELECT review, 'net_over_1000' AS validation_id, CASE WHEN np > 1 OR nd > 1 THEN 'REVIEW_REQUIRED' WHEN price * (1 - discount) >= 1000 THEN 'PASSED' ELSE 'FAILED' END AS status FROM g
 UNION ALL SELECT review, 'price_is_quantity', CASE WHEN np > 1 OR nq > 1 THEN 'REVIEW_REQUIRED' WHEN abs(price - quantity) <= 10 THEN 'PASSED' ELSE 'FAILED' END FROM g""")
 def q_rule_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, sf_dir, "lineitem")
     named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("decimal(18,2)").alias("value")) for n, c in (("price", "l_extendedprice"), ("discount", "l_discount"), ("quantity", "l_quantity"))]))
-    f = li.select(F.col("l_orderkey").alias("review"), named.alias("f")).select("review", "f.*", F.lit("x").alias("file"))
+    f = li.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("review"), named.alias("f")).select("review", "f.*", F.lit("x").alias("file"))
     return rules.verdicts(f, RULES).select("review", "validation_id", "status")
 
 
@@ -417,9 +427,10 @@ def q_ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.ungrounded(f, b).select(F.col("fact").alias("doc_id"), "quality")
 
 
-@query("""SELECT doc_id, len(list_filter(generate_series(1, length(text) - 7), lambda i: substr(text, i, 8) = substr(text, 11, 8))) AS hits, instr(text, substr(text, 11, 8)) - 1 AS first FROM documents WHERE length(text) BETWEEN 30 AND 3000""")
+@query("""WITH d AS (SELECT doc_id, text, substr(text, 11, 8) AS q FROM documents WHERE length(text) > 10), x AS (SELECT *, len(list_filter(range(1, 8), lambda k: substr(q, 1, k) = substr(q, length(q) - k + 1, k) AND k < length(q))) > 0 AS bordered FROM d)
+SELECT doc_id, CASE WHEN bordered THEN len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(q)) = q)) ELSE (length(text) - length(replace(text, q, ''))) // length(q) END AS hits, instr(text, q) - 1 AS first FROM x""")
 def q_quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("length(text) between 30 and 3000").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = d.select("doc_id", F.substring("text", 11, 8).alias("quote"))
     return facts.quote_hits(q, d).select("doc_id", F.col("hits").cast("long").alias("hits"), F.col("first").cast("long").alias("first"))
 
@@ -428,16 +439,16 @@ def q_quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT t_id, r_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY score DESC, r_id) AS rank FROM p WHERE score > 0) WHERE rank <= 3""")
 def q_topk_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").alias("size"), F.col("p_type").alias("type"))
-    score = F.when(F.col("t_id") != F.col("r_id"), sim.related_score(F.col("t_size") == F.col("r_size"), F.col("t_type") == F.col("r_type"), F.lit(0)))
-    return facts.top_related(p, p, ["p_brand"], score, 3).select("t_id", "r_id", "score", F.col("rank").cast("long").alias("rank"))
+    return facts.top_by_terms(p, p, ["p_brand"], {"size": 100, "type": 20}, 3).select("t_id", "r_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH w AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9_]+')) AS t, split_part(text, chr(10), 1) AS head FROM documents)
-SELECT a.doc_id AS l_id, b.doc_id AS r_id, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 6) AS score FROM w a JOIN w b ON a.head = b.head AND a.doc_id < b.doc_id""")
+@query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS t FROM documents), c AS (SELECT t, min(doc_id) AS r_id, count(*) AS members FROM w WHERE len(t) > 0 GROUP BY t)
+SELECT a.doc_id AS l_id, c.r_id, c.members, round(len(list_intersect(a.t, c.t)) / len(list_distinct(list_concat(a.t, c.t))), 6) AS score FROM w a JOIN c ON a.doc_id % 50 = 0
+ WHERE 10 * len(list_intersect(a.t, c.t)) >= 6 * len(list_distinct(list_concat(a.t, c.t)))""")
 def q_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.split_part("text", F.lit("\n"), F.lit(1))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), head.alias("head"), tx.retrieval_tokens(head).alias("t"))
-    return graph.pair_candidates(d, ["head"], F.lit(True)).select("l_id", "r_id", F.round(sim.jaccard(F.col("l_t"), F.col("r_t")), 6).alias("score"))
+    """Every fiftieth document against all classes of documents with equal token sets, from a similarity of 0.6 on."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.retrieval_tokens(F.col("text")).alias("tokens"))
+    return facts.similar_sets(d.where("id % 50 = 0"), d, 60).select("l_id", "r_id", "members", F.round("score", 6).alias("score"))
 
 
 def copy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -719,13 +730,14 @@ def q_numeric_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.numeric_candidates(found_spans(spark, sf_dir), ["doc_id"])
 
 
-@query("SELECT source, doc_id, last_value(CASE WHEN regexp_matches(head, '^[A-Z][a-z]* ?[a-z]*[.]$') AND length(head) <= 40 THEN head END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM (SELECT source, doc_id, split_part(text, chr(10), 1) AS head FROM documents)")
+SQL_LABEL = f"""CASE WHEN length(m) BETWEEN 1 AND 40 AND NOT regexp_matches(m, '[，。；;：:]') AND NOT regexp_matches(m, '{tx.LISTED}') THEN regexp_replace(m, '{tx.CLAUSE_NUMBER}', '') END"""
+
+
+@query(f"""WITH l AS (SELECT doc_id AS doc, ordinal, translate({SQL_COLLAPSE.format("line")}, '{SQL_IGNORED}', '') AS m FROM ({SQL_LINES}) WHERE trim(line) <> '')
+SELECT doc, ordinal, last_value({SQL_LABEL} IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM l""")
 def q_last_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.split_part("text", F.lit("\n"), F.lit(1))
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", head.alias("head"))
-    is_heading = F.col("head").rlike("^[A-Z][a-z]* ?[a-z]*[.]$") & (F.length("head") <= 40)
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("source", "doc_id", F.last(F.when(is_heading, F.col("head")), ignorenulls=True).over(w).alias("heading"))
+    d = lines_of(spark, sf_dir).select(F.col("doc_id").alias("doc"), "ordinal", tx.collapse(F.col("line")).alias("text"))
+    return candidates.with_chapter(d, strict=False).select("doc", "ordinal", "chapter")
 
 
 @query()
@@ -741,3 +753,6 @@ def q_page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.document_similarity(*versions(spark, sf_dir))
+
+
+from tessera.plans import assembly as _assembly  # noqa: E402, F401  registers its queries beside these
