@@ -61,6 +61,13 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trim() -> None:
+    """release without a search for cycles: after each group, as workers take turns and all would keep what they had at most."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -107,7 +114,9 @@ def per_block(left: DataFrame, f: Callable[[int, pa.Table], Iterator[dict]], sch
     to = arrow_schema(left.sparkSession, schema)
 
     def run(k: tuple, t: pa.Table) -> pa.Table:
-        return rows_table(f(k[0].as_py(), t), to)
+        made = rows_table(f(k[0].as_py(), t), to)
+        trim()
+        return made
 
     return left.groupBy("_block").applyInArrow(run, schema)
 
@@ -118,7 +127,9 @@ def per_block_with(left: DataFrame, right: DataFrame, f: Callable, schema: str |
 
     def run(k: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         made = f(k[0].as_py(), a, b)
-        return made if isinstance(made, pa.Table) else rows_table(made, to)
+        made = made if isinstance(made, pa.Table) else rows_table(made, to)
+        trim()
+        return made
 
     return left.groupBy("_block").cogroup(right.groupBy("_block")).applyInArrow(run, schema)
 
@@ -169,6 +180,8 @@ def count_packed(sent: DataFrame, width: str, parts: int, code: Callable[[np.nda
         out = np.empty(len(flat), dtype=np.uint8)
         out[order] = (code(total) if code else total > 1)[group]
         ends = np.cumsum([len(x) for x in keys])
+        del flat, order, s, first, group
+        trim()
         return pa.table({"_block": t["_block"], "_bucket": t["_bucket"], "codes": pa.array([out[e - len(x) : e].tobytes() for e, x in zip(ends.tolist(), keys, strict=True)], pa.binary()), "extra": t["extra"]})
 
     return sent.repartition(parts, "_bucket").groupBy("_bucket").applyInArrow(run, "_block long, _bucket long, codes binary, extra binary")

@@ -301,13 +301,16 @@ def _flushed(rows: Iterator[tuple], fields: list[str], names: list[str], kinds:
         yield made()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", most: int = FREQUENT) -> DataFrame:
-    """docs with the text column replaced by ids: little-endian unsigned 32-bit integers, packed in a binary column."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", most: int = FREQUENT, decoded: str | None = None) -> DataFrame:
+    """docs with the text column replaced by ids: little-endian unsigned 32-bit integers, packed in a binary column.
+
+    decoded: a column for what the ids stand for, joined with the pieces as ``decode`` does, in the same pass.
+    """
     lean(docs.sparkSession)
-    docs = docs if text == ids else docs.drop(ids)
+    docs = docs.drop(*({ids, decoded} - {text, None}))
     special = list(vocabulary(path).special)
     rest = [c for c in docs.columns if c != text]
-    t, key, seg, found, codes, answers = fresh([*rest, ids], "t", "key", "seg", "words", "codes", "answers")
+    t, key, seg, found, codes, answers = fresh([*rest, ids, decoded or ids], "t", "key", "seg", "words", "codes", "answers")
     kept = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, text, special, most))
 
     plain = [F.col(f"`{c}`") for c in rest if not _has_map(docs.schema[c].dataType)]
@@ -357,6 +360,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", mos
     coded = split.mapInArrow(numbered, StructType([*fields, keyed, StructField(codes, BinaryType())]))
     joined = coded.join(known, key, "left").select(*[F.col(f"`{c}`") for c in rest], codes, answers)
 
+    pieces = _pieces(docs, path) if decoded else None
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_ids = _column(kept.value, "ids", pa.binary())
         for batch in batches:
@@ -367,11 +372,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", mos
                 if size >= FLUSH_BYTES or row == batch.num_rows - 1:
                     part = batch.slice(begin, len(held))
                     made = _joined(held, part[answers], known_ids)
-                    yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), made], names=[*rest, ids])
+                    back = [_texts([np.frombuffer(x.as_buffer(), dtype="<u4") for x in made], pieces.value)] if pieces else []
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), made, *back], names=[*rest, ids, *([decoded] if pieces else [])])
                     begin, size, held = row + 1, 0, []
         release()
 
-    return joined.mapInArrow(fill, StructType([*fields, StructField(ids, BinaryType())]))
+    return joined.mapInArrow(fill, StructType([*fields, StructField(ids, BinaryType()), *([StructField(decoded, StringType())] if decoded else [])]))
 
 
 def _column(table: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
@@ -422,29 +428,37 @@ def _has_map(kind) -> bool:
 # ---- decoding
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """encoded with the packed ids replaced by the text they stand for (null: empty), or beside it. An id without a piece stands for nothing.
+def _pieces(df: DataFrame, path: str):
+    """The table of pieces, a row for each id of the vocabulary and an empty one for all others, broadcast."""
+    return df.sparkSession.sparkContext.broadcast(pa.array([*vocabulary(path).pieces, b""], pa.binary()))
+
+
+def _texts(rows: list[np.ndarray], pieces: pa.Array) -> pa.Array:
+    """The texts of rows of ids: all ids are joined with the pieces, and those of a row concatenated."""
+    flat = np.minimum(np.concatenate([np.zeros(0, dtype="<u4"), *rows]), len(pieces) - 1)
+    made = _grouped(pieces.take(pa.array(flat)), np.cumsum([0, *map(len, rows)]))
+    return pa.array([x.as_py().decode("utf-8", "replace") for x in made], pa.string())
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """encoded with the packed ids replaced by the text they stand for (null: empty). An id without a piece stands for nothing.
 
-    Each batch's ids are joined with the table of pieces, which has a row for each id of the vocabulary and is broadcast.
+    Each batch's ids are joined with the table of pieces, which the vocabulary bounds and which is broadcast.
     """
     lean(encoded.sparkSession)
     encoded = encoded if text == ids else encoded.drop(text)
-    rest = [c for c in encoded.columns if c != ids or keep_ids]
-    pieces = encoded.sparkSession.sparkContext.broadcast(pa.array([*vocabulary(path).pieces, b""], pa.binary()))
+    rest = [c for c in encoded.columns if c != ids]
+    pieces = _pieces(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
         for batch in batches:
             begin, size, held = 0, 0, []
             for row, raw in enumerate(batch[ids]):
                 held.append(np.frombuffer(raw.as_buffer() or b"", dtype="<u4"))
                 size += 4 * len(held[-1])
                 if size >= FLUSH_BYTES or row == batch.num_rows - 1:
-                    flat = np.minimum(np.concatenate([np.zeros(0, dtype="<u4"), *held]), len(table) - 1)
-                    made = _grouped(table.take(pa.array(flat)), np.cumsum([0, *map(len, held)]))
                     part = batch.slice(begin, len(held))
-                    texts = pa.array([x.as_py().decode("utf-8", "replace") for x in made], pa.string())
-                    yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), texts], names=[*rest, text])
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), _texts(held, pieces.value)], names=[*rest, text])
                     begin, size, held = row + 1, 0, []
         release()
 

@@ -77,10 +77,9 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path).withColumns({"n_tokens": bpe.n_tokens(), "ids_sha256": F.sha2("ids", 256)})
-    return bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, tokenizer_path(), decoded="text")
+    return encoded.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 OPERATORS = (op1_near_duplicates, op2_decontaminate, op3_substrings, op4_suffix_array, op5_fingerprint, op6_toxicity, op7_language_model, op8_language, op9_shards, op10_bpe)

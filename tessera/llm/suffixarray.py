@@ -33,7 +33,7 @@ from tessera.llm._text import mix, to_bytes
 from tessera.llm.substring import covered, intervals
 
 LENGTH, SHORTEST, HOT, LONGEST = 200, 16, 16_384, 4096
-BUCKET_BYTES = 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
 
 
 # --- one shard's suffix array ------------------------------------------------------------------
@@ -285,7 +285,7 @@ def _level(total: np.ndarray) -> np.ndarray:
     return np.where(total < 2, 0, 1 + hot).astype(np.uint8)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", whole_characters: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", whole_characters: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (long), removed (array of byte intervals [first, last)) and kept (binary: the bytes left).
 
     whole_characters: intervals shrink to whole UTF-8 characters, so that kept is text.
@@ -296,7 +296,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     docs, renamed = B.shielded(docs, "_t", "_block")
     left, n, total = B.blocked(docs, key, text, block_bytes)
     buckets = max(1, total // BUCKET_BYTES)
-    shards, back = 4 * n, min(n, B.MOST_PARTS)
+    shards, back = 2 * n, min(n, B.MOST_PARTS)
 
     def send(block: int, t: pa.Table):
         s = Segments(t["_t"], length)
@@ -348,7 +348,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
             for i, x in zip(sort_.tolist(), repeated([pieces[i] for i in sort_], own[sort_], times[sort_], length), strict=True):
                 found[i] = x
         packed = [np.packbits(np.concatenate([found[i] for i in mine])).tobytes() for mine in per_row]
-        pa.default_memory_pool().release_unused()
+        B.trim()
         return pa.table({"_block": t["_block"], "_shard": t["_shard"], "bits": pa.array(packed, pa.binary())})
 
     sorted_ = shipped.repartition(min(shards, B.MOST_PARTS), "_shard").groupBy("_shard").applyInArrow(sort, "_block long, _shard long, bits binary")

@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from tessera.llm._blocks import fresh, lean, release
 from tessera.llm._text import LOWER, text_bytes, to_bytes, word_bounds, word_hashes
 
-SAMPLE, NEIGHBOURS, BLOCK, COMMON = 4096, 50, 64, 32
+SAMPLE, NEIGHBOURS, BLOCK, COMMON = 4096, 50, 64, 12
 #: Weight of a term that speaks for no label, blocks that are scored first, neighbours that are named.
 WEAK, FIRST, NAMED = 0.1, 4, 5
 #: Texts that are multiplied with the matrix at a time.

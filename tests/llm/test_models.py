@@ -30,6 +30,10 @@ def test_bpe_is_the_library(spark, corpus):
         assert ids[i] == library.encode(t or "", add_special_tokens=False).ids
     back = {x.doc_id: x.text for x in bpe.decode(encoded, path).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
+    at_once = {x.doc_id: (bytes(x.ids), x.text) for x in bpe.encode(frame(spark, texts), path, decoded="text").collect()}
+    assert at_once == {i: (np.array(ids[i], dtype="<u4").tobytes(), t or "") for i, t in enumerate(texts)}
+    broken = spark.createDataFrame([(1, np.array([162, 99999, 50256], dtype="<u4").tobytes()), (2, None)], "k int, ids binary")
+    assert {x.k: x.text for x in bpe.decode(broken, path).collect()} == {1: library.decode([162], skip_special_tokens=False) + "<|endoftext|>", 2: ""}
 
 
 def test_bpe_words_beyond_the_broadcast_table(spark, corpus):
