@@ -40,8 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, little-endian 32-bit) of each text, and the digest of what they decode to."""
-    path = tokenizer_path()
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path), path, keep_ids=True)
+    decoded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), tokenizer_path(), decoded="text")
     return decoded.select("doc_id", "lang", "source", "n_chars", bpe.n_tokens().alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
