@@ -1,7 +1,7 @@
 """Normalisation and text scalars as column expressions.
 
-Everything but NFKC stays in the JVM: Spark has no NFKC built in, so `nfkc` is one Arrow UDF that is
-applied once per text and followed by regular expressions.
+Everything but NFKC stays in the JVM: Spark has no NFKC built in, so `nfkc` sends the texts that it may change
+through one Arrow UDF.
 """
 
 from __future__ import annotations
@@ -38,9 +38,29 @@ DISPLAY = (
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition of each text."""
-    return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def _stable() -> str:
+    """Latin characters and ideographs that composition leaves alone, whatever stands beside them, as a character class."""
+    out: list[list[int]] = []
+    for i in [*range(0x250), *range(0x3001, 0x3004), *range(0x4E00, 0xA000)]:
+        c = chr(i)
+        if unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c):
+            if out and out[-1][1] == i - 1:
+                out[-1][1] = i
+            else:
+                out.append([i, i])
+    return "".join(rf"\x{{{a:x}}}-\x{{{z:x}}}" for a, z in out)
+
+
+UNSTABLE = f"[^{_stable()}]"
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition of each text; only texts with a character that it may change leave the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(UNSTABLE), text)), text)
 
 
 def collapse(text: Column) -> Column:

@@ -11,6 +11,8 @@ from tessera.functions.text import numbers_changed
 # Fixed value: of several findings for one place, the first kind here stays.
 PRIORITY = ("NUMERIC_CHANGED", "TABLE_CELL_CHANGED", "MODIFIED", "DELETED", "ADDED", "CONTENT_BLOCK_MISSING", "STRUCTURE_CHANGED")
 PLACEHOLDERS = "金额|价款|大写|小写|人民币|____"
+#: Rows of a range of ordered rows, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 500_000, 1024
 
 
 def priority(kind: Column) -> Column:
@@ -38,11 +40,35 @@ def review_reason(before: Column, after: Column, confidence: Column, threshold:
     )
 
 
-def islands(rows: DataFrame, keys: list[str], order: str, step: int = 1) -> DataFrame:
-    """rows with run: the number of the run of places no more than ``step`` apart, within the keys."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    begins = F.when(F.col(order) - F.lag(order).over(w) <= step, 0).otherwise(1)
-    return rows.withColumn("_b", begins).withColumn("run", F.sum("_b").over(w)).drop("_b")
+def islands(rows: DataFrame, keys: list[str], order: str, step: int = 1, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """rows with run: the number of the run of places no more than ``step`` apart, within the keys.
+
+    One key may hold most rows, so they are cut into ranges of the order at quantiles; a range takes over where the one before it ends.
+    """
+    ranges = min(MOST_RANGES, -(-rows.count() // rows_per_range))
+    cuts = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    ranged = rows.withColumn("_range", at)
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    named = [f"_k{i}" for i in range(len(keys))]
+    of_range = [F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]
+
+    def with_range(left: DataFrame, right: DataFrame) -> DataFrame:
+        """left with the columns of the one row that right has for its key and range."""
+        met = F.col("_range") == F.col("_r")
+        for k, n in zip(keys, named, strict=True):
+            met = met & F.col(k).eqNullSafe(F.col(n))
+        return left.join(right, met).drop("_r", *named)
+
+    # one row for each key and range: where the ranges before it end
+    before = F.lag("_last").over(Window.partitionBy(*named).orderBy("_r"))
+    ends = ranged.groupBy(*of_range, F.col("_range").alias("_r")).agg(F.max(order).alias("_last")).withColumn("_before", before).drop("_last")
+    joined = with_range(ranged, ends)
+    begins = F.when(F.col(order) - F.coalesce(F.lag(order).over(inside), "_before") <= step, 0).otherwise(1)
+    numbered = joined.withColumn("_b", begins).withColumn("_run", F.sum("_b").over(inside))
+    base = F.sum("_n").over(Window.partitionBy(*named).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    sums = numbered.groupBy(*of_range, F.col("_range").alias("_r")).agg(F.sum("_b").alias("_n")).withColumn("_base", base).drop("_n")
+    return with_range(numbered, sums).select(*rows.columns, (F.col("_run") + F.coalesce("_base", F.lit(0))).alias("run"))
 
 
 def missing_ranges(unmatched: DataFrame, keys: list[str], order: str = "ordinal", size: str = "chars") -> DataFrame:

@@ -18,6 +18,8 @@ ARITHMETIC = {"add", "subtract", "multiply", "divide", "sum"}
 COMPARISONS = {"equals", "not_equals", "less_than", "less_or_equal", "greater_than", "greater_or_equal"}
 NODES, DEPTH = 24, 6
 NUMBER = "decimal(38,10)"
+#: Sums of these keep ten decimals.
+SUMMAND = "decimal(37,10)"
 
 
 class RuleError(ValueError):
@@ -96,7 +98,7 @@ def compile_rule(node: dict, fact: Any) -> Column:
         if op == "sum":
             total = args[0]
             for a in args[1:]:
-                total = (total + a).cast(NUMBER)
+                total = _arithmetic("add", total, a).cast(NUMBER)
             return total
         return _arithmetic(op, *args[:2]).cast(NUMBER)
     a, b = compile_rule(node["left"], fact), compile_rule(node["right"], fact)
@@ -106,11 +108,10 @@ def compile_rule(node: dict, fact: Any) -> Column:
 
 
 def _arithmetic(op: str, a: Column, b: Column) -> Column:
-    """Two numbers of NUMBER's ten decimals put together, none of them cut; null beyond 18 digits before the point."""
-    if op == "add":
-        return a + b
-    if op == "subtract":
-        return a - b
+    """Two numbers of NUMBER's ten decimals put together, none of them cut; null beyond 18 digits before the point (27 for sums)."""
+    if op in ("add", "subtract"):
+        a, b = a.try_cast(SUMMAND), b.try_cast(SUMMAND)
+        return a + b if op == "add" else a - b
     a, b = a.try_cast("decimal(28,10)"), b.try_cast("decimal(28,10)")
     if op == "divide":
         return F.try_divide(a, b)
@@ -120,7 +121,7 @@ def _arithmetic(op: str, a: Column, b: Column) -> Column:
     parts = [(whole(a), whole(b)), (whole(a), broken(b)), (broken(a), whole(b)), (broken(a), broken(b))]
     exact = [(x * y).cast("decimal(38,0)" if i == 0 else "decimal(38,20)") for i, (x, y) in enumerate(parts)]
     fraction = (exact[1].cast("decimal(37,18)") + exact[2].cast("decimal(37,18)") + exact[3].cast("decimal(37,18)")).cast(NUMBER)
-    return F.try_add(exact[0].try_cast(NUMBER), fraction)
+    return F.try_add(exact[0].try_cast(SUMMAND), fraction.try_cast(SUMMAND))
 
 
 def verdicts(facts: DataFrame, rules: list[dict], group: str = "review", name: str = "name", file: str = "file", value: str = "value") -> DataFrame:

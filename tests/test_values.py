@@ -181,3 +181,13 @@ def test_find_paragraph(spark):
     b = spark.createDataFrame([(1, 0, 1, "甲方付款"), (1, 1, 2, "甲方付款"), (1, 2, 2, "乙方应当在十日内交货")], "doc int, ordinal int, page int, text string")
     s = spark.createDataFrame([("a", 1, 2, "甲方付款"), ("b", 1, 9, "甲方付款"), ("c", 1, 1, "乙方应当在九日内交货"), ("d", 1, 1, "无关")], "side string, doc int, page int, text string")
     assert {r.side: (r.ordinal, r.how) for r in candidates.find_paragraph(s, b).collect()} == {"a": (1, "PAGE"), "b": (0, "EQUAL"), "c": (2, "SIMILAR")}
+
+
+def test_composition(spark):
+    import unicodedata
+
+    from tessera.functions.text import nfkc
+
+    texts = ["plain", "é", "e\u0301", "ｆｕｌｌ，", "½ ² ª", "ﬁ", "中文。", "각", None, "", "Å", "a\u0327\u0301", "ĳ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", nfkc(F.col("t")).alias("t")).collect()
+    assert {r.i: r.t for r in rows} == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
