@@ -32,7 +32,8 @@ from tessera.llm._text import LOWER, mix, to_bytes, unvarint, varints, word_boun
 
 #: Context bytes, and those of them that a tree is dealt by.
 DEPTH, DEALT = 5, 2
-WORDS_PER_BUCKET, DENSE = 4 << 20, 1 << 17
+#: Bytes of a block, and bytes of all texts for each bucket of words and of strings.
+BLOCK_BYTES, WORDS_PER_BUCKET, GRAMS_PER_BUCKET, DENSE = 4 << 20, 4 << 20, 16 << 20, 1 << 19
 _LGAMMA: np.ndarray | None = None
 
 
@@ -56,17 +57,27 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 def gram_ids(x: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """For each place a number of the depth + 1 bytes from it, and the bytes of each number (first byte highest); numbers rise with them."""
     n = len(x) - depth
-    ids, value = np.zeros(n, dtype=np.int64), np.zeros(1, dtype=np.uint64)
+    ids, value = np.zeros(n, dtype=np.uint32), np.zeros(1, dtype=np.uint64)
     for k in range(depth + 1):
-        key = ids * 256 + x[k : n + k]
+        key = ids.astype(np.uint32 if len(value) < 1 << 24 else np.uint64)
+        key *= key.dtype.type(256)
+        key += x[k : n + k]
         if len(value) <= DENSE:
-            there = np.zeros(len(value) * 256, dtype=bool)
-            there[key] = True
+            there = np.zeros(len(value) * 256, dtype=np.uint8)
+            there[key] = 1
             distinct = np.flatnonzero(there)
-            number = np.cumsum(there, dtype=np.int32)
-            ids = number[key].astype(np.int64) - 1
+            # the number of a key: those of all rows of 256 before its own, and its place there
+            place = there.reshape(-1, 256)
+            before = np.cumsum(np.concatenate([[0], place.sum(1, dtype=np.int64)[:-1]])).astype(np.uint32)
+            np.cumsum(place, axis=1, dtype=np.uint8, out=place)
+            ids = before[key >> key.dtype.type(8)]
+            # a row with all 256 ends at 0 again, which is 255 once one is taken away
+            ids += there[key] - np.uint8(1)
+            del there, place
         else:
             distinct, ids = np.unique(key, return_inverse=True)
+            ids = ids.astype(np.uint32)
+        del key
         value = value[distinct // 256] * np.uint64(256) + (distinct % 256).astype(np.uint64)
     return ids, value
 
@@ -215,17 +226,18 @@ def upper_levels(last: np.ndarray, node: np.ndarray, n0: np.ndarray, n1: np.ndar
     return [root[:2], one[:2]]
 
 
-def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, n_bytes, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (code length), for each row of docs."""
     docs = docs.select(key, text, F.coalesce(train, F.lit(False)).alias("_train"))
     left, n, total = B.blocked(docs, key, text, block_bytes)
     left = left.select(key, "_train", "_t", "_block")
-    word_buckets, gram_buckets = max(1, total // WORDS_PER_BUCKET), max(1, total // (64 << 20))
+    word_buckets, gram_buckets = max(1, total // WORDS_PER_BUCKET), max(1, total // GRAMS_PER_BUCKET)
     sent = B.cut(B.per_block(left, lambda b, t: _send(b, t, word_buckets, gram_buckets), SENT))
     tokens = sent.where("kind = 'tokens'").agg(F.sum("_bucket")).first()[0] or 0
     back = min(n, B.MOST_PARTS)
 
     def count_words(k: tuple, t: pa.Table) -> pa.Table:
+        B.trim()
         u, sums, keys = _sum(t)
         answers = [pack(sums[np.searchsorted(u, x)]) for x in keys]
         n, bucket = len(answers), k[0].as_py()
@@ -237,6 +249,7 @@ def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_i
     distinct = (counted.where("_block = -1").agg(F.sum("_bucket")).first()[0] or 0) + (1 if tokens else 0)
 
     def by_context(k: tuple, t: pa.Table) -> pa.Table:
+        B.trim()
         u, sums, _ = _sum(t)
         context = ((u >> np.uint64(8)) & np.uint64((1 << 8 * DEALT) - 1)).astype(np.int64)
         order = np.argsort(context, kind="stable")
@@ -259,12 +272,14 @@ def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_i
     above = upper_levels(*(tops[c].to_numpy() for c in ("last", "node", "n0", "n1", "below")))
 
     def logs(k: tuple, t: pa.Table) -> pa.Table:
+        B.trim()
         tree = tree_of(t)
         values, bucket = tree.log10(above).astype(np.float32), _bucket(tree.grams, gram_buckets)
         groups = np.unique(bucket).tolist()
         return pa.table({"_bucket": pa.array(groups, pa.int64()), "keys": pa.array([pack_rising(tree.grams[bucket == b]) for b in groups], pa.binary()), "logs": pa.array([values[bucket == b].tobytes() for b in groups], pa.binary())})
 
     def answer(k: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        B.trim()
         u = np.concatenate([unpack_rising(x) for x in known["keys"]])
         v = np.concatenate([np.frombuffer(x.as_py(), dtype=np.float32) for x in known["logs"]])
         order = np.argsort(u)
