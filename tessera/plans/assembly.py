@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import align, clusters, facts, pages, reports, tasks, units
-from tessera.plans import compare
-from tessera.plans.queries import SQL_CELLS, SQL_COLLAPSE, SQL_IGNORED, SQL_LINES, cells, lines_of, order_tasks, query, table, versions
+from tessera.operators import align, clusters, facts, pages, reports, rules, tasks, units
+from tessera.plans import compare, draft
+from tessera.plans.queries import RULES, SQL_CELLS, SQL_COLLAPSE, SQL_IGNORED, SQL_LINES, cells, lines_of, order_facts, order_tasks, query, table, two_tables, versions
 
 # --- units and evidence --------------------------------------------------------------------------
 
@@ -234,6 +234,42 @@ def q_comparison_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.result(compare.compare(old, new), both, {"DIGIT": "[0-9]", "LETTER": "[a-z]"})
 
 
+@query()
+def q_template_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an open blank in every seventh line as templates, their second versions as drafts that fill it in; orders as tables."""
+    old, new = versions(spark, sf_dir)
+    template = old.withColumn("text", F.when(F.col("ordinal") % 7 == 2, F.concat("text", F.lit("____"))).otherwise(F.col("text")))
+    a, b = (d.withColumn("doc", F.col("table")) for d in two_tables(spark, sf_dir))
+    return draft.template_items(draft.template_analysis(template, new, a, b))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS fact, 'a' AS file, CASE WHEN o_orderkey % 3 = 0 THEN 'MISSING' WHEN o_orderkey % 5 = 0 THEN 'CONFLICT' ELSE 'CONSISTENT' END AS status FROM orders
+UNION ALL SELECT o_orderkey, 'b', CASE WHEN o_orderkey % 2 = 0 THEN 'UNCERTAIN' ELSE 'CONSISTENT' END FROM orders),
+f AS (SELECT fact % 100 AS review, 'RISK' AS kind, 'SOURCE_CONFLICT' AS code, fact || '@' || file AS ref FROM c WHERE status = 'CONFLICT' UNION ALL SELECT fact % 100, 'REVIEW', 'SOURCE_UNCERTAIN', fact || '@' || file FROM c WHERE status = 'UNCERTAIN'
+ UNION ALL SELECT fact % 100, 'PASSED', 'FACT_CONSISTENT', fact::VARCHAR FROM c GROUP BY fact HAVING NOT bool_or(status = 'CONFLICT') AND bool_or(status = 'CONSISTENT')),
+k AS (SELECT f.review, CASE WHEN d.doc_id IS NOT NULL THEN 'REVIEW' ELSE kind END AS kind FROM f LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) d ON f.ref = d.doc_id || '@a')
+SELECT review, count(*) FILTER (WHERE kind = 'RISK')::INT AS risk_count, count(*) FILTER (WHERE kind = 'REVIEW')::INT AS review_count, count(*) FILTER (WHERE kind = 'PASSED')::INT AS passed_count,
+ CASE WHEN count(*) FILTER (WHERE kind = 'RISK') > 0 THEN 'RISK_FOUND' WHEN count(*) FILTER (WHERE kind = 'REVIEW') > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS conclusion FROM k GROUP BY review""")
+def q_draft_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order facts by the last two digits of their key as reviews; labels of quality 0 are definitions that contradict each other."""
+    matrix = facts.matrix_items(facts.fact_matrix(*order_facts(spark, sf_dir)))
+    items = draft.fact_items(matrix, F.col("fact") % 100)
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select((F.col("doc_id") % 100).alias("review"), F.concat(F.col("doc_id").cast("string"), F.lit("@a")).alias("ref"))
+    reviews = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).alias("review"))
+    return draft.result(reviews, items, bad).select("review", "risk_count", "review_count", "passed_count", "conclusion")
+
+
+@query("""WITH v AS (SELECT l_orderkey AS review, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_discount AS DECIMAL(18,2)) AS discount, CAST(l_quantity AS DECIMAL(18,2)) AS quantity FROM lineitem),
+g AS (SELECT review, count(DISTINCT price) AS np, count(DISTINCT discount) AS nd, count(DISTINCT quantity) AS nq, min(price) AS price, min(discount) AS discount, min(quantity) AS quantity FROM v GROUP BY review)
+SELECT review, CASE WHEN np > 1 OR nd > 1 THEN 'REVIEW' WHEN price * (1 - discount) >= 1000 THEN 'PASSED' ELSE 'RISK' END AS kind, 'net_over_1000' AS ref FROM g
+UNION ALL SELECT review, CASE WHEN np > 1 OR nq > 1 THEN 'REVIEW' WHEN abs(price - quantity) <= 10 THEN 'PASSED' ELSE 'RISK' END, 'price_is_quantity' FROM g""")
+def q_rule_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("decimal(18,2)").alias("value")) for n, c in (("price", "l_extendedprice"), ("discount", "l_discount"), ("quantity", "l_quantity"))]))
+    f = li.select(F.col("l_orderkey").alias("review"), named.alias("f")).select("review", "f.*", F.lit("x").alias("file"))
+    return draft.rule_items(rules.verdicts(f, RULES)).select("review", "kind", "ref")
+
+
 # --- pages and tasks -----------------------------------------------------------------------------
 
 

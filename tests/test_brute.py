@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.similarity import indel
 from tessera.operators import align, candidates, clusters, diffs, facts, graph, pages, rules, tasks, units
-from tessera.plans import compare
+from tessera.plans import compare, draft
 from tessera.plans.queries import QUERIES
 
 DATA = os.environ.get("TESSERA_TEST_DATA", "/root/testdata/sf0.001")
@@ -365,6 +365,22 @@ def test_comparison(spark):
     assert (2, "DOCUMENT_PAIR_UNRELATED") in codes and (1, "RULE_BASED_LIMITATION") in codes
 
 
+def test_template(spark):
+    old = [f"clause {i} says something of its own kind" for i in range(8)] + ["rent____monthly", "name____"]
+    new = [*old[:3], old[3] + " and more", *old[4:8], "rent500monthly", "name____"]
+    rows = lambda ts: spark.createDataFrame([(1, i, t, None) for i, t in enumerate(ts)], "pair long, ordinal long, text string, clause string")
+    cells = lambda ts: spark.createDataFrame([(1, 0, r, c, t) for (r, c), t in ts.items()], "doc long, table int, row int, col int, text string")
+    asked = {(0, 0): "name", (0, 1): "", (1, 0): "sum", (1, 1): ""}
+    made = draft.template_analysis(rows(old), rows(new), cells(asked), cells(asked | {(0, 1): "x"}))
+    assert [(r.before, r.after) for r in made["allowed"].collect()] == [("rent____monthly", "rent500monthly")]
+    items = draft.template_items(made)
+    got = {(r.kind, r.code, r.ref) for r in items.collect()}
+    assert got == {("RISK", "TEMPLATE_MODIFIED", "diff_000001"), ("RISK", "UNFILLED_BLANK", "9"), ("RISK", "REQUIRED_CELL_EMPTY", "0/1/1")}
+    votes = spark.createDataFrame([(1, "UNFILLED_BLANK", "9", True), (1, "UNFILLED_BLANK", "9", False)], "review long, code string, ref string, confirmed boolean")
+    settled = {(r.code, r.kind) for r in draft.consensus(items, votes).collect()}
+    assert ("UNFILLED_BLANK", "REVIEW") in settled and ("TEMPLATE_MODIFIED", "RISK") in settled
+
+
 def test_published(spark):
     rows = [
         (1, "d1", "DELETED", "rent is due", None, 1), (1, "d2", "ADDED", None, "rent is due", 9), (1, "d3", "DELETED", "不得转租", None, 1), (1, "d4", "ADDED", None, "不得转租", 2),
