@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again by the next.
+
+Null and empty texts pass all stages (null texts stay null, and encode to no ids); rows that repeat are near duplicates of each
+other and share an id, so they stay or go together; rows with a null id are never dropped as duplicates. Empty tables give an empty
+result. Ties and very long texts are handled as the operators say. Columns beyond those of ``documents`` are kept by all stages but the last.
+"""
 
 from __future__ import annotations
 

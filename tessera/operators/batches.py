@@ -118,3 +118,19 @@ def reduce_answers(answers: DataFrame, expected: DataFrame) -> tuple[DataFrame,
     state = e.join(a, ["batch", "item"], "full_outer").groupBy("batch").agg(F.bool_and((F.coalesce("n", F.lit(0)) == 1) & F.coalesce("asked", F.lit(False))).alias("ok"))
     good = state.where("ok").select("batch")
     return answers.join(good, "batch", "left_semi"), expected.select("batch").distinct().join(good, "batch", "left_anti")
+
+
+def next_wave(batches: DataFrame, answers: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
+    """The batches to ask next: of each key the unanswered ones of its first wave of ``size`` that isn't answered in full. batches: (keys, order, batch)."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    open_ = outstanding(batches.withColumn("wave", F.floor(n / size).cast("int")), answers)
+    first = open_.groupBy(*keys).agg(F.min("wave").alias("wave"))
+    return open_.join(first, [*keys, "wave"])
+
+
+def payloads(facts: DataFrame, keys: list[str], order: str, item: str, size: int) -> DataFrame:
+    """(keys, batch, items): the items of each key in order, ``size`` to a payload."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    numbered = facts.withColumns({"_n": n, "batch": F.floor(n / size).cast("int")})
+    listed = F.array_sort(F.collect_list(F.struct("_n", F.col(item).alias("item"))))
+    return numbered.groupBy(*keys, "batch").agg(F.transform(listed, lambda x: x["item"]).alias("items"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import align, clusters, facts, pages, reports, rules, tasks, units
+from tessera.operators import align, batches, clusters, facts, pages, reports, rules, tables, tasks, units
 from tessera.plans import compare, draft
 from tessera.plans.queries import RULES, SQL_CELLS, SQL_COLLAPSE, SQL_IGNORED, SQL_LINES, cells, lines_of, order_facts, order_tasks, query, table, two_tables, versions
 
@@ -132,6 +132,30 @@ def q_check_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", reports.check_subject(title).alias("subject"))
 
 
+@query(f"""WITH {SQL_CELLS}, m AS (SELECT doc, min(row) AS top FROM cells GROUP BY doc), h AS (SELECT c.doc, col, nullif(text, '') AS head FROM cells c JOIN m ON c.doc = m.doc AND row = top),
+l AS (SELECT *, lag(text) OVER (PARTITION BY doc, row ORDER BY col) AS label FROM cells), k AS (SELECT doc, row, text AS key FROM cells WHERE col = 0)
+SELECT l.doc || '/' || l.row || '/' || l.col AS side, 'p' || l.doc AS table_pair, CASE WHEN l.row = top THEN nullif(label, '') ELSE coalesce(head, nullif(label, '')) END AS field, CASE WHEN l.row > top THEN nullif(key, '') END AS row_key
+FROM l JOIN m ON l.doc = m.doc LEFT JOIN h ON h.doc = l.doc AND h.col = l.col LEFT JOIN k ON k.doc = l.doc AND k.row = l.row""")
+def q_side_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir)
+    sides = c.select(F.concat_ws("/", "doc", "row", "col").alias("side"), "doc", "table", "row", "col")
+    pairs = c.select("doc", "table", F.concat(F.lit("p"), F.col("doc").cast("string")).alias("table_pair")).distinct()
+    return tables.side_coordinates(sides, c, pairs)
+
+
+@query("""WITH b AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS wave FROM conversations), o AS (SELECT * FROM b WHERE turn % 3 <> 0)
+SELECT conv_id, turn, wave::INT AS wave FROM o WHERE (conv_id, wave) IN (SELECT (conv_id, min(wave)) FROM o GROUP BY conv_id)""")
+def q_next_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("batch"))
+    return batches.next_wave(b, b.where("turn % 3 = 0"), ["conv_id"], "turn", 2).select("conv_id", "turn", "wave")
+
+
+@query("""SELECT l_orderkey, (n // 3)::INT AS batch, array_to_string(list(l_partkey ORDER BY n), ',') AS items FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)) GROUP BY ALL""")
+def q_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().withColumn("o", F.struct("l_linenumber", "l_partkey"))
+    return batches.payloads(li, ["l_orderkey"], "o", "l_partkey", 3).withColumn("items", F.array_join("items", ","))
+
+
 # --- clusters ------------------------------------------------------------------------------------
 
 

@@ -92,7 +92,7 @@ def text_pages(pages: DataFrame, least: int = 1) -> DataFrame:
     """(file, ordinal, page, text): one block for each line of text pages (file, page, text); files with fewer than ``least`` characters a page go."""
     enough = pages.groupBy("file").agg(F.sum(F.length(F.trim("text"))).alias("chars"), F.countDistinct("page").alias("n")).where(F.col("chars") >= F.col("n") * least).select("file")
     split = pages.join(enough, "file", "left_semi").select("file", "page", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.trim("text") != "")
-    return split.select("file", (F.col("page").cast("long") * 100000 + F.col("line")).alias("ordinal"), "page", "text")
+    return split.select("file", F.shiftleft(F.col("page").cast("long"), 32).bitwiseOR(F.col("line").cast("long")).alias("ordinal"), "page", "text")
 
 
 def parser_of(mime: Column) -> Column:
