@@ -34,7 +34,9 @@ from tessera.llm._text import LOWER, mix, to_bytes, unvarint, varints, word_boun
 DEPTH, DEALT = 5, 2
 #: Bytes of a block, and bytes of all texts for each bucket of words and of strings.
 BLOCK_BYTES, WORDS_PER_BUCKET, GRAMS_PER_BUCKET, DENSE = 4 << 20, 4 << 20, 16 << 20, 1 << 19
-_LGAMMA: np.ndarray | None = None
+LINE = np.array([10], dtype=np.uint8)
+#: For each bit of a byte the lower ones.
+BELOW = ((1 << np.arange(8)) - 1).astype(np.uint8)
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -58,22 +60,31 @@ def gram_ids(x: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]
     """For each place a number of the depth + 1 bytes from it, and the bytes of each number (first byte highest); numbers rise with them."""
     n = len(x) - depth
     ids, value = np.zeros(n, dtype=np.uint32), np.zeros(1, dtype=np.uint64)
-    for k in range(depth + 1):
-        key = ids.astype(np.uint32 if len(value) < 1 << 24 else np.uint64)
-        key *= key.dtype.type(256)
-        key += x[k : n + k]
+    first = min(3, depth + 1)  # so many bytes at once, as all their numbers fit one table
+    for k in range(first - 1, depth + 1):
+        if k == first - 1:
+            key = np.zeros(n, dtype=np.uint32)
+            for j in range(first):
+                key <<= np.uint32(8)
+                key |= x[j : n + j]
+            value = np.arange(256 ** (first - 1), dtype=np.uint64)
+        else:
+            key = ids.astype(np.uint32 if len(value) < 1 << 24 else np.uint64)
+            key *= key.dtype.type(256)
+            key += x[k : n + k]
         if len(value) <= DENSE:
-            there = np.zeros(len(value) * 256, dtype=np.uint8)
-            there[key] = 1
+            there = np.zeros(len(value) * 256, dtype=bool)
+            there[key] = True
             distinct = np.flatnonzero(there)
-            # the number of a key: those of all rows of 256 before its own, and its place there
-            place = there.reshape(-1, 256)
-            before = np.cumsum(np.concatenate([[0], place.sum(1, dtype=np.int64)[:-1]])).astype(np.uint32)
-            np.cumsum(place, axis=1, dtype=np.uint8, out=place)
-            ids = before[key >> key.dtype.type(8)]
-            # a row with all 256 ends at 0 again, which is 255 once one is taken away
-            ids += there[key] - np.uint8(1)
-            del there, place
+            # the number of a key: those before its byte of the bitmap, and those below it there
+            bits = np.packbits(there, bitorder="little")
+            del there
+            many = np.bitwise_count(bits)
+            before = np.cumsum(many, dtype=np.uint32) - many
+            at = key >> key.dtype.type(3)
+            ids = before[at]
+            ids += np.bitwise_count(bits[at] & BELOW[key & key.dtype.type(7)])
+            del at, bits, before
         else:
             distinct, ids = np.unique(key, return_inverse=True)
             ids = ids.astype(np.uint32)
@@ -98,13 +109,14 @@ class BlockText:
         edge[begins + self.sizes + 1] -= 1
         self.ids = ids[np.cumsum(edge[:-1], dtype=np.int8) > 0]
         self.doc_of_byte = np.repeat(np.arange(len(docs)), self.sizes + 1)
-        words = []
-        for b in docs:
-            b = LOWER[b]
-            words.append(word_hashes(b, *word_bounds(b)) >> np.uint64(1))
-        self.n_words = np.array([len(w) for w in words], dtype=np.int64)
-        self.words, self.word_ids = np.unique(np.concatenate([*words, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
-        self.doc_of_word = np.repeat(np.arange(len(docs)), self.n_words)
+        # a line end between two documents ends a word and begins none
+        begins = np.cumsum(np.concatenate([[0], self.sizes + 1]))
+        lines = LOWER[np.concatenate([np.zeros(0, dtype=np.uint8), *(y for b in docs for y in (b, LINE))])]
+        starts, ends = word_bounds(lines)
+        words = word_hashes(lines, starts, ends) >> np.uint64(1)
+        self.doc_of_word = np.searchsorted(begins, starts, side="right") - 1
+        self.n_words = np.bincount(self.doc_of_word, minlength=len(docs)).astype(np.int64)
+        self.words, self.word_ids = np.unique(words, return_inverse=True)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -134,9 +146,15 @@ def _send(block: int, t: pa.Table, word_buckets: int, gram_buckets: int):
     yield row | {"kind": "tokens", "_bucket": int((x.n_words + 1)[x.train].sum()), "keys": None, "many": None}
     many = np.bincount(x.word_ids[x.train[x.doc_of_word]], minlength=len(x.words))
     for kind, keys, n, buckets in (("words", x.words, many, word_buckets), ("grams", x.grams, np.bincount(x.ids[x.train[x.doc_of_byte]], minlength=len(x.grams)), gram_buckets)):
-        bucket = _bucket(keys, buckets)
-        for b in np.unique(bucket).tolist():
-            yield row | {"kind": kind, "_bucket": b, "keys": pack_rising(keys[bucket == b]), "many": pack(n[bucket == b])}
+        for b, at in _dealt(keys, buckets):
+            yield row | {"kind": kind, "_bucket": b, "keys": pack_rising(keys[at]), "many": pack(n[at])}
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its keys, in their order."""
+    bucket = _bucket(keys, buckets)
+    order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
+    return [(b, order[a:z]) for b, a, z in B.runs(bucket[order])]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -274,9 +292,8 @@ def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_i
     def logs(k: tuple, t: pa.Table) -> pa.Table:
         B.trim()
         tree = tree_of(t)
-        values, bucket = tree.log10(above).astype(np.float32), _bucket(tree.grams, gram_buckets)
-        groups = np.unique(bucket).tolist()
-        return pa.table({"_bucket": pa.array(groups, pa.int64()), "keys": pa.array([pack_rising(tree.grams[bucket == b]) for b in groups], pa.binary()), "logs": pa.array([values[bucket == b].tobytes() for b in groups], pa.binary())})
+        values, dealt = tree.log10(above).astype(np.float32), _dealt(tree.grams, gram_buckets)
+        return pa.table({"_bucket": pa.array([b for b, _ in dealt], pa.int64()), "keys": pa.array([pack_rising(tree.grams[at]) for _, at in dealt], pa.binary()), "logs": pa.array([values[at].tobytes() for _, at in dealt], pa.binary())})
 
     def answer(k: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         B.trim()
@@ -294,12 +311,12 @@ def score(docs: DataFrame, train: Column, spark: SparkSession, key: str = "doc_i
     def finish(block: int, t: pa.Table, right: pa.Table) -> pa.Table:
         x = BlockText(t)
         gram_log, word_count = np.zeros(len(x.grams)), np.zeros(len(x.words), dtype=np.int64)
-        gram_bucket, word_bucket = _bucket(x.grams, gram_buckets), _bucket(x.words, word_buckets)
+        gram_at, word_at = dict(_dealt(x.grams, gram_buckets)), dict(_dealt(x.words, word_buckets))
         for kind, b, v in zip(right["kind"].to_pylist(), right["_bucket"].to_pylist(), right["values"], strict=True):
             if kind == "grams":
-                gram_log[gram_bucket == b] = np.frombuffer(v.as_py(), dtype=np.float32)
+                gram_log[gram_at[b]] = np.frombuffer(v.as_py(), dtype=np.float32)
             else:
-                word_count[word_bucket == b] = unpack(v)
+                word_count[word_at[b]] = unpack(v)
         docs = len(x.sizes)
         bottom = np.log10(tokens + distinct + 1)
         c = word_count[x.word_ids]
