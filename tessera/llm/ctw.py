@@ -20,10 +20,9 @@ mark are read: other columns are not in the result. An empty table gives an empt
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +32,7 @@ from tessera.llm._text import LOWER, mix, to_bytes, unvarint, varints, word_boun
 #: Context bytes, and those of them that a tree is dealt by.
 DEPTH, DEALT = 5, 2
 #: Bytes of a block, and bytes of all texts for each bucket of words and of strings.
-BLOCK_BYTES, WORDS_PER_BUCKET, GRAMS_PER_BUCKET, DENSE = 4 << 20, 4 << 20, 16 << 20, 1 << 19
+BLOCK_BYTES, WORDS_PER_BUCKET, GRAMS_PER_BUCKET, DENSE = 4 << 20, 8 << 20, 32 << 20, 1 << 19
 LINE = np.array([10], dtype=np.uint8)
 #: For each bit of a byte the lower ones.
 BELOW = ((1 << np.arange(8)) - 1).astype(np.uint8)
@@ -120,12 +119,12 @@ class BlockText:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers, deflated."""
-    return zlib.compress(varints(values)[0], 1)
+    """Whole numbers, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(varints(values)[0])
 
 
 def unpack(raw: pa.Scalar) -> np.ndarray:
-    return unvarint(np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.uint8))[0]
+    return unvarint(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), dtype=np.uint8))[0]
 
 
 def pack_rising(keys: np.ndarray) -> bytes:
