@@ -80,10 +80,12 @@ def gram_ids(x: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]
             del there
             many = np.bitwise_count(bits)
             before = np.cumsum(many, dtype=np.uint32) - many
-            at = key >> key.dtype.type(3)
-            ids = before[at]
-            ids += np.bitwise_count(bits[at] & BELOW[key & key.dtype.type(7)])
-            del at, bits, before
+            ids = np.empty(n, dtype=np.uint32)
+            for a in range(0, n, 1 << 18):
+                some = key[a : a + (1 << 18)]
+                at = some >> some.dtype.type(3)
+                ids[a : a + (1 << 18)] = before[at] + np.bitwise_count(bits[at] & BELOW[some & some.dtype.type(7)])
+            del bits, many, before
         else:
             distinct, ids = np.unique(key, return_inverse=True)
             ids = ids.astype(np.uint32)
@@ -107,7 +109,8 @@ class BlockText:
         edge[begins] += 1
         edge[begins + self.sizes + 1] -= 1
         self.ids = ids[np.cumsum(edge[:-1], dtype=np.int8) > 0]
-        self.doc_of_byte = np.repeat(np.arange(len(docs)), self.sizes + 1)
+        del flat, ids, edge
+        self.doc_of_byte = np.repeat(np.arange(len(docs), dtype=np.int32), self.sizes + 1)
         # a line end between two documents ends a word and begins none
         begins = np.cumsum(np.concatenate([[0], self.sizes + 1]))
         lines = LOWER[np.concatenate([np.zeros(0, dtype=np.uint8), *(y for b in docs for y in (b, LINE))])]
