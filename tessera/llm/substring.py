@@ -14,6 +14,7 @@ named like the outputs are replaced. Very long texts are hashed whole. An empty
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from tessera.llm import _blocks as B
 from tessera.llm._text import to_bytes, window_hashes, word_bounds, word_hashes
 
 BUCKET_BYTES = 6 << 20
+LINE = np.array([10], dtype=np.uint8)
 PAIR = np.dtype([("lo", "<u8"), ("hi", "<u8")])
 
 
@@ -30,18 +32,24 @@ class Windows:
     """The windows of a block's documents: bounds of words, 64-bit hashes and, on demand, 128-bit ones."""
 
     def __init__(self, texts: pa.ChunkedArray, k: int, buckets: int):
-        self.docs, self.k, self.buckets = [], k, buckets
-        hashes = []
-        for x in texts:
-            b = to_bytes(x.as_py())
-            starts, ends = word_bounds(b)
-            words = word_hashes(b, starts, ends) if len(starts) >= k else np.zeros(0, dtype=np.uint64)
-            h = window_hashes(words, k)
-            self.docs.append((b, starts, ends, len(h)))
-            hashes.append(h)
-        self.h = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
+        self.k, self.buckets = k, buckets
+        self.raw = [to_bytes(x.as_py()) for x in texts]
+        # all documents of the block at once: a line end between two ends a word and begins none
+        self.begins = np.cumsum([0, *(len(b) + 1 for b in self.raw)])
+        flat = np.concatenate([np.zeros(0, dtype=np.uint8), *(y for b in self.raw for y in (b, LINE))])
+        self.starts, self.stops = word_bounds(flat)
+        of = np.searchsorted(self.begins, self.starts, side="right") - 1
+        n_words = np.bincount(of, minlength=len(self.raw))
+        self.first = np.cumsum([0, *n_words.tolist()])
+        h = window_hashes(word_hashes(flat, self.starts, self.stops), k)
+        self.h = h[of[: len(h)] == of[k - 1 :]] if len(h) else h
+        self.ends = np.cumsum([0, *np.maximum(0, n_words - k + 1).tolist()])
         self.key = ((self.h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (self.h & np.uint64(0xFFFFFFFF))
-        self.ends = np.cumsum([0, *(len(h) for h in hashes)])
+
+    def doc(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A document's bytes, and the bounds of its words in them."""
+        here = slice(self.first[d], self.first[d + 1])
+        return self.raw[d], self.starts[here] - self.begins[d], self.stops[here] - self.begins[d]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.key, return_counts=True)
@@ -60,10 +68,10 @@ class Windows:
         """128-bit hashes of the windows at these places."""
         out = np.empty(len(at), dtype=PAIR)
         out["lo"] = self.h[at]
-        for d, (b, starts, ends, n) in enumerate(self.docs):
-            lo, hi = np.searchsorted(at, self.ends[d : d + 2])
+        bounds = np.searchsorted(at, self.ends).tolist()
+        for d, (lo, hi) in enumerate(pairwise(bounds)):
             if hi > lo:
-                second = window_hashes(word_hashes(b, starts, ends, 1), self.k, 1)
+                second = window_hashes(word_hashes(*self.doc(d), 1), self.k, 1)
                 out["hi"][lo:hi] = second[at[lo:hi] - self.ends[d]]
         return out
 
@@ -119,7 +127,8 @@ def dedup(docs: DataFrame, k: int = 35, key: str = "doc_id", text: str = "text",
         hit = np.zeros(len(w.h), dtype=bool)
         hit[at] = again[back]
         n_words, n_removed, removed, kept = [], [], [], []
-        for d, (b, starts, ends, _) in enumerate(w.docs):
+        for d in range(len(w.raw)):
+            b, starts, ends = w.doc(d)
             found = np.flatnonzero(hit[w.ends[d] : w.ends[d + 1]])
             gone = covered(found, k, len(starts))
             n_words.append(len(starts))
