@@ -110,9 +110,10 @@ def residual_safe(diffs: DataFrame, residue: DataFrame) -> DataFrame:
 def published(diffs: DataFrame) -> dict[str, DataFrame]:
     """kept (numbered anew), audit and stats of the deterministic filter: equal text that stands elsewhere, and boundary noise, go.
 
+    Formulas of the same text stay: only a composite check could tell that they say the same.
     audit: (pair, reason, cluster, removed); stats: one row for each pair.
     """
-    links = equivalent_pairs(diffs)
+    links = equivalent_pairs(diffs).where("reason = 'EXACT_CONTENT_EQUIVALENCE'")
     ids = diffs.select("pair", "diff_id", "before", "after")
     named = links.select("pair", F.col("a").alias("cluster"), F.explode(F.array("a", "b")).alias("diff_id")).join(ids, ["pair", "diff_id"])
     sure = safe(named).where("safe").select("pair", "cluster")

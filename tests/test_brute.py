@@ -394,6 +394,16 @@ def test_published(spark):
     assert {r.diff_id: r.safe for r in safe.collect()}["d2"] is False and all(r.safe for r in safe.where("diff_id <> 'd2'").collect())
 
 
+def test_equal_formulas_stay_published(spark):
+    rows = [(1, "d1", "DELETED", "token=9a", None, 1), (1, "d2", "ADDED", None, "token=9a", 4), (1, "d3", "DELETED", "rent is due", None, 7), (1, "d4", "ADDED", None, "rent is due", 9)]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], "pair long, diff_id string, kind string, before string, after string, page int, table_pair string, field string, chapter string")
+    made = clusters.published(df)
+    assert [(r.diff_id, r.published_id) for r in made["kept"].orderBy("diff_id").collect()] == [("d1", "diff_000001"), ("d2", "diff_000002")]
+    s = made["stats"].first()
+    assert (s.raw_candidate_count, s.equivalent_filtered_count, s.equivalent_group_count, s.final_published_risk_count) == (4, 2, 1, 2)
+    assert [tuple(r.removed) for r in made["audit"].collect()] == [("d3", "d4")]
+
+
 # --- facts, units, rules, tasks -------------------------------------------------------------------
 
 
