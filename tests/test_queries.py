@@ -58,3 +58,14 @@ def test_query(spark, duck, name):
         assert got == wanted, (list((got - wanted).items())[:3], list((wanted - got).items())[:3])
     else:
         assert df.columns
+
+
+@pytest.mark.parametrize("name", ["q_published", "q_filter_stats", "q_equivalent_pairs"])
+def test_equal_formulas(spark, tmp_path, name):
+    lines = ["first line of all", "say a=b here", "another line", "say a=b here", "last line of all", "rent is due now", "rent is due now", "rent is due now"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[::-1]))], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, want = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLE[name])
+    names = [d[0] for d in want.description]
+    assert bag(df.collect(), df.columns) == bag(want.fetchall(), names)
