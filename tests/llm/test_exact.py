@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import minhash, suffixarray
@@ -183,3 +184,35 @@ def test_components(spark, one_task):
 
 def test_digest():
     assert sub.digest(b"a") == hashlib.sha256(b"a").hexdigest()
+
+
+def common_phrase(documents):
+    """Segments of documents that share a phrase of 130 bytes in contexts of their own."""
+    r = np.random.default_rng(3)
+    letters = lambda n: r.integers(97, 123, n, dtype=np.uint8).tobytes()
+    phrase = letters(130)
+    return pa.chunked_array([pa.array([letters(150) + phrase + letters(150) for _ in range(documents)], pa.binary())])
+
+
+def test_hot_minimisers_are_cut_into_few_bytes():
+    s = suffixarray.Segments(common_phrase(300), 200)
+    code = np.full(len(s.key), 2, dtype=np.uint8)
+    shards = s.shards(code, 64)
+    assert sum(len(x) for pieces in shards.values() for x in pieces) < 4 * sum(int(n) + 199 for n in s.own)
+    windows = sorted((d, a + i) for pieces in shards.values() for raw, (_, _, *places) in pieces.items() for d, a in places for i in range(len(raw) - 199))
+    assert windows == sorted((int(d), int(a) + i) for d, a, n in zip(s.doc, s.first, s.own, strict=True) for i in range(n))
+
+
+@pytest.mark.parametrize("most", [1 << 20, 6000, 300])
+def test_shards_are_sorted_in_parts(monkeypatch, most):
+    texts = [x.as_py() for x in common_phrase(60)]
+    texts += [texts[3], texts[5][:320], b"ab" * 200, b"ab" * 150]
+    s = suffixarray.Segments(pa.chunked_array([pa.array(texts, pa.binary())]), 200)
+    pieces = [np.frombuffer(s.content(i), dtype=np.uint8) for i in range(len(s.key))]
+    held, repeated = [], suffixarray.repeated
+    monkeypatch.setattr(suffixarray, "PART", most)
+    monkeypatch.setattr(suffixarray, "repeated", lambda p, *a: (held.append(sum(map(len, p))), repeated(p, *a))[1])
+    got = suffixarray.repeated_in_parts(pieces, np.ones(len(pieces), dtype=np.int64), s.key, 200)
+    seen = Counter(bytes(x[i : i + 200]) for x in pieces for i in range(len(x) - 199))
+    assert all(g.tolist() == [seen[bytes(x[i : i + 200])] > 1 for i in range(len(x) - 199)] for g, x in zip(got, pieces, strict=True))
+    assert max(held) <= max(most, 3000)
