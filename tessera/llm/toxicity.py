@@ -275,7 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: st
     rows = [(r.name, np.frombuffer(r.f, dtype=np.uint64), np.frombuffer(r.n, dtype=np.int64), r.y) for r in texts.mapInArrow(reduce, "name string, f binary, n binary, y int").toLocalIterator()]
     rows.sort(key=lambda r: (r[0], r[3]))
     stands = tuple(many[y] / room[y] if room[y] else 1.0 for y in (0, 1))
-    return Model(rows, neighbours, stands)
+    model = Model(rows, neighbours, stands)
+    del rows
+    release()  # the driver's
+    return model
 
 
 EVIDENCE = ArrayType(StructType([StructField("example", StringType()), StructField("cosine", DoubleType()), StructField("label_0", LongType()), StructField("label_1", LongType())]))

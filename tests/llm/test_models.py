@@ -387,3 +387,12 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matches(empty, bench, spark).count() == decontaminate.clean(empty, bench, spark).count() == 0
     assert ctw.score(empty, F.lit(True), spark).count() == 0
+
+
+def test_fit_hands_back_the_drivers_memory(spark, monkeypatch):
+    docs = frame(spark, ["bad words here", "good words there", "bad things", "good things"])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    called = []
+    monkeypatch.setattr(toxicity, "release", lambda: called.append(True))
+    assert toxicity.fit(docs, labels).n == 4
+    assert called
