@@ -12,6 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import similarity as sim
 from tessera.functions.similarity import indel
 from tessera.operators import align, candidates, clusters, diffs, facts, graph, pages, rules, tasks, units
 from tessera.plans import compare, draft
@@ -475,3 +476,22 @@ def test_quotes_with_marks(spark):
     assert {r.k: (r.hits, r["first"]) for r in facts.quote_hits(q, d).collect()} == {1: (2, 1), 2: (3, 0)}
     with pytest.raises(ValueError, match="share a column"):
         facts.quote_hits(q.select("quote"), d.select("text"))
+
+
+def test_bounded_common_subsequence():
+    r = random.Random(11)
+    for _ in range(300):
+        letters = "abcdefghij"[: r.choice([2, 4, 10])]
+        a = [r.choice(letters) for _ in range(r.randrange(200))]
+        b = [r.choice(letters) if r.random() < 0.3 else c for c in a if r.random() < 0.9] if r.random() < 0.6 else [r.choice(letters) for _ in range(r.randrange(200))]
+        a, b = "".join(a), "".join(b)
+        whole = sim.lcs_length(a, b)
+        for need in (0, whole - 1, whole, whole + 1, len(b), len(a) + 1):
+            assert sim.lcs_at_least(sim.places(a), len(a), b, need) == (whole if whole >= need else None)
+    # texts that cannot be alike are given up early
+    at, read = sim.places("ab" * 400), []
+    class Watched(str):  # noqa: E301
+        def __getitem__(self, i):
+            read.append(i)
+            return str.__getitem__(self, i)
+    assert sim.lcs_at_least(at, 800, Watched("c" * 800), 600) is None and len(read) <= 4  # noqa: E305
