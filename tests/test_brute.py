@@ -495,3 +495,27 @@ def test_bounded_common_subsequence():
             read.append(i)
             return str.__getitem__(self, i)
     assert sim.lcs_at_least(at, 800, Watched("c" * 800), 600) is None and len(read) <= 4  # noqa: E305
+
+
+def test_table_cells_are_compared_once(monkeypatch):
+    r, asked, alike = random.Random(7), [], pages._alike
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    tables = [[r.choice(words) for _ in range(40)] for _ in range(8)]
+    external = [("TABLE", [w for w in t if r.random() < 0.9]) for t in tables]
+
+    def ordered(cells, others):
+        at, scores = 0, []
+        for text in cells:
+            j = next((j for j in range(at, len(others)) if alike(text, others[j], pages.ALIKE) >= pages.ALIKE), None)
+            if j is not None:
+                scores.append(alike(text, others[j], pages.ALIKE))
+                at = j + 1
+        return len(scores), sum(scores) / len(scores) if scores else 0.0
+
+    known = pages._Cells(external)
+    for cells in tables:
+        for a, z in combinations(range(9), 2):
+            assert known.ordered([known.alike(x) for x in cells], a, z) == ordered(cells, [x for _, t in external[a:z] for x in t])
+    monkeypatch.setattr(pages, "_alike", lambda a, b, *x: (asked.append((a, b)), alike(a, b, *x))[1])
+    assert pages.align_table_cells(tables, external)
+    assert len(asked) == len(set(asked)) <= len(set(words)) ** 2
