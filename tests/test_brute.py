@@ -534,3 +534,21 @@ def test_cogrouped_kernels_take_many_groups_at_once(spark):
     assert {(r.pair, r.kind, r.before) for r in steps.collect()} == {(p, "DELETED", "two lines") for p in range(3)}
     plan = align.align(units, units, align.monotone(align.unique_anchors(units, units)))._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "InPandas" not in plan
+
+
+@pytest.mark.parametrize("most", [1 << 17, 5, 0])
+def test_similar_sets_by_first_tokens(spark, monkeypatch, most):
+    monkeypatch.setattr(facts, "RANKED", most)
+    r = random.Random(13)
+    sets = [[r.choice(["the", "of"]), *(f"w{r.randrange(30)}" for _ in range(r.randrange(12)))] for _ in range(80)]
+    sets += [[*s[:-1], "new"] for s in sets[:40]] + [sets[3], sets[3][::-1], [], ["alone"], ["alone"]]
+    d = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    classes = {}
+    for i, s in enumerate(sets):
+        if s:
+            classes.setdefault(frozenset(s), []).append(i)
+    want = {(i, m[0], len(m)) for i, s in enumerate(sets) if s and i % 3 == 0 for c, m in classes.items() if 100 * len(c & set(s)) >= 60 * len(c | set(s))}
+    got = facts.similar_sets(d.where("id % 3 = 0"), d, 60)
+    assert {(x.l_id, x.r_id, x.members) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan  # no row for each token of a set is sorted again
