@@ -552,3 +552,11 @@ def test_similar_sets_by_first_tokens(spark, monkeypatch, most):
     assert {(x.l_id, x.r_id, x.members) for x in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan  # no row for each token of a set is sorted again
+
+
+def test_chains_of_many_pairs_share_a_batch(spark):
+    anchors = spark.createDataFrame([(p, a, b) for p in range(4) for a, b in ((0, 1), (1, 0), (2, 2), (3, 4), (4, 3))], "pair long, base long, target long")
+    made = align.monotone(anchors)
+    want = [(p, *x) for p in range(4) for x in align.longest_chain([(0, 1), (1, 0), (2, 2), (3, 4), (4, 3)])]
+    assert sorted(map(tuple, made.collect())) == want
+    assert "InPandas" not in made._jdf.queryExecution().toString()
