@@ -93,7 +93,8 @@ def boundary_noise(diffs: DataFrame) -> DataFrame:
     contains. Pages are joined, so a document is never compared with itself as a whole.
     """
     one = F.coalesce("before", "after")
-    marks = diffs.where(F.coalesce(F.col("before"), F.lit("")).rlike(PAGE_MARK) | F.coalesce(F.col("after"), F.lit("")).rlike(PAGE_MARK)).where(F.col("before").isNull() | F.col("after").isNull()).select("pair", "diff_id")
+    mark = PAGE_MARK.replace("$", r"\z")  # Java's $ also holds before a last line separator
+    marks = diffs.where(F.coalesce(F.col("before"), F.lit("")).rlike(mark) | F.coalesce(F.col("after"), F.lit("")).rlike(mark)).where(F.col("before").isNull() | F.col("after").isNull()).select("pair", "diff_id")
     small = diffs.where((F.col("before").isNull() | F.col("after").isNull()) & ~one.rlike(VALUE) & (F.length(one) > 0)).select("pair", "diff_id", one.alias("_s"), F.explode(F.sequence(F.col("page") - NEAR_PAGES, F.col("page") + NEAR_PAGES)).alias("page"))
     large = diffs.select("pair", F.col("diff_id").alias("_other"), "page", F.explode(F.array_compact(F.array("before", "after"))).alias("_l"))
     held = small.join(large, ["pair", "page"]).where((F.col("diff_id") != F.col("_other")) & (F.length("_s") < F.length("_l")) & F.col("_l").contains(F.col("_s"))).select("pair", "diff_id")
@@ -113,21 +114,24 @@ def published(diffs: DataFrame) -> dict[str, DataFrame]:
     Formulas of the same text stay: only a composite check could tell that they say the same.
     audit: (pair, reason, cluster, removed); stats: one row for each pair.
     """
-    links = equivalent_pairs(diffs).where("reason = 'EXACT_CONTENT_EQUIVALENCE'")
+    links = equivalent_pairs(diffs).where("reason = 'EXACT_CONTENT_EQUIVALENCE'").select("pair", "a", "b").distinct()
     ids = diffs.select("pair", "diff_id", "before", "after")
-    named = links.select("pair", F.col("a").alias("cluster"), F.explode(F.array("a", "b")).alias("diff_id")).join(ids, ["pair", "diff_id"])
-    sure = safe(named).where("safe").select("pair", "cluster")
-    equal = named.join(sure, ["pair", "cluster"], "left_semi").select("pair", "cluster", "diff_id")
+    named = links.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("diff_id")).join(ids, ["pair", "diff_id"])
+    # an id that repeats stands for several texts: it is enough that one of them is on both sides
+    each = named.select("pair", F.struct("a", "b", F.coalesce("before", "after").alias("text")).alias("cluster"), "before", "after")
+    sure = safe(each).where("safe").select("pair", "cluster.a", "cluster.b").distinct()
+    equal = sure.select("pair", F.col("a").alias("cluster"), F.explode(F.array("a", "b")).alias("diff_id")).distinct()
     noise = boundary_noise(diffs)
-    removed = equal.select("pair", "diff_id").unionByName(noise).distinct()
     groups = equal.groupBy("pair", "cluster").agg(F.array_sort(F.collect_list("diff_id")).alias("removed")).select("pair", F.lit("EQUIVALENT_NO_CHANGE").alias("reason"), "cluster", "removed")
     alone = noise.select("pair", F.lit("BOUNDARY_NOISE").alias("reason"), F.lit(None).cast(diffs.schema["diff_id"].dataType).alias("cluster"), F.array("diff_id").alias("removed"))
-    stays = diffs.join(removed, ["pair", "diff_id"], "left_anti")
+    flag = lambda d, to: d.select("pair", "diff_id", F.lit(True).alias(to)).distinct()
+    marked = diffs.join(flag(equal, "_equal"), ["pair", "diff_id"], "left").join(flag(noise, "_noise"), ["pair", "diff_id"], "left")
+    stay = F.col("_equal").isNull() & F.col("_noise").isNull()
+    stays = marked.where(stay).drop("_equal", "_noise")
     number = F.row_number().over(Window.partitionBy("pair").orderBy("diff_id"))
-    count = lambda d, to: d.groupBy("pair").agg(F.count(F.lit(1)).alias(to))
-    stats = count(diffs, "raw_candidate_count")
-    for d, to in ((equal, "equivalent_filtered_count"), (noise, "boundary_noise_filtered_count"), (groups, "equivalent_group_count"), (stays, "final_published_risk_count")):
-        stats = stats.join(count(d, to), "pair", "left").na.fill(0, [to])
+    counted = marked.groupBy("pair").agg(F.count(F.lit(1)).alias("raw_candidate_count"), F.count_if("_equal").alias("equivalent_filtered_count"), F.count_if("_noise").alias("boundary_noise_filtered_count"), F.count_if(stay).alias("final_published_risk_count"))
+    stats = counted.join(groups.groupBy("pair").agg(F.count(F.lit(1)).alias("equivalent_group_count")), "pair", "left").na.fill(0, ["equivalent_group_count"])
+    stats = stats.select("pair", "raw_candidate_count", "equivalent_filtered_count", "boundary_noise_filtered_count", "equivalent_group_count", "final_published_risk_count")
     return {"kept": stays.withColumn("published_id", F.concat(F.lit("diff_"), F.lpad(number.cast("string"), 6, "0"))), "audit": groups.unionByName(alone), "stats": stats}
 
 

@@ -69,3 +69,16 @@ def test_equal_formulas(spark, tmp_path, name):
     df, want = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLE[name])
     names = [d[0] for d in want.description]
     assert bag(df.collect(), df.columns) == bag(want.fetchall(), names)
+
+
+@pytest.mark.parametrize("name", ["q_published", "q_filter_stats", "q_equivalent_pairs"])
+def test_odd_blanks_and_repeated_ids(spark, tmp_path, name):
+    odd = [" rent is due", "rent is due", "a　line here", "12 ", "a line here", "a\x0bline", "say so", "　3", "say so"]
+    one, two = ["1、rent is due", "rent is due", "other text", "no more"], ["rent is due", "rent is due", "short", "shorter text"]
+    rows = [(1, odd), (2, odd[::-1]), (3, one), (3, two), (4, two), (4, two), (4, one)]
+    spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, want = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLE[name])
+    names = [d[0] for d in want.description]
+    assert bag(df.collect(), df.columns) == bag(want.fetchall(), names)
