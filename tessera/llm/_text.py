@@ -19,6 +19,8 @@ PRIME = (1 << 61) - 1
 BASES = (0x0C5B9A1DD72E8F6B % PRIME, 0x1B03738712FAD5C9 % PRIME)
 #: Words longer than this are hashed by a keyed digest, one by one.
 LONG_WORD = 64
+#: Words and windows that are hashed at a time, so that what lies between stays in the processor's cache.
+AT_ONCE = 1 << 14
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -90,11 +92,17 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
 
     Words of up to eight bytes and equal length never collide.
     """
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    size = ends - starts
+    out = np.empty(len(starts), dtype=np.uint64)
     padded = np.concatenate([b, np.zeros(8, dtype=np.uint8)])
     eight = np.ndarray((len(b) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    for i in range(0, len(starts), AT_ONCE):
+        out[i : i + AT_ONCE] = _word_hashes(b, eight, starts[i : i + AT_ONCE], ends[i : i + AT_ONCE], which)
+    return out
+
+
+def _word_hashes(b: np.ndarray, eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """eight: the eight bytes from each place on."""
+    size = ends - starts
     h = mix(size.astype(np.uint64) * U64(0x9E3779B97F4A7C15) ^ U64(SEEDS[which]))
     long = size > LONG_WORD
     rows = np.flatnonzero(~long) if long.any() else np.arange(len(starts))
@@ -114,9 +122,17 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
 
 def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     """A Rabin-Karp hash modulo 2**61 - 1 of each run of k words, mixed to 64 bits; empty if there are fewer."""
+    n = max(0, len(words) - k + 1)
+    out = np.empty(n, dtype=np.uint64)
+    step = max(AT_ONCE, k)
+    for i in range(0, n, step):
+        # a window's hash doesn't depend on where it stands
+        out[i : i + step] = _window_hashes(words[i : i + step + k - 1], k, which)
+    return out
+
+
+def _window_hashes(words: np.ndarray, k: int, which: int) -> np.ndarray:
     n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
     p, inv = powers(len(words) + 1, BASES[which])
     terms = times(reduced(words), p[: len(words)])
     # prefix sums modulo the prime: halves are summed apart, as they can't overflow under 2**32 words

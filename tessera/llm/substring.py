@@ -26,6 +26,8 @@ from tessera.llm._text import to_bytes, window_hashes, word_bounds, word_hashes
 BUCKET_BYTES = 6 << 20
 LINE = np.array([10], dtype=np.uint8)
 PAIR = np.dtype([("lo", "<u8"), ("hi", "<u8")])
+#: Places of the table that rules most keys out before they are searched for.
+TABLE = 1 << 22
 
 
 class Windows:
@@ -33,46 +35,51 @@ class Windows:
 
     def __init__(self, texts: pa.ChunkedArray, k: int, buckets: int):
         self.k, self.buckets = k, buckets
-        self.raw = [to_bytes(x.as_py()) for x in texts]
+        raw = [to_bytes(x.as_py()) for x in texts]
         # all documents of the block at once: a line end between two ends a word and begins none
-        self.begins = np.cumsum([0, *(len(b) + 1 for b in self.raw)])
-        flat = np.concatenate([np.zeros(0, dtype=np.uint8), *(y for b in self.raw for y in (b, LINE))])
+        self.begins = np.cumsum([0, *(len(b) + 1 for b in raw)])
+        self.flat = flat = np.concatenate([np.zeros(0, dtype=np.uint8), *(y for b in raw for y in (b, LINE))])
         self.starts, self.stops = word_bounds(flat)
         of = np.searchsorted(self.begins, self.starts, side="right") - 1
-        n_words = np.bincount(of, minlength=len(self.raw))
+        n_words = np.bincount(of, minlength=len(raw))
         self.first = np.cumsum([0, *n_words.tolist()])
         h = window_hashes(word_hashes(flat, self.starts, self.stops), k)
         self.h = h[of[: len(h)] == of[k - 1 :]] if len(h) else h
         self.ends = np.cumsum([0, *np.maximum(0, n_words - k + 1).tolist()])
         self.key = ((self.h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (self.h & np.uint64(0xFFFFFFFF))
 
-    def doc(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A document's bytes, and the bounds of its words in them."""
-        here = slice(self.first[d], self.first[d + 1])
-        return self.raw[d], self.starts[here] - self.begins[d], self.stops[here] - self.begins[d]
-
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.key, return_counts=True)
 
     def candidates(self, codes: dict[int, np.ndarray]) -> np.ndarray:
         """Windows whose short hash repeats anywhere."""
-        u = np.unique(self.key)
+        u, _ = self.distinct()  # by sorting: np.unique alone goes through a hash table, at many times the cost
         kept = [u[a:z][codes[bucket]] for bucket, a, z in B.runs((u >> np.uint64(32)).astype(np.int64)) if bucket in codes]
         kept = np.concatenate([*kept, np.zeros(0, dtype=np.uint64)])
         if not len(kept):
             return np.zeros(0, dtype=np.int64)
-        at = np.minimum(np.searchsorted(kept, self.key), len(kept) - 1)
-        return np.flatnonzero(kept[at] == self.key)
+        # the lower bits of a key are a hash: few keys but those sought pass the table
+        there = np.zeros(TABLE, dtype=bool)
+        there[kept & np.uint64(TABLE - 1)] = True
+        maybe = np.flatnonzero(there[self.key & np.uint64(TABLE - 1)])
+        key = self.key[maybe]
+        at = np.minimum(np.searchsorted(kept, key), len(kept) - 1)
+        return maybe[kept[at] == key]
+
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """The first word of each of these windows, counted over the whole block."""
+        d = np.searchsorted(self.ends, at, side="right") - 1
+        return at + (self.first - self.ends)[d]
 
     def pairs(self, at: np.ndarray) -> np.ndarray:
-        """128-bit hashes of the windows at these places."""
+        """128-bit hashes of the windows at these places (sorted): only the words that they cover are hashed again, one run after the other."""
         out = np.empty(len(at), dtype=PAIR)
         out["lo"] = self.h[at]
-        bounds = np.searchsorted(at, self.ends).tolist()
-        for d, (lo, hi) in enumerate(pairwise(bounds)):
-            if hi > lo:
-                second = window_hashes(word_hashes(*self.doc(d), 1), self.k, 1)
-                out["hi"][lo:hi] = second[at[lo:hi] - self.ends[d]]
+        first = self.words(at)
+        needed = np.flatnonzero(covered(first, self.k, len(self.starts)))
+        if len(needed):
+            second = window_hashes(word_hashes(self.flat, self.starts[needed], self.stops[needed], 1), self.k, 1)
+            out["hi"] = second[np.searchsorted(needed, first)]
         return out
 
 
@@ -126,15 +133,10 @@ def dedup(docs: DataFrame, k: int = 35, key: str = "doc_id", text: str = "text",
         again = np.concatenate([*(code[bucket] for bucket, _, _ in B.runs(((u["lo"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))), np.zeros(0, dtype=bool)])
         hit = np.zeros(len(w.h), dtype=bool)
         hit[at] = again[back]
-        n_words, n_removed, removed, kept = [], [], [], []
-        for d in range(len(w.raw)):
-            b, starts, ends = w.doc(d)
-            found = np.flatnonzero(hit[w.ends[d] : w.ends[d + 1]])
-            gone = covered(found, k, len(starts))
-            n_words.append(len(starts))
-            n_removed.append(int(gone.sum()))
-            removed.append(intervals(gone))
-            kept.append(join(b, starts[~gone], ends[~gone]))
+        gone = covered(w.words(np.flatnonzero(hit)), k, len(w.starts))
+        n_words, n_removed = np.diff(w.first), np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
+        removed = [intervals(gone[a:z]) if n else [] for n, (a, z) in zip(n_removed.tolist(), pairwise(w.first.tolist()), strict=True)]
+        kept = joined(w, ~gone)
         out = t.select(names)
         pairs = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for name, values, kind in (("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("removed", removed, pairs), ("kept", kept, pa.binary())):
@@ -159,18 +161,22 @@ def intervals(gone: np.ndarray) -> list[dict]:
     return [{"first": a, "last": z} for a, z in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def join(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    """These words with one blank between them."""
-    if not len(starts):
-        return b""
-    edge = np.zeros(len(b) + 1, dtype=np.int8)
+def joined(w: Windows, stays: np.ndarray) -> list[bytes]:
+    """Of each document the words that stay, with one blank between them."""
+    starts, stops = w.starts[stays], w.stops[stays]
+    ends = np.concatenate([[0], np.cumsum(stays)])[w.first]
+    # all but a document's last word take the byte after them along, as a blank
+    more = np.ones(len(starts), dtype=np.int64)
+    more[ends[1:][np.diff(ends) > 0] - 1] = 0
+    edge = np.zeros(len(w.flat) + 1, dtype=np.int8)
     edge[starts] += 1
-    edge[ends] -= 1
+    edge[stops + more] -= 1
     keep = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-    out = b.copy()
-    out[ends[:-1]] = 32
-    keep[ends[:-1]] = True
-    return out[keep].tobytes()
+    out = w.flat.copy()
+    out[stops[more == 1]] = 32
+    out = out[keep]
+    at = np.concatenate([[0], np.cumsum(stops - starts + more)])[ends]
+    return [out[a:z].tobytes() for a, z in pairwise(at.tolist())]
 
 
 def digest(data: bytes) -> str:

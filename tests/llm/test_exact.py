@@ -44,6 +44,20 @@ def test_substring(spark, corpus, k, block):
         assert sum(x.last - x.first for x in r.removed) == r.n_removed
 
 
+def test_only_words_of_candidates_are_hashed_again(monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), None, "one two", " ".join(words[100:140]), " \n"]
+    w = sub.Windows(pa.chunked_array([pa.array([(t or "").encode() for t in texts], pa.binary())]), 35, 1)
+    whole = sub.window_hashes(sub.word_hashes(w.flat, w.starts, w.stops, 1), 35, 1)
+    hashed, hashes = [], sub.word_hashes
+    monkeypatch.setattr(sub, "word_hashes", lambda b, starts, ends, which=0: hashed.append(len(starts)) or hashes(b, starts, ends, which))
+    at = np.array([0, 7, 2000, 2966])
+    pairs = w.pairs(at)
+    assert (pairs["lo"] == w.h[at]).all()
+    assert pairs["hi"][:3].tolist() == whole[at[:3]].tolist() and pairs["hi"][3] == whole[w.words(at[3:])[0]]
+    assert w.words(at[3:]).tolist() == [3002] and sum(hashed) <= 35 * len(at)
+
+
 def brute_bytes(texts, n):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
