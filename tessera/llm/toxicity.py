@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tessera.llm._blocks import fresh, lean, release
+from tessera.llm._blocks import fresh, lean, release, trim_driver
 from tessera.llm._text import LOWER, text_bytes, to_bytes, word_bounds, word_hashes
 
 SAMPLE, NEIGHBOURS, BLOCK, COMMON = 4096, 50, 64, 12
@@ -275,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, key: st
     rows = [(r.name, np.frombuffer(r.f, dtype=np.uint64), np.frombuffer(r.n, dtype=np.int64), r.y) for r in texts.mapInArrow(reduce, "name string, f binary, n binary, y int").toLocalIterator()]
     rows.sort(key=lambda r: (r[0], r[3]))
     stands = tuple(many[y] / room[y] if room[y] else 1.0 for y in (0, 1))
+    trim_driver(docs.sparkSession)
     model = Model(rows, neighbours, stands)
     del rows
     release()  # the driver's

@@ -59,3 +59,17 @@ def test_pipeline(spark, tmp_path):
         assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
         assert got[i].n_chars == (None if texts[i] is None else len(t))
         assert got[i].source == f"s{i % 3}"
+
+
+def test_stages_begin_with_a_trimmed_driver(spark, monkeypatch):
+    import corpus_pipeline
+    from tessera.llm import _blocks
+
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "trim_driver", called.append)
+    for _, f in corpus_pipeline.STAGES:
+        with pytest.raises(Exception):  # noqa: B017  no documents
+            f(spark, None, "")
+    assert called == [spark] * len(corpus_pipeline.STAGES)
+    version = tuple(int(x) for x in spark.sparkContext._jvm.System.getProperty("java.version").split("-")[0].split("."))
+    assert version < (17, 0, 9) or "native heap" in _blocks.trim_driver(spark)
