@@ -70,6 +70,45 @@ def test_linear_alignment_looks_at_all_later_units():
     assert pages.align_spans(local, external) == [(i, 350 + i, 351 + i) for i in range(300)]
 
 
+def test_large_alignment_is_the_best_one():
+    r = random.Random(8)
+    rest = [words(r, 4) for _ in range(459)]
+    first = words(r, 4)
+    # the first unit stands last on the other side: taken on its own it would leave the others nothing
+    local, external = [first, *rest], [*rest, first]
+    assert len(local) * len(external) > pages.STATES
+    assert pages.align_spans(local, external) == [(i + 1, i, i + 1) for i in range(459)]
+
+
+def every_state(n, m, found, either):
+    """_certain by a table of all n * m states."""
+    best = [[(0, 0.0)] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], *[(best[i + 1][e][0] + 1, round(best[i + 1][e][1] + s, 9)) for e, s in found[i].get(j, [])])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        now = best[i][j]
+        good = [e for e, s in found[i].get(j, []) if (best[i + 1][e][0] + 1, round(best[i + 1][e][1] + s, 9)) == now]
+        if len(good) == 1 and best[i + 1][j] != now and best[i][j + 1] != now:
+            out.append((i, j, good[0]))
+            i, j = i + 1, good[0]
+        elif (either and good) or best[i + 1][j] == now:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+@pytest.mark.parametrize("either", [True, False])
+def test_certain_runs_are_those_of_all_states(either):
+    r = random.Random(9)
+    for _ in range(1500):
+        n, m, share, scores = r.randint(0, 9), r.randint(0, 9), r.choice([0.1, 0.4, 0.9]), r.choice([[1.0], [0.82, 0.9, 1.0]])
+        found = [{j: [(e, r.choice(scores)) for e in sorted(r.sample(range(j + 1, m + 1), r.randint(1, min(3, m - j))))] for j in range(m) if r.random() < share} for _ in range(n)]
+        assert pages._certain(n, m, found, either) == every_state(n, m, found, either)
+
+
 def test_spans_are_those_of_all_runs():
     r = random.Random(6)
     for _ in range(150):
