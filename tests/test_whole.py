@@ -109,6 +109,34 @@ def test_certain_runs_are_those_of_all_states(either):
         assert pages._certain(n, m, found, either) == every_state(n, m, found, either)
 
 
+def test_equal_runs_need_no_other_runs(monkeypatch):
+    r = random.Random(10)
+    lines = [words(r, 8) for _ in range(60)]
+    halves = [x for line in lines for x in (line[:20], line[20:])]
+    monkeypatch.setattr(pages, "_spans", lambda *x: pytest.fail("texts are matched that cannot count"))
+    assert pages.align_spans(lines, halves) == [(i, 2 * i, 2 * i + 2) for i in range(60)]
+
+
+def test_equal_runs_are_aligned_as_all_runs():
+    r, alone = random.Random(11), 0
+    for _ in range(600):
+        letters = r.choice(["a", "ab", "abcé "])
+        say = lambda n: "".join(r.choice(letters) for _ in range(r.randint(0, n)))  # noqa: E731, B023
+        known = [say(6) for _ in range(3)]
+        local = [r.choice([*known, say(20)]) for _ in range(r.randint(0, 7))]
+        external = []
+        for text in local:
+            external += [say(4)] * r.choice([0, 0, 0, 1])
+            while text:
+                n = r.choice([1, 3, len(text)])
+                external.append(text[:n])
+                text = text[n:]
+        flat, parts = ([x.replace(" ", "") for x in side] for side in (local, external))
+        alone += pages._exact(flat, parts) is not None
+        assert pages.align_spans(local, external) == every_state(len(flat), len(parts), pages._spans(flat, parts), True)
+    assert 100 < alone < 600
+
+
 def test_spans_are_those_of_all_runs():
     r = random.Random(6)
     for _ in range(150):
